@@ -46,7 +46,7 @@ def active_units(ts: Column, unit: str, start: dt.datetime, end: dt.datetime) ->
     units = {"month": months, "week": days // 7, "day": days}[unit] + 1
     if units > 63:
         return F.count_distinct(F.when(inside, number))
-    bits = F.bit_or(F.when(inside, F.shiftleft(F.lit(1).cast("long"), number.cast("int"))))
+    bits = F.bit_or(F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), number.cast("int"))))
     return F.bit_count(F.coalesce(bits, F.lit(0).cast("long"))).cast("long")
 
 

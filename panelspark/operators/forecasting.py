@@ -171,12 +171,10 @@ def _run_series(
         except Exception as problem:  # the failure is reported as a row
             error = f"{type(problem).__name__}: {problem}"
             out = pd.DataFrame({"ds": [pd.NaT]}).reindex(columns=["ds", "yhat", *columns])
-        out.insert(0, "model", name)
-        out.insert(1, "model_alias", alias)
-        out.insert(2, "frequency", freq_name)
-        out.insert(3, "cutoff", key[0])
-        out.insert(4, "unique_id", key[1])
-        return out.assign(error=error)
+        head = {"model": name, "model_alias": alias, "frequency": freq_name}
+        head |= {"cutoff": key[0], "unique_id": key[1]}
+        values = {c: out[c].to_numpy() for c in ["ds", "yhat", *columns]}
+        return pd.DataFrame(head | values | {"error": error}, index=range(len(out)))
 
     return run
 
@@ -192,10 +190,13 @@ def forecast_pandas(
 ) -> DataFrame:
     """Forecasts of one pandas model with an ``error`` column.
 
-    Each task call gets one series' window, at most ``window`` rows.
+    Each call gets one series' window, at most ``window`` rows. Fitting costs time
+    and not bytes, so the number of tasks is set here and not merged by size.
     """
     f = cal.frequency(freq)
-    past = windows.history(panel, cutoffs, f, window)
+    spark = panel.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    past = windows.history(panel, cutoffs, f, window).repartition(tasks, "cutoff", "unique_id")
     run = _run_series(get_model(model), f, h or f.h, levels)
     schema = forecast_schema(levels) + ", error STRING"
     return past.groupBy("cutoff", "unique_id").applyInPandas(run, schema)

@@ -33,10 +33,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the sample benchmark.
 DAILY_CUTOFFS = ("2024-01-16", "2024-01-23")
-EARLY_CUTOFFS = ("2024-01-03", "2024-01-16", "2024-01-23")
+EARLY_CUTOFFS = ("2024-01-02", "2024-01-03", "2024-01-16")
 EDGE_CUTOFFS = ("2024-01-03", "2024-01-16", "2024-01-23", "2024-01-29")
 DAILY_WINDOW = 14
-EARLY_WINDOW = 3
+EARLY_WINDOW = 2
 WEEKLY_CUTOFFS = ("2024-01-14", "2024-01-21")
 WEEKLY_WINDOW = 2
 MONTHLY_CUTOFFS = ("2001-05-01", "2001-06-01")
@@ -208,7 +208,9 @@ def archive_files(s: Sample) -> DataFrame:
     lines = _json_lines(s.all_events())
     path = scratch_path(s.spark, "archive")
     stamped = lines.select(F.col("line").alias("value"), cal.archive_stamp(F.col("archive_hour")).alias("stamp"))
-    stamped.hint("rebalance", "stamp").write.partitionBy("stamp").option("compression", "gzip").text(path)
+    tasks = s.spark.sparkContext.defaultParallelism
+    hourly_files = stamped.repartition(tasks, "stamp").write.partitionBy("stamp")
+    hourly_files.option("compression", "gzip").text(path)
     return archive.read_archive(s.spark, path)
 
 
@@ -244,11 +246,11 @@ def period_bounds(s: Sample) -> DataFrame:
 @_query
 def iso_partitions(s: Sample) -> DataFrame:
     orders = sample.table(s.spark, s.sf_dir, "orders")
-    days = orders.select(F.col("o_orderdate").cast("timestamp").alias("day")).distinct()
-    weekly = cal.partition_values(F.col("day"), "weekly")
-    daily = cal.partition_values(F.col("day"), "daily")
+    days = orders.select(F.col("o_orderdate").cast("timestamp").alias("ts")).distinct()
+    weekly = cal.partition_values(F.col("ts"), "weekly")
+    daily = cal.partition_values(F.col("ts"), "daily")
     iso = [col.alias(f"iso_{name}") for name, col in weekly.items()]
-    return days.select("day", *iso, *[col.alias(name) for name, col in daily.items()])
+    return days.select("ts", *iso, *[col.alias(name) for name, col in daily.items()])
 
 
 @_query
@@ -466,10 +468,8 @@ def _steps(past, h: int):
 
 def median_model(past, h, freq, quantiles):
     """Sample pandas model: median and empirical quantiles of the history."""
-    out = _steps(past, h).assign(yhat=float(past["y"].median()))
-    for q in quantiles:
-        out[scoring.quantile_column(round(q * 100))] = float(past["y"].quantile(q))
-    return out
+    levels = {scoring.quantile_column(round(q * 100)): v for q, v in past["y"].quantile(quantiles).items()}
+    return _steps(past, h).assign(yhat=float(past["y"].median()), **levels)
 
 
 def last_value_model(past, h, freq):
@@ -567,7 +567,7 @@ def guard_leakage(s: Sample) -> DataFrame:
 
 
 def _early(s: Sample) -> tuple[DataFrame, DataFrame]:
-    """Backtest with a cutoff before some series start, which its guard must refuse."""
+    """Backtest with cutoffs before some series start or just after; guards refuse them."""
     rows = forecasting.forecast_native(
         s.panel("daily"), EARLY_CUTOFFS, "daily", ["zero_model", "historic_average"], window=EARLY_WINDOW
     )

@@ -320,10 +320,10 @@ def _bodies() -> dict[str, str]:
     b["hour_grid"] = """SELECT hour, strftime(hour, '%Y-%m-%d-%H') AS hour_key,
       strftime(hour, '%Y-%m-%d-') || CAST(hour(hour) AS VARCHAR) AS stamp FROM hours"""
     b["period_bounds"] = _bounds()
-    b["iso_partitions"] = """SELECT DISTINCT o_orderdate AS day,
+    b["iso_partitions"] = """SELECT DISTINCT o_orderdate AS ts,
       CAST(isoyear(o_orderdate) AS INTEGER) AS iso_year, CAST(week(o_orderdate) AS INTEGER) AS iso_week,
       CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-      CAST(day(o_orderdate) AS INTEGER) AS day_1 FROM orders"""
+      CAST(day(o_orderdate) AS INTEGER) AS day FROM orders"""
     b["cutoff_grid"] = """SELECT unique_id, cutoff, strftime(cutoff, '%Y-%m-%d-%H') AS cutoff_key
       FROM (SELECT unique_id, unnest(generate_series(min(ds), max(ds), INTERVAL 7 DAY)) AS cutoff
         FROM daily GROUP BY unique_id)"""
@@ -424,15 +424,19 @@ def _bodies() -> dict[str, str]:
     metric = "unique_id, model, model_alias, cutoff, frequency, subdataset"
     b["evaluate_metrics"] = _round(metric, "d_scores", "mase, scaled_crps")
     b["guard_leakage"] = """SELECT model, model_alias, cutoff, min(ds) AS min_ds, min(ds) < cutoff AS leaks
-      FROM d_fc GROUP BY ALL"""
+      FROM d_fc GROUP BY model, model_alias, cutoff"""
     b["guard_nulls"] = """SELECT model, a.cutoff, count(*) AS n_actual, count(f.yhat) AS n_matched,
         count(*) - count(f.yhat) AS n_unmatched,
-        CASE WHEN count(*) > count(f.yhat) THEN 'null_values' ELSE 'ok' END AS status
-      FROM (SELECT a.*, m.model FROM e_act a, (SELECT DISTINCT model FROM e_fc) m) a
+        CASE WHEN count(*) > count(f.yhat) THEN 'null_values'
+          WHEN any_value(a.n_short) > 0 THEN 'nan_metrics' ELSE 'ok' END AS status
+      FROM (SELECT e_act.*, m.model, t.n_short
+        FROM e_act, (SELECT DISTINCT model FROM e_fc) m,
+          (SELECT cutoff AS c, count_if(n_obs < 2) AS n_short FROM e_stats GROUP BY cutoff) t
+        WHERE t.c = e_act.cutoff) a
       LEFT JOIN e_fc f USING (model, cutoff, unique_id, ds) GROUP BY model, a.cutoff"""
-    b["guard_nan"] = """SELECT model, cutoff, count(*) AS n_series,
+    b["guard_nan"] = f"""SELECT model, cutoff, count(*) AS n_series,
         count_if(mase IS NULL OR isnan(mase))::BIGINT AS n_undefined
-      FROM (SELECT * FROM e_scores) WHERE cutoff <> '2024-01-03-00' GROUP BY ALL"""
+      FROM e_scores WHERE cutoff = '{q.EARLY_CUTOFFS[-1]}-00' GROUP BY ALL"""
     b["metrics_unpivot"] = _round(f"dataset, {metric}, metric, sparsity_level", "raw_long", "value")
     group = f"dataset, {_STRATUM}, model, model_alias"
     b["stratum_median"] = _round(group, "med", "v")
