@@ -62,28 +62,30 @@ def validate_keys(expected: DataFrame, present: DataFrame) -> DataFrame:
     )
 
 
-def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Footer check of Parquet files: only metadata is read."""
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    for batch in batches:
-        status, rows, errors = [], [], []
-        for path in batch["path"]:
-            fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-            if fs.get_file_info(inner).type == pafs.FileType.NotFound:
-                found, n, error = "missing", 0, "file not found"
-            else:
-                try:
-                    with fs.open_input_file(inner) as source:
-                        n = pq.ParquetFile(source).metadata.num_rows
-                    found, error = ("ok", None) if n else ("empty", "0 rows")
-                except Exception as problem:  # whatever the file holds, it is reported
-                    found, n, error = "unreadable", 0, str(problem)
-            status.append(found)
-            rows.append(n)
-            errors.append(error)
-        yield batch.assign(status=status, num_rows=rows, error=errors)
+def _footer_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Footer check of Parquet files as a local function, so tasks need not import this package."""
+
+    def check(path: str) -> tuple[str, int, str | None]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        if fs.get_file_info(inner).type == pafs.FileType.NotFound:
+            return "missing", 0, "file not found"
+        try:
+            with fs.open_input_file(inner) as source:
+                n = pq.ParquetFile(source).metadata.num_rows
+        except Exception as problem:  # whatever the file holds, it is reported
+            return "unreadable", 0, str(problem)
+        return ("ok", n, None) if n else ("empty", 0, "0 rows")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [check(path) for path in batch["path"]]
+            status, rows, errors = zip(*found) if found else ((), (), ())
+            yield batch.assign(status=list(status), num_rows=list(rows), error=list(errors))
+
+    return read
 
 
 def validate_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -94,7 +96,7 @@ def validate_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     spread = files.select("key", "path").repartition(tasks or files.sparkSession.sparkContext.defaultParallelism)
     schema = "key STRING, path STRING, status STRING, num_rows BIGINT, error STRING"
-    checked = spread.mapInPandas(_read_footers, schema)
+    checked = spread.mapInPandas(_footer_reader(), schema)
     return checked.withColumn("checked_at", F.current_timestamp())
 
 

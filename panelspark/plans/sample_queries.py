@@ -460,27 +460,29 @@ def forecast_monthly(s: Sample) -> DataFrame:
     return s.forecasts("monthly", MONTHLY_CUTOFFS, MONTHLY_WINDOW)
 
 
-def _steps(past, h: int):
-    import pandas as pd
+def _sample_models() -> dict:
+    """Sample pandas models; local functions travel to the tasks without this package."""
 
-    return pd.DataFrame({"ds": past["ds"].iloc[-1] + pd.to_timedelta(range(1, h + 1), unit="D")})
+    def steps(past, h):
+        import pandas as pd
 
+        return pd.DataFrame({"ds": past["ds"].iloc[-1] + pd.to_timedelta(range(1, h + 1), unit="D")})
 
-def median_model(past, h, freq, quantiles):
-    """Sample pandas model: median and empirical quantiles of the history."""
-    levels = {scoring.quantile_column(round(q * 100)): v for q, v in past["y"].quantile(quantiles).items()}
-    return _steps(past, h).assign(yhat=float(past["y"].median()), **levels)
+    def window_median(past, h, freq, quantiles):
+        """Median and empirical quantiles of the history."""
+        levels = {f"q_{round(q * 100)}": v for q, v in past["y"].quantile(quantiles).items()}
+        return steps(past, h).assign(yhat=float(past["y"].median()), **levels)
 
+    def last_value(past, h, freq):
+        """Point forecasts only."""
+        return steps(past, h).assign(yhat=float(past["y"].iloc[-1]))
 
-def last_value_model(past, h, freq):
-    """Sample pandas model that gives point forecasts only."""
-    return _steps(past, h).assign(yhat=float(past["y"].iloc[-1]))
+    return {"WindowMedian": window_median, "LastValue": last_value}
 
 
-def _forecast_pandas(s: Sample, name: str, alias: str, fn) -> DataFrame:
-    model = forecasting.Model(name, alias, fn=fn)
+def _forecast_pandas(s: Sample, name: str, alias: str) -> DataFrame:
     if name not in forecasting.model_names():
-        forecasting.register_model(model.name, model.alias, fn=fn)
+        forecasting.register_model(name, alias, fn=_sample_models()[alias])
     rows, _ = forecasting.forecast(
         s.panel("daily"), DAILY_CUTOFFS, "daily", [name], window=DAILY_WINDOW
     )
@@ -489,12 +491,12 @@ def _forecast_pandas(s: Sample, name: str, alias: str, fn) -> DataFrame:
 
 @_query
 def forecast_udf(s: Sample) -> DataFrame:
-    return _forecast_pandas(s, "window_median", "WindowMedian", median_model)
+    return _forecast_pandas(s, "window_median", "WindowMedian")
 
 
 @_query
 def forecast_point_only(s: Sample) -> DataFrame:
-    rows = _forecast_pandas(s, "last_value", "LastValue", last_value_model)
+    rows = _forecast_pandas(s, "last_value", "LastValue")
     quantiles = [F.col(scoring.quantile_column(q)) for q in scoring.quantile_levels(rows.columns)]
     found = F.size(F.array_compact(F.array(*quantiles)))
     return rows.select("model", "cutoff", "unique_id", "ds", "yhat", found.alias("n_quantiles"))

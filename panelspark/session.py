@@ -31,6 +31,9 @@ def get_session(master: str | None = None, name: str = "panelspark", **conf: str
     return configure(builder.getOrCreate())
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for stage tables: the one named in ``spark.checkpoint.dir``.
 
@@ -39,11 +42,12 @@ def work_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="panelspark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="panelspark-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
