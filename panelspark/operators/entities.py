@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.constants import KEEP_EVENT_TYPES, SAMPLE_SALT
+from panelspark.constants import KEEP_EVENT_TYPES, METRICS, SAMPLE_SALT
 from panelspark.functions import calendar as cal
 from panelspark.functions.hashing import sample_key
 from panelspark.operators.ranking import count_percent_rank, top_per_group
@@ -31,23 +32,33 @@ def base_events(raw: DataFrame, year: int) -> DataFrame:
     ).select("repo_id", "repo_name", "event_type", "action", F.to_timestamp("created_at").alias("ts"))
 
 
-def active_units(ts: Column, unit: str, start: dt.datetime, end: dt.datetime) -> Column:
-    """Number of distinct calendar units of ``[start, end)`` that hold an event.
+_WORD = 63  # units kept in one long
 
-    Units are numbered from the start of the range and collected as bits of a
-    long, so this is a plain one-pass aggregate. A range of more than 63 units
-    falls back to a distinct count.
+
+def active_words(ts: Column, unit: str, start: dt.datetime, end: dt.datetime) -> list[Column]:
+    """Calendar units of ``[start, end)`` that hold an event, as bits of a few longs.
+
+    Units are numbered from the start of the range. Bit sets merge with ``bit_or``,
+    so this needs no distinct count, which would multiply the rows.
     """
     freq = {"month": "monthly", "week": "weekly", "day": "daily"}[unit]
     inside = (ts >= F.lit(start)) & (ts < F.lit(end))
     number = cal.period_index(ts, freq) - cal.period_index(F.lit(start), freq)
     months = (end.year - start.year) * 12 + end.month - start.month
     days = (end - start).days
-    units = {"month": months, "week": days // 7, "day": days}[unit] + 1
-    if units > 63:
-        return F.count_distinct(F.when(inside, number))
-    bits = F.bit_or(F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), number.cast("int"))))
-    return F.bit_count(F.coalesce(bits, F.lit(0).cast("long"))).cast("long")
+    units = {"month": months, "week": days // 7, "day": days}[unit] + 2
+    words = []
+    for word in range(-(-units // _WORD)):
+        here = inside & (F.floor(number / _WORD) == word)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (number % _WORD).cast("int"))
+        words.append(F.bit_or(F.when(here, bit)).alias(f"_active_{word}"))
+    return words
+
+
+def active_count(names: list[str]) -> Column:
+    """Number of units set in the given words."""
+    counts = [F.bit_count(F.coalesce(F.col(n), F.lit(0).cast("long"))) for n in names]
+    return reduce(lambda a, b: a + b, counts).cast("long")
 
 
 def entity_stats(
@@ -59,14 +70,22 @@ def entity_stats(
 ) -> DataFrame:
     """Yearly counts and active units per entity, in one pass over the raw events.
 
-    The entity's name is the largest one it had in the year.
+    The entity's name is the largest one it had in the year. Events are first
+    grouped by id and name, because a maximum of strings would make Spark sort the
+    raw events; the second grouping only sees one row per name.
     """
-    return base_events(raw, year).groupBy("repo_id").agg(
+    words = active_words(F.col("ts"), unit, active_from, active_to)
+    names = [f"_active_{i}" for i in range(len(words))]
+    counts = (*METRICS, "total_events")
+    by_name = base_events(raw, year).groupBy("repo_id", "repo_name").agg(
+        *metric_counts(), F.count("*").alias("total_events"), *words
+    )
+    merged = by_name.groupBy("repo_id").agg(
         F.max("repo_name").alias("repo_name"),
-        *metric_counts(),
-        F.count("*").alias("total_events"),
-        active_units(F.col("ts"), unit, active_from, active_to).alias("active_units"),
+        *[F.sum(c).alias(c) for c in counts],
+        *[F.bit_or(n).alias(n) for n in names],
     )
+    return merged.select("repo_id", "repo_name", *counts, active_count(names).alias("active_units"))
 
 
 def eligible_entities(stats: DataFrame, required_active: int) -> DataFrame:

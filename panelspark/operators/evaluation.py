@@ -122,31 +122,36 @@ def series_scores(
     h: int | None = None,
     convention: str = "reference",
 ) -> DataFrame:
-    """Unchecked scores per model, cutoff and series, with the counts the guards need."""
+    """Unchecked scores per model, cutoff and series, with the counts the guards need.
+
+    The actuals of a cutoff and series, at most one horizon, are packed into one
+    row with its scales. The forecasts are then joined by cutoff and series, and
+    the aggregation reuses that partitioning: they are shuffled once.
+    """
     actual = windows.actuals(panel, cutoffs, freq, h)
-    joined = join_actuals(forecasts, actual)
-    fill, bad = _needs_fill(joined), F.col("yhat").isNull() | F.col("y").isNull()
-    filled = fill_quantiles(joined.withColumn("_fill", fill))
+    packed = actual.groupBy("cutoff", "unique_id").agg(
+        F.collect_list(F.struct(F.col("ds").alias("at"), "y")).alias("_actuals")
+    )
+    scales = train_scales(panel, cutoffs, freq, window)
+    side = packed.join(scales, ["cutoff", "unique_id"], "left")
+    matches = F.filter("_actuals", lambda a: a["at"] == F.col("ds"))
+    joined = forecasts.join(side, ["cutoff", "unique_id"]).select(
+        *forecasts.columns, "mase_scale", "crps_scale", F.inline(matches)
+    )
+    has_quantile = reduce(lambda a, b: a | b, [c.isNotNull() for c in _quantiles(joined).values()])
+    bad = F.col("yhat").isNull() | F.col("y").isNull()
+    filled = fill_quantiles(joined.withColumns({"_fill": _needs_fill(joined), "_has": has_quantile}))
     loss = scoring.mean_pinball(F.col("y"), _quantiles(filled), convention)
     scores = filled.groupBy(*SERIES).agg(
-        F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"),
-        (F.sum(loss) * 2).alias("crps"),
+        (F.avg(F.abs(F.col("y") - F.col("yhat"))) / F.max("mase_scale")).alias("mase"),
+        (F.sum(loss) * 2 / F.max("crps_scale")).alias("scaled_crps"),
         F.count("*").alias("n_rows"),
         F.size(F.collect_set("ds")).cast("long").alias("n_matched"),
         F.count_if("_fill").alias("n_fill"),
         F.count_if(bad).alias("n_null"),
+        F.count_if("_has").alias("n_quantiled"),
     )
-    scores = scores.join(train_scales(panel, cutoffs, freq, window), ["cutoff", "unique_id"], "left")
-    return scores.select(
-        *SERIES,
-        F.substring_index("unique_id", ":", -1).alias("subdataset"),
-        (F.col("mae") / F.col("mase_scale")).alias("mase"),
-        (F.col("crps") / F.col("crps_scale")).alias("scaled_crps"),
-        "n_rows",
-        "n_matched",
-        "n_fill",
-        "n_null",
-    )
+    return scores.withColumn("subdataset", F.substring_index("unique_id", ":", -1))
 
 
 def cutoff_expectations(
@@ -188,25 +193,22 @@ def key_status(
     """
     if on_unmatched not in ("fail", "drop"):
         raise ValueError(f"Unknown on_unmatched: {on_unmatched}")
-    has_quantile = reduce(lambda a, b: a | b, [c.isNotNull() for c in _quantiles(forecasts).values()])
-    keys = forecasts.groupBy(*KEY).agg(
-        F.min("ds").alias("min_ds"), F.max(has_quantile).alias("has_quantiles")
-    )
+    keys = forecasts.groupBy(*KEY).agg(F.min("ds").alias("min_ds"))
     undefined = F.col("mase").isNull() | F.col("scaled_crps").isNull()
     undefined = undefined | F.isnan("mase") | F.isnan("scaled_crps")
     sums = scores.groupBy(*KEY).agg(
-        *[F.sum(c).alias(c) for c in ("n_rows", "n_matched", "n_fill", "n_null")],
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_matched", "n_fill", "n_null", "n_quantiled")],
         F.count_if(undefined).alias("n_undefined"),
     )
     zero, no = F.lit(0).cast("long"), F.lit(False)
-    counts = ("n_rows", "n_matched", "n_fill", "n_null", "n_undefined", "n_actual", "n_train_only")
+    counts = ("n_rows", "n_matched", "n_fill", "n_null", "n_quantiled")
+    counts += ("n_undefined", "n_actual", "n_train_only")
     rows = (
         keys.join(sums, KEY, "left")
         .join(expected, "cutoff", "left")
         .select(
             *KEY,
             "min_ds",
-            "has_quantiles",
             *[F.coalesce(c, no).alias(c) for c in ("window_ok", "actuals_ok")],
             *[F.coalesce(c, zero).alias(c) for c in counts],
         )
@@ -221,7 +223,7 @@ def key_status(
         .when(~F.col("window_ok"), "missing_history")
         .when(F.col("n_actual") == 0, "no_actuals")
         .when(~F.col("actuals_ok"), "missing_actuals")
-        .when(~F.col("has_quantiles"), "no_quantiles")
+        .when((F.col("n_matched") > 0) & (F.col("n_quantiled") == 0), "no_quantiles")
         .when((F.col("n_unmatched") > 0) | (F.col("n_null") > 0) | too_many, "null_values")
         .when((F.col("n_undefined") > 0) | (F.col("n_train_only") > 0), "nan_metrics")
         .otherwise("ok")

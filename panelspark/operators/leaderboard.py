@@ -60,21 +60,20 @@ def raw_long(
     level is ``unknown``.
     """
     wide = metrics.where(F.col("frequency").isin(*frequencies))
-    keys = ["unique_id", "model", "model_alias", "cutoff", "frequency", "subdataset"]
-    long = wide.unpivot(keys, ["mase", "scaled_crps"], "metric", "value").where("value IS NOT NULL")
-    levels = sparsity_levels(sparsity)
-    return long.join(levels, "unique_id", "left").select(
+    wide = wide.join(sparsity_levels(sparsity), "unique_id", "left").select(
         F.lit(dataset).alias("dataset"),
         F.coalesce("unique_id", _fallback_id()).alias("unique_id"),
         "subdataset",
         "frequency",
         "cutoff",
-        "metric",
         "model",
         "model_alias",
-        "value",
         F.coalesce("sparsity_level", F.lit("unknown")).alias("sparsity_level"),
+        "mase",
+        "scaled_crps",
     )
+    keys = [c for c in wide.columns if c not in ("mase", "scaled_crps")]
+    return wide.unpivot(keys, ["mase", "scaled_crps"], "metric", "value").where("value IS NOT NULL")
 
 
 def stratum_medians(long: DataFrame) -> DataFrame:
@@ -91,12 +90,11 @@ def zero_denominators(
     stands in for the percentile.
     """
     zero = long.where(F.col("model") == zero_model)
-    medians = grouped_percentiles(zero, STRATUM, "value", {"median_zero": 0.5})
-    tenths = grouped_percentiles(zero.where("value > 0"), STRATUM, "value", {"pct_z": 0.1})
+    found = grouped_percentiles(zero, STRATUM, "value", {"median_zero": 0.5}, {"pct_z": 0.1})
     denom = F.greatest(
         F.coalesce("median_zero", F.lit(0.0)), F.coalesce("pct_z", F.lit(floor))
     )
-    return medians.join(tenths, STRATUM, "left").withColumn("denom", denom)
+    return found.withColumn("denom", denom)
 
 
 def scaled_scores(medians: DataFrame, denominators: DataFrame) -> DataFrame:

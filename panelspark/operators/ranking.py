@@ -94,16 +94,65 @@ def _magnitude_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.when(value > 0, size).otherwise(-size))
 
 
+_SLICES = 1024
+
+
+class _Target:
+    """Wanted rank of one percentile, over all values or over the positive ones."""
+
+    def __init__(self, name: str, p: float, positive: bool):
+        self.name = name
+        skipped = F.col("_nonpos") if positive else F.lit(0).cast("long")
+        rank = skipped + F.lit(p) * (F.col("_total") - skipped - 1)
+        self.rank = F.when(F.col("_total") > skipped, rank)
+        self.low, self.high = F.floor(self.rank), F.ceil(self.rank)
+
+    def within(self, start: Column, n: Column) -> Column:
+        return _holds(self.low, start, n) | _holds(self.high, start, n)
+
+
+def _holds(rank: Column, start: Column, n: Column) -> Column:
+    return (rank >= start) & (rank < start + n)
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
+def _wanted_cells(cells: DataFrame, keys: list[str], cell: str, targets: list[_Target]) -> DataFrame:
+    """Cells that hold a wanted rank, with the number of values before them.
+
+    ``cells`` has ``keys, cell, _cn`` and ``_base``, the rank at which the group of
+    ``keys`` starts. Keys come back under the names ``_k0, _k1, …``.
+    """
+    running = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_base") + F.coalesce(F.sum("_cn").over(running), F.lit(0))
+    hit = reduce(lambda a, b: a | b, [t.within(F.col("_start"), F.col("_cn")) for t in targets])
+    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, cell])]
+    return cells.withColumn("_start", start).where(hit).select(
+        *renamed, "_start", "_total", "_nonpos", "_min", "_max"
+    )
+
+
 def grouped_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: dict[str, float],
+    of_positive: dict[str, float] | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per group; nulls are ignored.
 
-    Equal to ``percentile(value, p)`` but without the per-group value map: values
-    are counted per bucket, and only the buckets that hold a wanted rank are
-    sorted. ``probabilities`` maps output columns to probabilities.
+    Equal to ``percentile(value, p)`` but without a map of all values of a group.
+    Equal values are counted first. The counts are cut into buckets by magnitude,
+    and the few buckets that hold a wanted rank into 1,024 slices between their
+    smallest and largest value; only the slices that hold a wanted rank are
+    sorted. ``probabilities`` maps output columns to probabilities, ``of_positive``
+    does so for percentiles of the values above zero.
     """
     keys = list(keys)
+    targets = [_Target(n, p, False) for n, p in probabilities.items()]
+    targets += [_Target(n, p, True) for n, p in (of_positive or {}).items()]
     counted = (
         df.where(F.col(value).isNotNull())
         .select(*keys, F.col(value).cast("double").alias("_v"))
@@ -111,59 +160,47 @@ def grouped_percentiles(
         .groupBy(*keys, "_bucket", "_v")
         .agg(F.count("*").alias("_n"))
     )
-    running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
-    buckets = buckets.select(
-        *keys,
-        "_bucket",
-        "_bn",
-        F.coalesce(F.sum("_bn").over(running), F.lit(0)).alias("_before"),
-        F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-
-    def rank(p: float) -> Column:
-        return F.lit(p) * (F.col("_total") - 1)
-
-    def holds(target: Column, start: Column, n: Column) -> Column:
-        return (target >= start) & (target < start + n)
-
-    wanted = [side(rank(p)) for p in probabilities.values() for side in (F.floor, F.ceil)]
-    hit = reduce(
-        lambda a, b: a | b, [holds(t, F.col("_before"), F.col("_bn")) for t in wanted]
-    )
-    buckets = buckets.where(hit).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_b"),
-        "_before",
-        "_total",
+    bounds = [F.sum("_n").alias("_cn"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    whole = Window.partitionBy(*keys)
+    buckets = counted.groupBy(*keys, "_bucket").agg(*bounds).withColumns(
+        {
+            "_total": F.sum("_cn").over(whole),
+            "_nonpos": F.sum(F.when(F.col("_max") <= 0, F.col("_cn")).otherwise(0)).over(whole),
+            "_base": F.lit(0).cast("long"),
+        }
     )
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
-        F.col("_bucket") == F.col("_b"),
+    wanted = _wanted_cells(buckets, keys, "_bucket", targets)
+    in_bucket = [*keys, "_bucket"]
+    names = [f"_k{i}" for i in range(len(in_bucket))]
+    share = (F.col("_v") - F.col("_min")) / (F.col("_max") - F.col("_min")) * _SLICES
+    sliced = counted.join(wanted, _same(in_bucket, names)).drop(*names).withColumn(
+        "_slice", F.when(F.col("_max") > F.col("_min"), F.floor(share)).otherwise(F.lit(0).cast("long"))
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.join(buckets, same).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    inside = [*in_bucket, "_slice"]
+    constant = [F.first(c).alias(c) for c in ("_total", "_nonpos")]
+    slices = sliced.groupBy(*inside).agg(*bounds, *constant, F.first("_start").alias("_base"))
+    wanted = _wanted_cells(slices, in_bucket, "_slice", targets)
+    names = [f"_k{i}" for i in range(len(inside))]
+    kept = sliced.select(*inside, "_v", "_n").join(wanted, _same(inside, names)).drop(*names)
+    order = Window.partitionBy(*inside).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept.withColumn(
+        "_at", F.col("_start") + F.coalesce(F.sum("_n").over(order), F.lit(0))
     )
 
-    def value_at(target: Column) -> Column:
-        return F.max(F.when(holds(target, F.col("_start"), F.col("_n")), F.col("_v")))
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when(_holds(rank, F.col("_at"), F.col("_n")), F.col("_v")))
 
-    parts = []
-    for name, p in probabilities.items():
-        parts += [
-            value_at(F.floor(rank(p))).alias(f"_lo_{name}"),
-            value_at(F.ceil(rank(p))).alias(f"_hi_{name}"),
-        ]
-    found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *parts)
+    ends = []
+    for t in targets:
+        ends += [value_at(t.low).alias(f"_lo_{t.name}"), value_at(t.high).alias(f"_hi_{t.name}")]
+    found = placed.groupBy(*keys).agg(*constant, *ends)
     return found.select(
         *keys,
         *[
             (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (rank(p) - F.floor(rank(p)))
-            ).alias(name)
-            for name, p in probabilities.items()
+                F.col(f"_lo_{t.name}")
+                + (F.col(f"_hi_{t.name}") - F.col(f"_lo_{t.name}")) * (t.rank - t.low)
+            ).alias(t.name)
+            for t in targets
         ],
     )

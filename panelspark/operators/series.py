@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelspark.constants import COMPLETENESS, DEFAULT_COMPLETENESS, KEEP_EVENT_TYPES, METRICS
 from panelspark.functions import calendar as cal
+from panelspark.session import is_small
 from panelspark.sources.archive import hour_of_parts
 
 
@@ -31,16 +32,28 @@ def metric_counts() -> list[Column]:
     ]
 
 
+def _aggregate_known(events: DataFrame, entities: DataFrame | None, keys: list[str], columns: list[Column]) -> DataFrame:
+    """Group events by ``keys``, which include ``repo_id``, for the given entities only.
+
+    A small entity table is broadcast and cuts the events before they are grouped.
+    A large one is joined to the groups instead: the events are then never
+    shuffled row by row, so an entity with a large share of them cannot skew a join.
+    """
+    if entities is None:
+        return events.groupBy(*keys).agg(*columns)
+    ids = entities.select("repo_id")
+    if is_small(ids):
+        return events.join(F.broadcast(ids), "repo_id", "left_semi").groupBy(*keys).agg(*columns)
+    return events.groupBy(*keys).agg(*columns).join(ids, "repo_id", "left_semi")
+
+
 def hourly_activity(raw: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """One row per entity and hour with any kept event: the four counts and ``n_events``."""
     events = with_event_hour(raw).where(
         F.col("event_type").isin(*KEEP_EVENT_TYPES) & F.col("repo_id").isNotNull()
     )
-    if entities is not None:
-        events = events.join(entities.select("repo_id"), "repo_id", "left_semi")
-    return events.groupBy("repo_id", "event_hour").agg(
-        *metric_counts(), F.count("*").alias("n_events")
-    )
+    columns = [*metric_counts(), F.count("*").alias("n_events")]
+    return _aggregate_known(events, entities, ["repo_id", "event_hour"], columns)
 
 
 def first_activity(activity: DataFrame) -> DataFrame:
@@ -51,8 +64,7 @@ def first_activity(activity: DataFrame) -> DataFrame:
 def first_events(raw: DataFrame, entities: DataFrame) -> DataFrame:
     """First hour in which each entity occurs in the raw events."""
     events = with_event_hour(raw).select("repo_id", "event_hour")
-    kept = events.join(entities.select("repo_id"), "repo_id", "left_semi")
-    return kept.groupBy("repo_id").agg(F.min("event_hour").alias("first_hour"))
+    return _aggregate_known(events, entities, ["repo_id"], [F.min("event_hour").alias("first_hour")])
 
 
 def unique_id() -> Column:

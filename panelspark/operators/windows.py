@@ -34,6 +34,8 @@ def cutoff_frame(spark: SparkSession, cutoffs: Cutoffs, freq: str | cal.Frequenc
             raise ValueError(f"cutoffs not on the {cal.frequency(freq).name} grid: {off}")
         points = F.array(*[F.lit(v) for v in values])
         frame = spark.range(1, numPartitions=1).select(F.explode(points).alias("cutoff"))
+        if len(values) <= MAX_BROADCAST_ROWS:
+            frame = F.broadcast(frame)
     frame = frame.where(cal.on_grid(F.col("cutoff"), freq))
     return frame.withColumn("cutoff_idx", cal.period_index(F.col("cutoff"), freq))
 

@@ -61,7 +61,7 @@ class Benchmark:
     def ingest(self, source: str, hours: Iterable[str] | None = None, strict: bool = True) -> None:
         """Flatten archive files into the raw table; only the given hours if any."""
         events = archive.read_archive(self.spark, source, strict=strict, hours=hours)
-        tables.write_partitions(events, self.path("raw"), HOUR_PARTS)
+        tables.write_partitions(events, self.path("raw"), HOUR_PARTS, gather=False)
 
     def refresh_raw(self, source: str, start: str, end: str, known: Iterable[str] = ()) -> DataFrame:
         """Check all hours of a range and ingest those that are missing or empty."""
@@ -221,7 +221,7 @@ class Benchmark:
         return self.table("metrics").withColumn("cutoff", key).select(*evaluation.METRIC_COLUMNS)
 
     def build_leaderboard(self) -> DataFrame:
-        """Store the leaderboard as one sorted file; returns its gap counts."""
+        """Store the sorted leaderboard; returns its gap counts."""
         result = board.leaderboard(self.metrics(), self.table("sparsity"))
-        tables.write_sorted_file(result, self.path("leaderboard"), board.SORT_KEYS)
+        tables.write_sorted(result, self.path("leaderboard"), board.SORT_KEYS)
         return board.leaderboard_gaps(self.table("leaderboard"))

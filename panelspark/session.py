@@ -66,3 +66,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of one id column that may be broadcast: about 40 MB as a hash relation.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def is_small(ids: DataFrame, limit: int = MAX_BROADCAST_IDS) -> bool:
+    """True if a frame has at most ``limit`` rows; reads no more than that."""
+    return ids.limit(limit + 1).count() <= limit

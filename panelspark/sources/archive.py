@@ -33,12 +33,16 @@ def read_lines(
     path: str | list[str],
     stream: bool = False,
     hours: Iterable[str] | None = None,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Text lines of archive files with the hour taken from the file or folder name.
 
     The hour filter is on file metadata, so other files are not opened.
+    ``files_per_batch`` bounds a micro-batch when a stream starts on a long archive.
     """
     reader = spark.readStream if stream else spark.read
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     text = reader.format("text").option("recursiveFileLookup", "true").load(path)
     stamp = F.regexp_extract(F.col("_metadata.file_path"), _STAMP, 1)
     if hours is not None:

@@ -17,15 +17,19 @@ from pyspark.sql.types import StructType
 from panelspark.functions import calendar as cal
 
 
-def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+def write_partitions(
+    df: DataFrame, path: str, partition_by: Sequence[str], gather: bool = True
+) -> None:
     """Replace the partitions present in ``df``.
 
-    The rebalance hint gathers each partition into few files and lets AQE split a
-    partition that is too large for one task and merge small ones.
+    ``gather`` collects each partition into few files; the rebalance hint lets AQE
+    split a partition that is too large for one task and merge small ones. Rows
+    that already lie together by partition, such as archive hours read file by
+    file, are written without that shuffle.
     """
+    rows = df.hint("rebalance", *partition_by) if gather else df
     (
-        df.hint("rebalance", *partition_by)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(*partition_by)
@@ -38,11 +42,9 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_sorted_file(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Write a report as one sorted file; only for tables bounded by strata and cutoffs."""
-    df.repartition(1).sortWithinPartitions(*keys).write.mode("overwrite").option(
-        "compression", "zstd"
-    ).parquet(path)
+def write_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Replace a table by files in key order; a small table becomes one file."""
+    write_table(df.orderBy(*keys), path)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

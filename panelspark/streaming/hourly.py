@@ -21,9 +21,10 @@ from panelspark.sources import archive
 OnBatch = Callable[[DataFrame, int], None]
 
 
-def stream_archive(spark: SparkSession, path: str) -> DataFrame:
+def stream_archive(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of projected archive events; each file is read once, when it appears."""
-    return archive.project_events(archive.parse_lines(archive.read_lines(spark, path, stream=True)))
+    lines = archive.read_lines(spark, path, stream=True, files_per_batch=files_per_batch)
+    return archive.project_events(archive.parse_lines(lines))
 
 
 def windowed_counts(events: DataFrame, watermark: str = "2 hours", time: str = "ts") -> DataFrame:

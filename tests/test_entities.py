@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import xxhash
-from conftest import utc
+from conftest import rows, utc
 from pyspark.sql import functions as F
 
 from panelspark.functions import hashing
@@ -82,8 +82,32 @@ def test_active_units_beyond_a_long(spark):
     df = spark.createDataFrame([(1, utc(str(d))) for d in days], "repo_id INT, ts TIMESTAMP")
     start, end = utc("2025-01-01"), utc("2025-04-11")  # 100 days: the last date is outside
     for unit, expected in (("day", 4), ("week", 3), ("month", 3)):
-        found = df.groupBy("repo_id").agg(ent.active_units(F.col("ts"), unit, start, end).alias("n")).first()
-        assert found.n == expected, unit
+        words = ent.active_words(F.col("ts"), unit, start, end)
+        found = df.groupBy("repo_id").agg(*words)
+        names = [c for c in found.columns if c != "repo_id"]
+        assert len(names) == (2 if unit == "day" else 1)
+        assert found.select(ent.active_count(names)).first()[0] == expected, unit
+
+
+def test_large_entity_tables_are_joined_after_grouping(spark, monkeypatch):
+    from panelspark.operators import series
+
+    raw, _ = fake_raw(spark, 20)
+    raw = raw.withColumn("event_hour", F.to_timestamp("created_at"))
+    few = spark.createDataFrame([(3,), (4,)], "repo_id BIGINT")
+    small = series.hourly_activity(raw, few)
+    monkeypatch.setattr(series, "is_small", lambda ids: False)
+    large = series.hourly_activity(raw, few)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) != []
+    assert rows(series.first_events(raw, few)) == [(3, dt.datetime(2025, 1, 10, 1)), (4, dt.datetime(2025, 1, 10, 1))]
+
+
+def test_stats_do_not_sort_the_events(spark):
+    raw, _ = fake_raw(spark, 5)
+    stats = ent.entity_stats(raw, 2025, utc("2025-07-01"), utc("2026-01-01"))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    bottom = plan[plan.index("Exchange hashpartitioning(repo_id", plan.index("Exchange") + 1) :]
+    assert "Sort" not in bottom
 
 
 def test_duplicates(spark):

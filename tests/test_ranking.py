@@ -38,15 +38,27 @@ def test_percentiles(spark):
         data.append((group, None if i % 7 == 0 else "b", value))
     df = spark.createDataFrame(data, "g STRING, k STRING, v DOUBLE")
     probs = {"p10": 0.1, "med": 0.5, "p99": 0.99, "lo": 0.0, "hi": 1.0}
-    ours = ranking.grouped_percentiles(df, ["g", "k"], "v", probs).collect()
+    ours = ranking.grouped_percentiles(df, ["g", "k"], "v", probs, {"pos": 0.1}).collect()
     expected = df.where("v IS NOT NULL").groupBy("g", "k").agg(
-        *[F.percentile("v", p).alias(n) for n, p in probs.items()]
+        *[F.percentile("v", p).alias(n) for n, p in probs.items()],
+        F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.1).alias("pos"),
     ).collect()
     expected = {(r.g, r.k): r for r in expected}
     assert len(ours) == len(expected)
     for r in ours:
-        for name in probs:
-            assert r[name] == pytest.approx(expected[r.g, r.k][name], rel=1e-12, abs=1e-300)
+        for name in [*probs, "pos"]:
+            value = expected[r.g, r.k][name]
+            assert r[name] == (value if value is None else pytest.approx(value, rel=1e-12, abs=1e-300))
+
+
+def test_percentiles_of_close_values(spark):
+    """All values in one magnitude bucket, some equal, and groups without positives."""
+    df = spark.range(5000).selectExpr("'a' AS g", "1000 + id % 700 * 1e-7 AS v")
+    df = df.unionByName(spark.range(9).selectExpr("'b' AS g", "-id * 1.0D AS v"))
+    found = {r.g: r for r in ranking.grouped_percentiles(df, ["g"], "v", {"p": 0.37}, {"pos": 0.5}).collect()}
+    expected = {r.g: r for r in df.groupBy("g").agg(F.percentile("v", 0.37).alias("p"), F.median("v").alias("m")).collect()}
+    assert found["a"].p == pytest.approx(expected["a"].p, rel=1e-14) and found["a"].pos == pytest.approx(expected["a"].m, rel=1e-14)
+    assert found["b"].p == expected["b"].p and found["b"].pos is None
 
 
 def test_top_per_group_limits_before_shuffle(spark):
