@@ -126,7 +126,8 @@ def series_scores(
 
     The actuals of a cutoff and series, at most one horizon, are packed into one
     row with its scales. The forecasts are then joined by cutoff and series, and
-    the aggregation reuses that partitioning: they are shuffled once.
+    the aggregation reuses that partitioning: they are read and shuffled once.
+    Forecasts without an actual stay in for the leakage guard and do not score.
     """
     actual = windows.actuals(panel, cutoffs, freq, h)
     packed = actual.groupBy("cutoff", "unique_id").agg(
@@ -135,9 +136,10 @@ def series_scores(
     scales = train_scales(panel, cutoffs, freq, window)
     side = packed.join(scales, ["cutoff", "unique_id"], "left")
     matches = F.filter("_actuals", lambda a: a["at"] == F.col("ds"))
-    joined = forecasts.join(side, ["cutoff", "unique_id"]).select(
-        *forecasts.columns, "mase_scale", "crps_scale", F.inline(matches)
+    joined = forecasts.join(side, ["cutoff", "unique_id"], "left").select(
+        *forecasts.columns, "mase_scale", "crps_scale", F.inline_outer(matches)
     )
+    matched = F.col("at").isNotNull()
     has_quantile = reduce(lambda a, b: a | b, [c.isNotNull() for c in _quantiles(joined).values()])
     bad = F.col("yhat").isNull() | F.col("y").isNull()
     filled = fill_quantiles(joined.withColumns({"_fill": _needs_fill(joined), "_has": has_quantile}))
@@ -145,11 +147,12 @@ def series_scores(
     scores = filled.groupBy(*SERIES).agg(
         (F.avg(F.abs(F.col("y") - F.col("yhat"))) / F.max("mase_scale")).alias("mase"),
         (F.sum(loss) * 2 / F.max("crps_scale")).alias("scaled_crps"),
-        F.count("*").alias("n_rows"),
-        F.size(F.collect_set("ds")).cast("long").alias("n_matched"),
-        F.count_if("_fill").alias("n_fill"),
-        F.count_if(bad).alias("n_null"),
+        F.count("at").alias("n_rows"),
+        F.size(F.collect_set("at")).cast("long").alias("n_matched"),
+        F.count_if(matched & F.col("_fill")).alias("n_fill"),
+        F.count_if(matched & bad).alias("n_null"),
         F.count_if("_has").alias("n_quantiled"),
+        F.min("ds").alias("min_ds"),
     )
     return scores.withColumn("subdataset", F.substring_index("unique_id", ":", -1))
 
@@ -181,10 +184,8 @@ def cutoff_expectations(
     )
 
 
-def key_status(
-    forecasts: DataFrame, scores: DataFrame, expected: DataFrame, on_unmatched: str = "fail"
-) -> DataFrame:
-    """Guard result per key.
+def key_status(scores: DataFrame, expected: DataFrame, on_unmatched: str = "fail") -> DataFrame:
+    """Guard result per key, from :func:`series_scores` and :func:`cutoff_expectations`.
 
     ``ok``, or the first guard that fails: ``leakage`` (a forecast lies before the
     cutoff), ``missing_history`` and ``missing_actuals`` (a period is absent),
@@ -193,24 +194,23 @@ def key_status(
     """
     if on_unmatched not in ("fail", "drop"):
         raise ValueError(f"Unknown on_unmatched: {on_unmatched}")
-    keys = forecasts.groupBy(*KEY).agg(F.min("ds").alias("min_ds"))
     undefined = F.col("mase").isNull() | F.col("scaled_crps").isNull()
     undefined = undefined | F.isnan("mase") | F.isnan("scaled_crps")
     sums = scores.groupBy(*KEY).agg(
         *[F.sum(c).alias(c) for c in ("n_rows", "n_matched", "n_fill", "n_null", "n_quantiled")],
-        F.count_if(undefined).alias("n_undefined"),
+        F.count_if(undefined & (F.col("n_matched") > 0)).alias("n_undefined"),
+        F.min("min_ds").alias("min_ds"),
     )
     zero, no = F.lit(0).cast("long"), F.lit(False)
-    counts = ("n_rows", "n_matched", "n_fill", "n_null", "n_quantiled")
-    counts += ("n_undefined", "n_actual", "n_train_only")
+    own = ("n_rows", "n_matched", "n_fill", "n_null", "n_quantiled", "n_undefined")
     rows = (
-        keys.join(sums, KEY, "left")
-        .join(expected, "cutoff", "left")
+        sums.join(expected, "cutoff", "left")
         .select(
             *KEY,
             "min_ds",
+            *own,
             *[F.coalesce(c, no).alias(c) for c in ("window_ok", "actuals_ok")],
-            *[F.coalesce(c, zero).alias(c) for c in counts],
+            *[F.coalesce(c, zero).alias(c) for c in ("n_actual", "n_train_only")],
         )
         .withColumn("n_unmatched", F.col("n_actual") - F.col("n_matched"))
     )
@@ -223,7 +223,7 @@ def key_status(
         .when(~F.col("window_ok"), "missing_history")
         .when(F.col("n_actual") == 0, "no_actuals")
         .when(~F.col("actuals_ok"), "missing_actuals")
-        .when((F.col("n_matched") > 0) & (F.col("n_quantiled") == 0), "no_quantiles")
+        .when(F.col("n_quantiled") == 0, "no_quantiles")
         .when((F.col("n_unmatched") > 0) | (F.col("n_null") > 0) | too_many, "null_values")
         .when((F.col("n_undefined") > 0) | (F.col("n_train_only") > 0), "nan_metrics")
         .otherwise("ok")
@@ -246,20 +246,20 @@ def evaluate(
 
     ``on_unmatched="drop"`` scores the series that have a forecast instead of
     failing a key over an actual without one. ``strict`` raises on a failed key.
-    Scores are staged, so the join of forecasts and actuals runs once.
+    Scores are staged, so forecasts are read and joined once.
     """
     f = cal.frequency(freq)
     cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
     scores = settle(series_scores(forecasts, panel, cutoffs, f, window, h, convention), "scores")
     expected = cutoff_expectations(panel, cutoffs, f, window, h)
-    status = key_status(forecasts, scores, expected, on_unmatched)
+    status = key_status(scores, expected, on_unmatched)
     status = settle(status, "key-status")
     if strict:
         failed = status.where("status <> 'ok'").select("model", "cutoff", "status").limit(10).collect()
         if failed:
             raise ValueError(f"Evaluation failed for {[tuple(r) for r in failed]}")
     passed = status.where("status = 'ok'").select(*KEY)
-    metrics = scores.join(passed, KEY, "left_semi").select(
+    metrics = scores.where("n_matched > 0").join(passed, KEY, "left_semi").select(
         "unique_id",
         "model",
         "model_alias",

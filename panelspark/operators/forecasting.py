@@ -6,9 +6,10 @@ plus one ``q_<level>`` column per quantile level.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,30 +152,41 @@ def forecast_native(
     )
 
 
-def _run_series(
+def _run_batches(
     model: Model, freq: cal.Frequency, h: int, levels: Sequence[int]
-) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Grouped-map function that runs a pandas model on one series and cutoff."""
-    fn, name, alias, freq_name = model.fn, model.name, model.alias, freq.name
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Function that runs a pandas model on batches of packed series."""
+    fn, freq_name = model.fn, freq.name
+    head = {"model": model.name, "model_alias": model.alias, "frequency": freq_name}
     quantiles = [q / 100 for q in levels]
-    columns = [scoring.quantile_column(q) for q in levels]
+    columns = ["ds", "yhat", *(scoring.quantile_column(q) for q in levels)]
 
-    def run(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
-        past = series[["ds", "y"]].sort_values("ds", ignore_index=True)
-        error = None
+    def one(micros: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], int, str | None]:
+        past = pd.DataFrame({"ds": micros.astype("datetime64[us]").astype("datetime64[ns]"), "y": y})
         try:
             try:
                 out = fn(past, h, freq_name, quantiles)
             except (ValueError, TypeError):
                 out = fn(past, h, freq_name)
-            out = out.reindex(columns=["ds", "yhat", *columns])
+            missing = np.full(len(out), np.nan)
+            found = {c: out[c].to_numpy() if c in out else missing for c in columns}
+            return found, len(out), None
         except Exception as problem:  # the failure is reported as a row
-            error = f"{type(problem).__name__}: {problem}"
-            out = pd.DataFrame({"ds": [pd.NaT]}).reindex(columns=["ds", "yhat", *columns])
-        head = {"model": name, "model_alias": alias, "frequency": freq_name}
-        head |= {"cutoff": key[0], "unique_id": key[1]}
-        values = {c: out[c].to_numpy() for c in ["ds", "yhat", *columns]}
-        return pd.DataFrame(head | values | {"error": error}, index=range(len(out)))
+            found = {c: np.array([np.nan]) for c in columns[1:]}
+            found["ds"] = np.array(["NaT"], dtype="datetime64[ns]")
+            return found, 1, f"{type(problem).__name__}: {problem}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            results = [one(np.asarray(t), np.asarray(y)) for t, y in zip(batch["micros"], batch["y"])]
+            if not results:
+                continue
+            sizes = [n for _, n, _ in results]
+            data = {c: np.concatenate([found[c] for found, _, _ in results]) for c in columns}
+            data = {k: batch[k].repeat(sizes).to_numpy() for k in ("cutoff", "unique_id")} | data
+            errors = np.repeat(np.array([e for _, _, e in results], dtype=object), sizes)
+            out = pd.DataFrame(data).assign(**head, error=errors)
+            yield out[["model", "model_alias", "frequency", "cutoff", "unique_id", *columns, "error"]]
 
     return run
 
@@ -190,16 +202,19 @@ def forecast_pandas(
 ) -> DataFrame:
     """Forecasts of one pandas model with an ``error`` column.
 
-    Each call gets one series' window, at most ``window`` rows. Fitting costs time
-    and not bytes, so the number of tasks is set here and not merged by size.
+    Each series' window, at most ``window`` values, is packed into one row, so a
+    task receives many series per Arrow batch and calls the model once for each.
+    Fitting costs time and not bytes, so the number of tasks is set here and not
+    merged by size.
     """
     f = cal.frequency(freq)
-    spark = panel.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     past = windows.history(panel, cutoffs, f, window).repartition(tasks, "cutoff", "unique_id")
-    run = _run_series(get_model(model), f, h or f.h, levels)
-    schema = forecast_schema(levels) + ", error STRING"
-    return past.groupBy("cutoff", "unique_id").applyInPandas(run, schema)
+    values = F.array_sort(F.collect_list(F.struct(F.unix_micros("ds").alias("micros"), "y")))
+    packed = past.groupBy("cutoff", "unique_id").agg(values.alias("_past"))
+    packed = packed.select("cutoff", "unique_id", F.col("_past.micros"), F.col("_past.y"))
+    run = _run_batches(get_model(model), f, h or f.h, levels)
+    return packed.mapInPandas(run, forecast_schema(levels) + ", error STRING")
 
 
 def forecast(

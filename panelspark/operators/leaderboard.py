@@ -151,12 +151,15 @@ def leaderboard(
 
     The long scores and the stratum results are staged: the grid's dimensions,
     the scores and the denominators are then read from tables of a few rows per
-    stratum and not recomputed from the metrics.
+    stratum and not recomputed from the metrics. Every stratum with a denominator
+    has zero-model rows, which carry it.
     """
     long = settle(raw_long(metrics, sparsity, frequencies, dataset), "long-scores")
-    denominators = settle(zero_denominators(long, zero_model, floor), "denominators")
+    denominators = zero_denominators(long, zero_model, floor)
     scored = settle(scaled_scores(stratum_medians(long), denominators), "scaled")
-    return complete_grid(full_grid(scored, dataset), scored, denominators)
+    stored = scored.where(F.col("model") == zero_model)
+    stored = stored.select(*STRATUM, "median_zero", "pct_z", "denom").distinct()
+    return complete_grid(full_grid(scored, dataset), scored, stored)
 
 
 def sorted_leaderboard(board: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,32 +103,33 @@ class Sample:
             return self._stage("monthly", lambda: sample.monthly_orders(self.spark, self.sf_dir))
         return self._stage(freq, lambda: self.series(freq).select("unique_id", "metric", "ds", "y"))
 
-    def forecasts(self, freq: str = "daily", cutoffs=DAILY_CUTOFFS, window: int = DAILY_WINDOW) -> DataFrame:
-        def make() -> DataFrame:
-            return forecasting.forecast_native(self.panel(freq), cutoffs, freq, window=window)
-
-        return self._stage(f"forecasts-{freq}-{window}", make)
+    def backtest(self, freq: str = "daily", cutoffs=DAILY_CUTOFFS, window: int = DAILY_WINDOW) -> DataFrame:
+        return forecasting.forecast_native(self.panel(freq), cutoffs, freq, window=window)
 
     def joined(self) -> DataFrame:
         actual = windows.actuals(self.panel("daily"), DAILY_CUTOFFS, "daily")
-        return evaluation.join_actuals(self.forecasts(), actual)
+        return evaluation.join_actuals(self.backtest(), actual)
 
     def scales(self) -> DataFrame:
         return evaluation.train_scales(self.panel("daily"), DAILY_CUTOFFS, "daily", DAILY_WINDOW)
 
     def evaluated(self, freq: str, cutoffs, window: int) -> tuple[DataFrame, DataFrame]:
-        return evaluation.evaluate(
-            self.forecasts(freq, cutoffs, window), self.panel(freq), cutoffs, freq, window
-        )
+        rows = self.backtest(freq, cutoffs, window)
+        return evaluation.evaluate(rows, self.panel(freq), cutoffs, freq, window)
 
     def metrics(self) -> DataFrame:
-        """Daily, weekly and monthly metrics."""
+        """Daily, weekly and monthly metrics; the frequencies are independent jobs."""
+        runs = [
+            ("daily", DAILY_CUTOFFS, DAILY_WINDOW),
+            ("weekly", WEEKLY_CUTOFFS, WEEKLY_WINDOW),
+            ("monthly", MONTHLY_CUTOFFS, MONTHLY_WINDOW),
+        ]
 
         def make() -> DataFrame:
-            daily, _ = self.evaluated("daily", DAILY_CUTOFFS, DAILY_WINDOW)
-            weekly, _ = self.evaluated("weekly", WEEKLY_CUTOFFS, WEEKLY_WINDOW)
-            monthly, _ = self.evaluated("monthly", MONTHLY_CUTOFFS, MONTHLY_WINDOW)
-            return daily.unionByName(weekly).unionByName(monthly)
+            self.activity()
+            with ThreadPoolExecutor(len(runs)) as pool:
+                parts = list(pool.map(lambda run: self.evaluated(*run)[0], runs))
+            return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
         return self._stage("metrics", make)
 
@@ -452,12 +454,12 @@ def forecast_seasonal_naive(s: Sample) -> DataFrame:
 
 @_query
 def forecast_backtest(s: Sample) -> DataFrame:
-    return s.forecasts()
+    return s.backtest()
 
 
 @_query
 def forecast_monthly(s: Sample) -> DataFrame:
-    return s.forecasts("monthly", MONTHLY_CUTOFFS, MONTHLY_WINDOW)
+    return s.backtest("monthly", MONTHLY_CUTOFFS, MONTHLY_WINDOW)
 
 
 def _sample_models() -> dict:
@@ -504,7 +506,7 @@ def forecast_point_only(s: Sample) -> DataFrame:
 
 @_query
 def forecast_model_file(s: Sample) -> DataFrame:
-    wide = forecasting.to_model_file(s.forecasts(), "historic_average")
+    wide = forecasting.to_model_file(s.backtest(), "historic_average")
     return forecasting.from_model_file(wide, "historic_average", "daily")
 
 
@@ -523,7 +525,7 @@ def mase_by_series(s: Sample) -> DataFrame:
 
 @_query
 def pinball_by_quantile(s: Sample) -> DataFrame:
-    joined = s.joined()
+    joined = settle(s.joined(), "joined")
     keys = [*evaluation.SERIES, "level"]
     ours = evaluation.quantile_loss(joined)
     textbook = evaluation.quantile_loss(joined, "standard").withColumnRenamed("loss", "standard_loss")
@@ -538,7 +540,7 @@ def scaled_crps(s: Sample) -> DataFrame:
 def _without_spread(s: Sample) -> DataFrame:
     """Forecasts that lack the top quantile of series without spread."""
     flat = F.col("q_90") == F.col("q_10")
-    return s.forecasts().withColumn("q_90", F.when(~flat, F.col("q_90")))
+    return s.backtest().withColumn("q_90", F.when(~flat, F.col("q_90")))
 
 
 @_query
@@ -565,7 +567,7 @@ def evaluate_metrics(s: Sample) -> DataFrame:
 
 @_query
 def guard_leakage(s: Sample) -> DataFrame:
-    return evaluation.leakage(s.forecasts())
+    return evaluation.leakage(s.backtest())
 
 
 def _early(s: Sample) -> tuple[DataFrame, DataFrame]:
