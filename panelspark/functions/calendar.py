@@ -146,6 +146,13 @@ def partition_values(ts: Column, freq: str | Frequency) -> dict[str, Column]:
     return parts
 
 
+def partition_path(ts: Column, freq: str | Frequency) -> Column:
+    """Relative folder of a period, such as ``year=2026/month=01/day=02``."""
+    parts = partition_values(ts, freq)
+    pattern = "/".join(f"{name}={'%04d' if name == 'year' else '%02d'}" for name in parts)
+    return F.format_string(pattern, *parts.values())
+
+
 # --- keys and cutoffs ----------------------------------------------------------
 
 # Accepted cutoff formats, as Spark patterns and strptime patterns.

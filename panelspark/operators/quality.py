@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions import calendar as cal
 from panelspark.session import settle
 from panelspark.sources.tables import read_table
 
@@ -100,6 +101,23 @@ def validate_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     return checked.withColumn("checked_at", F.current_timestamp())
 
 
+def validate_period_files(
+    spark: SparkSession, root: str, freq: str, start: str, end: str, file: str = "series.parquet"
+) -> DataFrame:
+    """Ledger of the one-file-per-period layout ``<root>/<date parts>/<file>`` over a range."""
+    grid = cal.label_grid(spark, freq, start, end)
+    folder = cal.partition_path(F.col("ds"), freq)
+    path = F.concat_ws("/", F.lit(root.rstrip("/")), folder, F.lit(file))
+    return validate_files(grid.select(cal.hour_key(F.col("ds")).alias("key"), path.alias("path")))
+
+
+def validate_periods(series: DataFrame, freq: str, start: str, end: str) -> DataFrame:
+    """Ledger of the periods of a range against the rows of a series table."""
+    grid = cal.label_grid(series.sparkSession, freq, start, end)
+    counts = series.groupBy(cal.hour_key(F.col("ds")).alias("key")).agg(F.count("*").alias("num_rows"))
+    return validate_keys(grid.select(cal.hour_key(F.col("ds")).alias("key")), counts)
+
+
 def mark_known_issues(ledger: DataFrame, known: Iterable[str], reason: str = KNOWN_REASON) -> DataFrame:
     """Turn problem rows of known keys into ``known_issue``; good rows stay as they are."""
     hit = F.col("key").isin(*known) & ~acceptable()

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from panelspark.functions import calendar as cal
 from panelspark.operators import (
@@ -25,6 +26,7 @@ from panelspark.operators import (
 )
 from panelspark.session import configure, settle
 from panelspark.sources import archive, tables
+from panelspark.streaming import hourly
 
 HOUR_PARTS = list(archive.HOUR_PARTS)
 SERIES_PARTS = ["frequency", "ds_date"]
@@ -78,6 +80,34 @@ class Benchmark:
             self.spark, self.path("ledger/raw"), expected, validate, build, known, strict=False
         )
 
+    def stream(self, source: str, freqs: Iterable[str] = ("daily",), files_per_batch: int = 1000) -> StreamingQuery:
+        """Ingest all archive files that are new since the last run, then stop.
+
+        A file holds a whole hour, so a new file of a stored hour replaces it. The
+        hourly counts of the touched hours and the series of the touched periods
+        are rebuilt with each batch; repeating a batch changes nothing.
+        """
+        freqs = list(freqs)
+
+        def write(batch: DataFrame, number: int) -> None:
+            events = settle(archive.with_hour_parts(archive.drop_bad_hours(batch)), "batch")
+            tables.write_partitions(events, self.path("raw"), HOUR_PARTS, gather=False)
+            if not self.has("entities") or events.isEmpty():
+                return
+            hours = settle(events.select(archive.hour_of_parts().alias("hour")).distinct(), "hours")
+            self._merge_first_events(series.first_events(events, self.table("entities")))
+            self.build_hourly(hours)
+            for freq in freqs:
+                self.build_series(freq, touched=hours)
+
+        return (
+            hourly.stream_archive(self.spark, source, files_per_batch)
+            .writeStream.foreachBatch(write)
+            .option("checkpointLocation", self.path("stream-state"))
+            .trigger(availableNow=True)
+            .start()
+        )
+
     # --- entities ----------------------------------------------------------------------
 
     def select_entities(self, year: int, **options) -> None:
@@ -91,6 +121,12 @@ class Benchmark:
         first = series.first_events(self.table("raw"), self.table("entities"))
         tables.write_table(first, self.path("first_events"))
 
+    def _merge_first_events(self, found: DataFrame) -> None:
+        """Lower stored first hours to earlier ones in new events."""
+        both = self.table("first_events").unionByName(found) if self.has("first_events") else found
+        merged = settle(both.groupBy("repo_id").agg(F.min("first_hour").alias("first_hour")), "first")
+        tables.write_table(merged, self.path("first_events"))
+
     # --- series --------------------------------------------------------------------------
 
     def build_hourly(self, hours: DataFrame | None = None) -> None:
@@ -135,6 +171,11 @@ class Benchmark:
         tables.write_partitions(panel, self.path("series"), SERIES_PARTS)
         return status
 
+    def validate_series(self, freq: str, start: str, end: str) -> DataFrame:
+        """Ledger of the stored periods of a range."""
+        rows = tables.read_series(self.spark, self.path("series"), freq, start, end)
+        return quality.validate_periods(rows, freq, start, end)
+
     def build_sparsity(self, year: int | None = None) -> None:
         """Sparsity levels from the stored daily series."""
         daily = self.table("series").where("frequency = 'daily'")

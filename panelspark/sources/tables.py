@@ -66,6 +66,13 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
         return spark.createDataFrame([], schema)
 
 
+def register_table(spark: SparkSession, name: str, path: str) -> None:
+    """Make a stored, partitioned layer known to the catalog as an external table."""
+    spark.catalog.createTable(name, path=path, source="parquet")
+    if any(c.isPartition for c in spark.catalog.listColumns(name)):
+        spark.catalog.recoverPartitions(name)
+
+
 def read_tree(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """Read all matching files below a folder of mixed layout, merging their columns by name."""
     return (

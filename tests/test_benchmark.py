@@ -113,6 +113,44 @@ def test_stored_forecast_lookup(spark, bench):
         tables.read_forecasts(spark, bench.path("forecasts"), "daily", "no_model", CUTOFFS[0])
 
 
+def test_validation_and_catalog(spark, bench):
+    ledger = bench.validate_series("daily", "2024-01-01", "2024-01-25")
+    counts = {r.status: r["count"] for r in ledger.groupBy("status").count().collect()}
+    assert counts == {"ok": 23, "missing": 2}
+    tables.register_table(spark, "stored_series", bench.path("series"))
+    found = spark.sql("SELECT count(*) AS n FROM stored_series WHERE frequency = 'daily' AND ds_date = DATE'2024-01-03'")
+    assert found.first().n == bench.panel("daily").where("ds = TIMESTAMP'2024-01-03'").count() > 0
+    spark.sql("DROP TABLE stored_series")
+
+
+def test_stream(spark, bench, folders, tmp_path):
+    """A benchmark fed by the stream equals one built in batches, also after late hours."""
+    src, _ = folders
+    streamed = Benchmark(spark, str(tmp_path / "streamed"))
+    tables.write_table(bench.table("entities"), streamed.path("entities"))
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    late = f"{START:%Y-%m-%d}-7.json.gz"
+    files = sorted(p.name for p in src.iterdir())
+    first_day = [f for f in files if f.startswith("2024-01-01-")]
+    second_day = [f for f in files if f.startswith("2024-01-02-")]
+
+    def land(names):
+        for name in names:
+            (landing / name).write_bytes((src / name).read_bytes())
+        streamed.stream(str(landing)).awaitTermination()
+
+    def days(b):
+        return rows(b.panel("daily").where("ds < TIMESTAMP'2024-01-03'"))
+
+    land([f for f in first_day if f != late])
+    assert streamed.stored_hours().count() == 23
+    land([late, *second_day])
+    assert streamed.stored_hours().count() == 48
+    assert days(streamed) == days(bench) != []
+    assert rows(streamed.table("first_events")) == rows(bench.table("first_events"))
+
+
 def test_guards_stop_a_forecast(bench):
     with pytest.raises(FileNotFoundError):
         bench.run_forecasts("daily", ["2024-01-03"], window=7)

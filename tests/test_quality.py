@@ -120,3 +120,37 @@ def test_refresh_raises(spark, tmp_path):
 
 def test_no_ledger(spark, tmp_path):
     assert quality.load_ledger(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_period_files(spark, tmp_path):
+    for day, n in (("01", 5), ("02", 3), ("03", 0)):
+        folder = tmp_path / "daily" / "year=2026" / "month=01" / f"day={day}"
+        folder.mkdir(parents=True)
+        pq.write_table(pa.table({"y": pa.array(range(n), pa.int64())}), folder / "series.parquet")
+
+    def check():
+        found = quality.validate_period_files(spark, str(tmp_path / "daily"), "daily", "2026-01-01", "2026-01-05")
+        return rows(found.select("key", "status", "num_rows"))
+
+    keys = [f"2026-01-{d:02d}-00" for d in range(1, 6)]
+    found = [("ok", 5), ("ok", 3), ("empty", 0), ("missing", 0), ("missing", 0)]
+    assert check() == [(k, *f) for k, f in zip(keys, found)]
+    (tmp_path / "daily/year=2026/month=01/day=02/series.parquet").write_bytes(b"garbage")
+    assert check()[1] == (keys[1], "unreadable", 0)
+
+
+def test_partition_paths(spark):
+    from conftest import utc
+    from pyspark.sql import functions as F
+
+    from panelspark.functions import calendar as cal
+
+    at = F.lit(utc("2023-01-01T05:00"))
+    found = spark.range(1).select(*[cal.partition_path(at, f).alias(f) for f in cal.FREQUENCIES]).first()
+    # Folders of the hour 2023-01-01 05:00, whose ISO week is 2022/52.
+    assert found.asDict() == {
+        "hourly": "year=2023/month=01/day=01/hour=05",
+        "daily": "year=2023/month=01/day=01",
+        "weekly": "year=2022/week=52",
+        "monthly": "year=2023/month=01",
+    }
