@@ -113,6 +113,32 @@ def leakage(forecasts: DataFrame) -> DataFrame:
     return first.withColumn("leaks", F.col("min_ds") < F.col("cutoff"))
 
 
+# Longest horizon whose steps fit the bits of a long.
+_MAX_PACKED = 63
+
+
+def _with_actuals(
+    forecasts: DataFrame, actual: DataFrame, scales: DataFrame, f: cal.Frequency, h: int
+) -> DataFrame:
+    """Forecasts with their step ``_k``, actual ``y`` and scales; null where there is none.
+
+    The actuals of a cutoff and series are packed into one row with its scales, so
+    the join needs cutoff and series only and a following aggregation per series
+    reuses its partitioning. A very long horizon is joined by time instead.
+    """
+    step = cal.period_index(F.col("ds"), f) - cal.period_index(F.col("cutoff"), f)
+    keys = ["cutoff", "unique_id"]
+    if h > _MAX_PACKED:
+        joined = forecasts.join(actual, [*keys, "ds"], "left").join(scales, keys, "left")
+        return joined.withColumn("_k", step)
+    values = [F.max(F.when(step == i, F.col("y"))).alias(f"_y{i}") for i in range(1, h + 1)]
+    side = actual.groupBy(*keys).agg(*values).join(scales, keys, "left")
+    packed = F.array(*[F.col(f"_y{i}") for i in range(1, h + 1)])
+    value = F.when(cal.on_grid(F.col("ds"), f) & (F.col("_k") > 0), F.get(packed, F.col("_k").cast("int") - 1))
+    joined = forecasts.withColumn("_k", step).join(side, keys, "left")
+    return joined.select(*forecasts.columns, "_k", value.alias("y"), "mase_scale", "crps_scale")
+
+
 def series_scores(
     forecasts: DataFrame,
     panel: DataFrame,
@@ -124,33 +150,31 @@ def series_scores(
 ) -> DataFrame:
     """Unchecked scores per model, cutoff and series, with the counts the guards need.
 
-    The actuals of a cutoff and series, at most one horizon, are packed into one
-    row with its scales. The forecasts are then joined by cutoff and series, and
-    the aggregation reuses that partitioning: they are read and shuffled once.
-    Forecasts without an actual stay in for the leakage guard and do not score.
+    The forecasts are read and shuffled once. Those without an actual stay in for
+    the leakage guard and do not score.
     """
-    actual = windows.actuals(panel, cutoffs, freq, h)
-    packed = actual.groupBy("cutoff", "unique_id").agg(
-        F.collect_list(F.struct(F.col("ds").alias("at"), "y")).alias("_actuals")
-    )
-    scales = train_scales(panel, cutoffs, freq, window)
-    side = packed.join(scales, ["cutoff", "unique_id"], "left")
-    matches = F.filter("_actuals", lambda a: a["at"] == F.col("ds"))
-    joined = forecasts.join(side, ["cutoff", "unique_id"], "left").select(
-        *forecasts.columns, "mase_scale", "crps_scale", F.inline_outer(matches)
-    )
-    matched = F.col("at").isNotNull()
+    f = cal.frequency(freq)
+    h = h or f.h
+    actual = windows.actuals(panel, cutoffs, f, h)
+    scales = train_scales(panel, cutoffs, f, window)
+    joined = _with_actuals(forecasts, actual, scales, f, h)
+    matched = F.col("y").isNotNull()
     has_quantile = reduce(lambda a, b: a | b, [c.isNotNull() for c in _quantiles(joined).values()])
-    bad = F.col("yhat").isNull() | F.col("y").isNull()
     filled = fill_quantiles(joined.withColumns({"_fill": _needs_fill(joined), "_has": has_quantile}))
     loss = scoring.mean_pinball(F.col("y"), _quantiles(filled), convention)
+    step = F.when(matched, F.col("_k"))
+    if h > _MAX_PACKED:
+        n_matched = F.size(F.collect_set(step))
+    else:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (step - 1).cast("int"))
+        n_matched = F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")))
     scores = filled.groupBy(*SERIES).agg(
         (F.avg(F.abs(F.col("y") - F.col("yhat"))) / F.max("mase_scale")).alias("mase"),
         (F.sum(loss) * 2 / F.max("crps_scale")).alias("scaled_crps"),
-        F.count("at").alias("n_rows"),
-        F.size(F.collect_set("at")).cast("long").alias("n_matched"),
+        F.count("y").alias("n_rows"),
+        n_matched.cast("long").alias("n_matched"),
         F.count_if(matched & F.col("_fill")).alias("n_fill"),
-        F.count_if(matched & bad).alias("n_null"),
+        F.count_if(matched & F.col("yhat").isNull()).alias("n_null"),
         F.count_if("_has").alias("n_quantiled"),
         F.min("ds").alias("min_ds"),
     )

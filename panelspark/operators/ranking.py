@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import is_small
+
 
 def count_percent_rank(values: DataFrame, value: str, rank: str) -> DataFrame:
     """``percent_rank`` per distinct value of a histogram ``(value, n)``.
@@ -95,6 +97,7 @@ def _magnitude_bucket(value: Column) -> Column:
 
 
 _SLICES = 1024
+SMALL_ROWS = 2_000_000
 
 
 class _Target:
@@ -140,15 +143,36 @@ def grouped_percentiles(
     value: str,
     probabilities: dict[str, float],
     of_positive: dict[str, float] | None = None,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Exact interpolated percentiles per group; nulls are ignored.
 
-    Equal to ``percentile(value, p)`` but without a map of all values of a group.
+    ``probabilities`` maps output columns to probabilities, ``of_positive`` does so
+    for percentiles of the values above zero. ``df`` should be a stored table: it is
+    counted first. Up to ``small_rows`` rows, Spark's ``percentile`` is used, which
+    keeps a map of all values of a group. Beyond, see :func:`bucketed_percentiles`.
+    """
+    if not is_small(df, small_rows):
+        return bucketed_percentiles(df, keys, value, probabilities, of_positive)
+    v = F.col(value).cast("double")
+    columns = [F.percentile(v, p).alias(name) for name, p in probabilities.items()]
+    positive = F.when(v > 0, v)
+    columns += [F.percentile(positive, p).alias(name) for name, p in (of_positive or {}).items()]
+    return df.where(v.isNotNull()).groupBy(*keys).agg(*columns)
+
+
+def bucketed_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: dict[str, float],
+    of_positive: dict[str, float] | None = None,
+) -> DataFrame:
+    """:func:`grouped_percentiles` without ever holding or sorting a whole group.
+
     Equal values are counted first. The counts are cut into buckets by magnitude,
     and the few buckets that hold a wanted rank into 1,024 slices between their
-    smallest and largest value; only the slices that hold a wanted rank are
-    sorted. ``probabilities`` maps output columns to probabilities, ``of_positive``
-    does so for percentiles of the values above zero.
+    smallest and largest value; only the slices that hold a wanted rank are sorted.
     """
     keys = list(keys)
     targets = [_Target(n, p, False) for n, p in probabilities.items()]

@@ -72,6 +72,6 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def is_small(ids: DataFrame, limit: int = MAX_BROADCAST_IDS) -> bool:
-    """True if a frame has at most ``limit`` rows; reads no more than that."""
-    return ids.limit(limit + 1).count() <= limit
+def is_small(df: DataFrame, limit: int = MAX_BROADCAST_IDS) -> bool:
+    """True if a stored frame has at most ``limit`` rows; a count over Parquet reads no columns."""
+    return df.count() <= limit

@@ -153,3 +153,27 @@ def test_no_quantiles(panel, forecasts):
     empty = {f"q_{q}": F.lit(None).cast("double") for q in range(10, 100, 10)}
     _, status = ev.evaluate(forecasts.withColumns(empty), panel, CUTOFFS, "daily", 14)
     assert status_of(status) == {16: "no_quantiles", 23: "no_quantiles"}
+
+
+def test_long_horizon(spark):
+    """Beyond 63 steps the actuals are joined by time; the scores are the same."""
+    panel = panel_of(spark, {f"{i}:x": [(7 * i + d * d) % 11 for d in range(120)] for i in range(3)})
+    cutoff = ["2026-01-20"]
+    rows = fc.forecast_native(panel, cutoff, "daily", ["historic_average"], h=70, window=10)
+    metrics, status = ev.evaluate(rows, panel, cutoff, "daily", 10, 70)
+    assert (status.first().status, status.first().n_matched) == ("ok", 210)
+    data = panel.toPandas()
+    for r in metrics.collect():
+        y = data[data.unique_id == r.unique_id].sort_values("ds").y.tolist()
+        past, actual = y[10:20], y[20:90]
+        scale = np.mean(np.abs(np.diff(past)))
+        assert r.mase == pytest.approx(np.mean([abs(a - np.mean(past)) for a in actual]) / scale)
+    short, _ = ev.evaluate(rows.where("ds <= TIMESTAMP'2026-02-09'"), panel, cutoff, "daily", 10, 20)
+    assert short.count() == 3
+
+
+def test_forecast_off_the_grid(panel, forecasts):
+    """A forecast at another time of day is no forecast of that day."""
+    moved = forecasts.withColumn("ds", F.when(F.col("unique_id") == "z:stars", F.expr("ds + INTERVAL 1 HOUR")).otherwise(F.col("ds")))
+    _, status = ev.evaluate(moved, panel, CUTOFFS, "daily", 14)
+    assert set(status_of(status).values()) == {"null_values"}
