@@ -147,6 +147,7 @@ def series_scores(
     window: int | None = None,
     h: int | None = None,
     convention: str = "reference",
+    m: int = 1,
 ) -> DataFrame:
     """Unchecked scores per model, cutoff and series, with the counts the guards need.
 
@@ -156,7 +157,7 @@ def series_scores(
     f = cal.frequency(freq)
     h = h or f.h
     actual = windows.actuals(panel, cutoffs, f, h)
-    scales = train_scales(panel, cutoffs, f, window)
+    scales = train_scales(panel, cutoffs, f, window, m)
     joined = _with_actuals(forecasts, actual, scales, f, h)
     matched = F.col("y").isNotNull()
     has_quantile = reduce(lambda a, b: a | b, [c.isNotNull() for c in _quantiles(joined).values()])
@@ -265,16 +266,18 @@ def evaluate(
     convention: str = "reference",
     on_unmatched: str = "fail",
     strict: bool = False,
+    m: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Metrics of all keys that pass the guards, and the status of every key.
 
     ``on_unmatched="drop"`` scores the series that have a forecast instead of
     failing a key over an actual without one. ``strict`` raises on a failed key.
+    ``m`` is the seasonality of the MASE scale.
     Scores are staged, so forecasts are read and joined once.
     """
     f = cal.frequency(freq)
     cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
-    scores = settle(series_scores(forecasts, panel, cutoffs, f, window, h, convention), "scores")
+    scores = settle(series_scores(forecasts, panel, cutoffs, f, window, h, convention, m), "scores")
     expected = cutoff_expectations(panel, cutoffs, f, window, h)
     status = key_status(scores, expected, on_unmatched)
     status = settle(status, "key-status")

@@ -29,6 +29,11 @@ STATUS_LABELS = {
     "unreadable": "Unreadable/corrupt",
     "known_issue": "Known issues",
 }
+# Section titles and closing lines of the report text.
+PROBLEM_TITLE = "Problem files:"
+KNOWN_TITLE = "Known issues (ignored):"
+ALL_OK = "All files OK."
+ALL_OK_BUT_KNOWN = "All files OK (excluding known issues)."
 ACCEPTABLE = ("ok", "known_issue")
 KNOWN_REASON = "known upstream issue"
 
@@ -243,8 +248,10 @@ def summary(ledger: DataFrame, listed: int = 100) -> str:
     row = status_counts(ledger).first()
     lines = [f"Validation Report: {row.total} files scanned"]
     lines += [f"  {label + ':':<20}{row[s]}" for s, label in STATUS_LABELS.items()]
-    sections = (("Problem files:", problems(ledger), row.total - row.ok - row.known_issue),
-                ("Known issues (ignored):", with_status(ledger, "known_issue"), row.known_issue))
+    sections = (
+        (PROBLEM_TITLE, problems(ledger), row.total - row.ok - row.known_issue),
+        (KNOWN_TITLE, with_status(ledger, "known_issue"), row.known_issue),
+    )
     for title, rows, n in sections:
         if not n:
             continue
@@ -255,5 +262,5 @@ def summary(ledger: DataFrame, listed: int = 100) -> str:
         if n > listed:
             lines.append(f"  ... and {n - listed} more")
     if row.all_ok:
-        lines += ["", "All files OK (excluding known issues)." if row.known_issue else "All files OK."]
+        lines += ["", ALL_OK_BUT_KNOWN if row.known_issue else ALL_OK]
     return "\n".join(lines)

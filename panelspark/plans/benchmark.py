@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from panelspark.constants import KEEP_EVENT_TYPES
 from panelspark.functions import calendar as cal
 from panelspark.operators import (
     entities as ent,
@@ -60,9 +61,15 @@ class Benchmark:
             return self.spark.createDataFrame([], "hour TIMESTAMP, num_rows BIGINT")
         return tables.present_hours(self.spark, self.path("raw"))
 
-    def ingest(self, source: str, hours: Iterable[str] | None = None, strict: bool = True) -> None:
+    def ingest(
+        self,
+        source: str,
+        hours: Iterable[str] | None = None,
+        strict: bool = True,
+        keep: Iterable[str] = KEEP_EVENT_TYPES,
+    ) -> None:
         """Flatten archive files into the raw table; only the given hours if any."""
-        events = archive.read_archive(self.spark, source, strict=strict, hours=hours)
+        events = archive.read_archive(self.spark, source, tuple(keep), strict, hours)
         tables.write_partitions(events, self.path("raw"), HOUR_PARTS, gather=False)
 
     def refresh_raw(self, source: str, start: str, end: str, known: Iterable[str] = ()) -> DataFrame:
