@@ -21,7 +21,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -36,7 +36,7 @@ covered AS (
 gone AS (SELECT r, list(i) AS g FROM covered GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
   sha256(coalesce(array_to_string(
-    CASE WHEN g IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(g, i)) END, ' '), '')) AS kept_sha256
+    CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)
 """
 
