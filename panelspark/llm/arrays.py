@@ -91,13 +91,18 @@ def word_hashes(data: np.ndarray, found: Words) -> np.ndarray:
     return mix(_rolling(data.astype(np.uint64) + np.uint64(1), found.begin, found.end, _BYTE_BASE))
 
 
-def grams(hashes: np.ndarray, doc: np.ndarray, size: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the words ``begin:end``, as signed longs."""
+    return tuple(mix(_rolling(hashes, begin, end, base)).view(np.int64) for base in _GRAM_BASES)
+
+
+def grams(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of every run of ``size`` words of one text."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    return at, mix(_rolling(hashes, at, at + size, _GRAM_BASES[base]))
+    return at, mix(_rolling(hashes, at, at + size, _GRAM_BASES[0]))
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:

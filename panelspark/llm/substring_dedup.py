@@ -1,25 +1,29 @@
 """Substring dedup: seed and extend on winnowed anchors.
 
-A window is ``window`` consecutive words. Its seed is the rolling hash of the least of its
-``ANCHOR_WORDS``-grams, so two equal windows have the same seed wherever they stand (winnowing).
+A window is ``window`` consecutive words. Its anchor is the least of its ``ANCHOR_WORDS``-grams, so two
+equal windows have the same anchor wherever they stand (winnowing). Consecutive windows with one anchor
+are a run: the anchor extended both ways as far as it stays the anchor.
 
-1. Seed: count the seeds of all documents; only those that occur twice or more can lie in a repeat.
-2. Extend: shared seeds are joined back to their documents. From each shared seed the match is
-   extended both ways, window by window, and the hashes of these windows are counted.
-3. A run of windows that each stand somewhere else too is a maximal repeat; its words are removed.
+1. Seed: count the anchors of all documents; only those that occur twice or more can lie in a repeat.
+2. Extend whole runs: join the shared anchors back to their documents and count their runs. A run
+   that occurs again is repeated in full. If all occurrences of an anchor have the same run, it is settled.
+3. Extend word by word: for the other anchors (the ends of a repeat, or an edited place) count the single
+   windows of the runs that occur once, and of one specimen of each other run.
+4. Windows and runs that occur twice or more, put together, are the maximal repeats; their words are removed.
 
 No pair of documents is formed: a passage in a third of all documents costs its own rows only,
-counted within tasks first. The 96-bit window hash stands for the word sequence.
+counted within tasks first. A 96-bit or 128-bit hash stands for the words of a window or run.
 
 Defined results: null and empty texts have no words and lose none; repeated rows (same or no
 ``doc_id``) are documents of their own, so their long passages are repeats of each other; other
-columns are ignored.
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,169 +36,225 @@ from panelspark.llm.tasks import column, ship_functions, slices
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 8
 
-_POSITION = np.uint64((1 << 24) - 1)  # words of a slice fit in 24 bits; longer slices use more
 
+class Windows(NamedTuple):
+    """Windows of some texts, by first word, and the word where the anchor of each begins."""
 
-def _windows(texts: pa.Array, window: int) -> tuple:
-    """All windows of ``window`` words: their text, first word, and the word of their anchor with its hash."""
+    words: arrays.Words
+    hashes: np.ndarray
+    first: np.ndarray
+    anchor: np.ndarray
+    grams: np.ndarray
+    size: int
+
+    def hashed(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the given windows in two parts, 64 and 32 bits."""
+        a, b = arrays.span_hashes(self.hashes, self.first[which], self.first[which] + self.size)
+        return a, (b.view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+class Runs(NamedTuple):
+    """Runs of windows with one anchor: text, anchor's hash, hash in two parts, first and last window."""
+
+    row: np.ndarray
+    seed: np.ndarray
+    r1: np.ndarray
+    r2: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    def some(self, which: np.ndarray) -> Runs:
+        return Runs(*(x[which] for x in self))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The run, and the number, of every window in these runs."""
+        length = self.end - self.begin
+        run = np.repeat(np.arange(len(length)), length)
+        return run, np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + self.begin[run]
+
+
+def _windows(texts: pa.Array, size: int) -> Windows:
     data, begin, end = arrays.flat(texts)
     found = arrays.words(data, begin, end)
     hashes = arrays.word_hashes(data, found)
-    size = min(ANCHOR_WORDS, window)
-    n = len(hashes) - window + 1
+    width = min(ANCHOR_WORDS, size)
+    n = len(hashes) - size + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return found, hashes, none, none, np.zeros(0, np.uint64)
-    at = np.flatnonzero(found.doc[:n] == found.doc[window - 1 :])
-    grams = arrays.mix(arrays._rolling(hashes, np.arange(len(hashes) - size + 1), np.arange(size, len(hashes) + 1), arrays._GRAM_BASES[0]))
-    bits = np.uint64(max(24, int(len(grams)).bit_length()))
-    place = np.arange(len(grams), dtype=np.uint64)
-    key = (grams >> bits << bits) | place
-    span, width = window - size + 1, 1
-    least = key
-    while width * 2 <= span:  # least of 2, 4, 8 ... grams
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if span > width:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)[at]
-    return found, hashes, at, anchor, grams
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
-def _seeds(window: int):
-    """(seed, key of its row, occurrences) for all texts."""
+        return Windows(found, hashes, none, none, np.zeros(0, np.uint64), size)
+    at = np.arange(len(hashes) - width + 1)
+    grams = arrays.span_hashes(hashes, at, at + width)[0].view(np.uint64)
+    bits = np.uint64(max(24, len(grams).bit_length()))
+    least = (grams >> bits << bits) | at.astype(np.uint64)  # by hash, then place
+    span, done = size - width + 1, 1
+    while done * 2 <= span:  # least of 2, 4, 8 ... grams
+        least = np.minimum(least[:-done], least[done:])
+        done *= 2
+    if span > done:
+        least = np.minimum(least[: len(least) - (span - done)], least[span - done :])
+    first = np.flatnonzero(found.doc[:n] == found.doc[size - 1 :])
+    anchor = (least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return Windows(found, hashes, first, anchor, grams, size)
+
+
+def _runs(w: Windows) -> Runs:
+    row = w.words.doc[w.first]
+    begin = np.flatnonzero((np.diff(w.anchor, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    end = np.append(begin[1:], len(w.first)) if len(begin) else begin
+    opens, closes = w.first[begin], w.first[end - 1] + w.size if len(begin) else begin
+    a, b = arrays.span_hashes(w.hashes, opens, closes)
+    place = w.anchor[begin]
+    shape = arrays.mix(((place - opens) << 32 | (closes - opens)).astype(np.uint64)).view(np.int64)
+    return Runs(row[begin], w.grams[place].view(np.int64), a ^ shape, b ^ shape, begin, end)
+
+
+def _seeds(size: int, with_key: bool):
+    """Anchors with the key of their row, or counted within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, _, _, anchor, grams = _windows(batch.column(0), window)
-            place = np.unique(anchor)
-            key = batch.column(1).to_numpy(zero_copy_only=False)[found.doc[place]]
-            yield pa.record_batch([pa.array(grams[place].view(np.int64)), pa.array(key)], ["seed", "row_key"])
+            found = _runs(_windows(batch.column(0), size))
+            if with_key:
+                key = batch.column(1).to_numpy(zero_copy_only=False)[found.row]
+                yield pa.record_batch([pa.array(found.seed), pa.array(key)], ["seed", "row_key"])
+            else:
+                seed, n = np.unique(found.seed, return_counts=True)
+                yield pa.record_batch([pa.array(seed), pa.array(n)], ["seed", "n"])
 
     return run
 
 
-def _seed_counts(window: int):
+def _lists(values: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each list element, and the elements."""
+    sizes = np.asarray(values.value_lengths().fill_null(0))
+    return np.repeat(np.arange(len(sizes)), sizes), values.flatten()
+
+
+def _known(a: np.ndarray, b: np.ndarray, found_a: np.ndarray, found_b: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``a, b`` are among the found ones, as its place there, else -1."""
+    order = np.lexsort((found_b, found_a))
+    sorted_a, sorted_b = found_a[order], found_b[order]
+    place, out = np.searchsorted(sorted_a, a), np.full(len(a), -1)
+    left = np.flatnonzero(place < len(order))
+    while len(left):
+        left = left[sorted_a[place[left]] == a[left]]
+        same = sorted_b[place[left]] == b[left]
+        out[left[same]] = order[place[left[same]]]
+        left = left[~same]
+        place[left] += 1
+        left = left[place[left] < len(order)]
+    return out
+
+
+def _run_rows(size: int):
+    """Runs of shared anchors: anchor, hash, key of the row and occurrences in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, _, _, anchor, grams = _windows(batch.column(0), window)
-            seed, n = _counted(grams[np.unique(anchor)].view(np.int64))
-            yield pa.record_batch([pa.array(seed), pa.array(n)], ["seed", "n"])
+            found = _runs(_windows(batch.column(0), size))
+            owner, seeds = _lists(batch.column(2))
+            tagged = lambda seed, row: arrays.mix(seed.view(np.uint64) ^ arrays.mix(row.astype(np.uint64)))
+            wanted = np.isin(tagged(found.seed, found.row), tagged(seeds.to_numpy(zero_copy_only=False), owner))
+            found = found.some(wanted)
+            key = batch.column(1).to_numpy(zero_copy_only=False)[found.row]
+            order = np.lexsort((found.r2, found.r1, key))
+            new = np.ones(len(order), bool)
+            for values in (found.r1, found.r2, key):
+                values = values[order]
+                new[1:] &= values[1:] == values[:-1]
+            new[1:] = ~new[1:]
+            start = np.flatnonzero(new)
+            n = np.diff(np.append(start, len(order))).astype(np.int64)
+            at = order[start]
+            yield pa.record_batch(
+                [pa.array(found.seed[at]), pa.array(found.r1[at]), pa.array(found.r2[at]), pa.array(key[at]), pa.array(n)],
+                ["seed", "r1", "r2", "row_key", "n"],
+            )
 
     return run
 
 
-def _extended(texts: pa.Array, seeds: pa.Array, window: int) -> tuple:
-    """Windows whose anchor is one of their row's shared seeds: words, row, first word, hash in two parts."""
-    found, hashes, at, anchor, grams = _windows(texts, window)
-    rows = found.doc[at]
-    counts = np.diff(np.concatenate([[0], np.asarray(seeds.value_lengths().fill_null(0)).cumsum()]))
-    shared = seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    owner = np.repeat(np.arange(len(counts)), counts).astype(np.uint64)
-    # One sorted list of (row, seed); rows are told apart by a multiple mixed into the seed.
-    tag = arrays.mix(shared ^ arrays.mix(owner + np.uint64(1)))
-    wanted = arrays.mix(grams[anchor] ^ arrays.mix(rows.astype(np.uint64) + np.uint64(1)))
-    hit = np.isin(wanted, tag)
-    at, rows = at[hit], rows[hit]
-    first = arrays.mix(arrays._rolling(hashes, at, at + window, arrays._GRAM_BASES[0])).view(np.int64)
-    second = arrays.mix(arrays._rolling(hashes, at, at + window, arrays._GRAM_BASES[1]))
-    return found, rows, at, first, (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def _extensions(window: int, with_key: bool):
-    """Windows extended from shared seeds, counted within a slice (or one row for each row key)."""
+def _open_windows(size: int, with_key: bool):
+    """Windows of the runs listed with each row: counted, or of runs that occur once with the row's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, rows, _, first, second = _extended(batch.column(0), batch.column(2), window)
-            key = batch.column(1).to_numpy(zero_copy_only=False)[rows] if with_key else np.zeros(len(rows), np.int64)
-            order = np.lexsort((second, first, key))
-            first, second, key = first[order], second[order], key[order]
-            new = np.ones(len(first), bool)
-            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (key[1:] != key[:-1])
-            start = np.flatnonzero(new)
-            n = np.diff(np.append(start, len(first))).astype(np.int64)
-            last = pa.array(key[start]) if with_key else pa.array(n)
-            yield pa.record_batch([pa.array(first[start]), pa.array(second[start]), last], ["w1", "w2", "row_key" if with_key else "n"])
+            w = _windows(batch.column(0), size)
+            found = _runs(w)
+            _, listed = _lists(batch.column(2))
+            field = lambda name: listed.field(name).to_numpy(zero_copy_only=False)
+            place = _known(found.r1, found.r2, field("r1"), field("r2"))
+            weight = field("weight")
+            hit = np.flatnonzero((place >= 0) & (weight[place] == 1) if with_key else place >= 0) if len(weight) else np.zeros(0, np.int64)
+            # A run that occurs once stands in its own row only; a specimen may meet its like in the slice.
+            some = found.some(hit)
+            which, number = some.windows()
+            a, b = w.hashed(number)
+            if with_key:
+                tail = batch.column(1).to_numpy(zero_copy_only=False)[some.row[which]]
+            else:
+                tail = weight[place[hit]][which]
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(tail)], ["w1", "w2", "row_key" if with_key else "n"])
 
     return run
 
 
-def _removed(window: int):
+def _covered(texts: pa.Array, size: int, runs: pa.ListArray, windows: pa.ListArray) -> tuple[Windows, np.ndarray]:
+    """Windows of some texts and which of them are repeated; a repeat is one in whatever row it stands."""
+    w = _windows(texts, size)
+    found = _runs(w)
+    repeated = np.zeros(len(w.first), bool)
+    known = _lists(runs)[1]
+    full = _known(found.r1, found.r2, known.field("r1").to_numpy(zero_copy_only=False), known.field("r2").to_numpy(zero_copy_only=False)) >= 0
+    repeated[found.some(full).windows()[1]] = True
+    known = _lists(windows)[1]
+    if len(known):
+        rest = found.some(~full).windows()[1]
+        a, b = w.hashed(rest)
+        repeated[rest] = _known(a, b, known.field("w1").to_numpy(zero_copy_only=False), known.field("w2").to_numpy(zero_copy_only=False)) >= 0
+    return w, repeated
+
+
+def _removed(size: int):
     """Per text: words, removed words, kept words' hash, and its maximal repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            repeats = batch.column(2)
-            touched = np.flatnonzero(np.asarray(repeats.value_lengths().fill_null(0)) > 0)
+            touched = np.flatnonzero(
+                np.asarray(batch.column(2).value_lengths().fill_null(0)) + np.asarray(batch.column(3).value_lengths().fill_null(0))
+            )
             cover: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             if len(touched):
                 some = batch.take(pa.array(touched))
-                found, hashes, at, _, _ = _windows(some.column(0), window)
-                rows = found.doc[at]
-                first = arrays.mix(arrays._rolling(hashes, at, at + window, arrays._GRAM_BASES[0])).view(np.int64)
-                second = (arrays.mix(arrays._rolling(hashes, at, at + window, arrays._GRAM_BASES[1])) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                lists = some.column(2)
-                flat_lists = lists.flatten()
-                w1 = flat_lists.field("w1").to_numpy(zero_copy_only=False)
-                w2 = flat_lists.field("w2").to_numpy(zero_copy_only=False)
-                counts = np.bincount(found.doc, minlength=len(some))
-                start = np.cumsum(counts) - counts
-                known = np.zeros(len(w1), [("a", np.int64), ("b", np.int32)])
-                known["a"], known["b"] = w1, w2
-                known = np.unique(known)
-                # A repeated window is a repeat in every row, so one list serves the whole slice.
-                place = np.searchsorted(known["a"], first)
-                hit = np.zeros(len(first), bool)
-                left = np.flatnonzero(place < len(known))
-                while len(left):
-                    same = known["a"][place[left]] == first[left]
-                    left = left[same]
-                    hit[left] |= known["b"][place[left]] == second[left]
-                    place[left] += 1
-                    left = left[place[left] < len(known)]
-                gone = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(gone, at[hit], 1)
-                np.add.at(gone, at[hit] + window, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-                new_doc = np.flatnonzero(np.diff(found.doc)) + 1
-                both = new_doc[(gone[new_doc]) & (gone[new_doc - 1])]  # a repeat ends with its text
-                opens = np.sort(np.concatenate([np.flatnonzero(edge == 1), both]))
-                closes = np.sort(np.concatenate([np.flatnonzero(edge == -1), both]))
-                owner = found.doc[opens]
-                for k, row in enumerate(touched):
-                    mine = slice(start[k], start[k] + counts[k])
-                    own = owner == k
-                    cover[int(row)] = (gone[mine], opens[own] - start[k], closes[own] - start[k])
+                w, repeated = _covered(some.column(0), size, some.column(2), some.column(3))
+                n, doc = len(w.hashes), w.words.doc
+                change = np.bincount(w.first[repeated], minlength=n + 1) - np.bincount(w.first[repeated] + size, minlength=n + 1)
+                gone = np.cumsum(change)[:n] > 0
+                apart = np.flatnonzero(np.diff(doc)) + 1
+                inner = apart[gone[apart] & gone[apart - 1]]  # a repeat ends with its text
+                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                opens = np.sort(np.concatenate([np.flatnonzero(edge == 1), inner]))
+                closes = np.sort(np.concatenate([np.flatnonzero(edge == -1), inner]))
+                bounds = np.searchsorted(doc, np.arange(len(touched) + 1))
+                marks = np.searchsorted(opens, bounds)
+                for k, row in enumerate(touched.tolist()):
+                    own = slice(marks[k], marks[k + 1])
+                    cover[row] = (gone[bounds[k] : bounds[k + 1]], opens[own] - bounds[k], closes[own] - bounds[k])
             n_words, n_removed, digest, begins, ends = [], [], [], [], []
             for row, text in enumerate(batch.column(0).cast(pa.large_binary()).to_pylist()):
-                parts = (text or b"").split()
+                parts = kept = (text or b"").split()  # at the bytes that end a word here too
+                begin = end = ()
                 if row in cover:
-                    gone, a, b = cover[row]
+                    gone, begin, end = cover[row]
                     kept = [parts[i] for i in np.flatnonzero(~gone)]
-                    begins.append(a.tolist())
-                    ends.append(b.tolist())
-                else:
-                    kept = parts
-                    begins.append([])
-                    ends.append([])
                 n_words.append(len(parts))
                 n_removed.append(len(parts) - len(kept))
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                begins.append(list(begin))
+                ends.append(list(end))
+            places = pa.list_(pa.int32())
             yield pa.record_batch(
-                [
-                    batch.column(3),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_removed, pa.int64()),
-                    pa.array(digest, pa.string()),
-                    pa.array(begins, pa.list_(pa.int32())),
-                    pa.array(ends, pa.list_(pa.int32())),
-                ],
+                [batch.column(4), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(begins, places), pa.array(ends, places)],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "repeat_begin", "repeat_end"],
             )
 
@@ -207,34 +267,61 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     The last two list the maximal repeats by word, begin included and end not.
     """
     ship_functions(docs.sparkSession)
-    # Rows of one key share their seed and window lists; a window that repeats does so in every row,
-    # so rows with equal keys (repeated or null ids) only see longer lists.
+    # Whether a seed, run or window repeats holds for all rows, so rows that share a key (repeated or
+    # null ids) only see longer lists.
     base = docs.select(
         column(docs, "text").alias("text"),
-        F.coalesce(F.xxhash64(column(docs, "doc_id")), F.lit(0)).alias("row_key"),
+        F.xxhash64(column(docs, "doc_id")).alias("row_key"),
         column(docs, "doc_id").cast("long").alias("doc_id"),
     )
     scan = base.select("text", "row_key")
-    seeds = scan.mapInArrow(_seeds(window), "seed long, row_key long")
     shared = (
-        scan.select("text").mapInArrow(_seed_counts(window), "seed long, n long")
+        scan.mapInArrow(_seeds(window, False), "seed long, n long")
         .groupBy("seed").agg(F.sum("n").alias("n")).where("n >= 2").select("seed")
     )
-    by_row = seeds.join(shared, "seed").groupBy("row_key").agg(F.collect_set("seed").alias("seeds"))
+    seeds = (
+        scan.mapInArrow(_seeds(window, True), "seed long, row_key long").join(shared, "seed")
+        .groupBy("row_key").agg(F.collect_set("seed").alias("seeds"))
+    )
+    # Dealt once: all four joins use the same exchange, as they ask for the same columns of it (and of the runs).
     texts = base.repartition("row_key")
-    extended = texts.join(by_row.hint("shuffle_hash"), "row_key").select("text", "row_key", "seeds")
+
+    def with_lists(lists: DataFrame, how: str = "inner") -> DataFrame:
+        return texts.join(lists.hint("shuffle_hash"), "row_key", how)
+
+    found = (
+        with_lists(seeds).select("text", "row_key", "seeds", "doc_id")
+        .mapInArrow(_run_rows(window), "seed long, r1 long, r2 long, row_key long, n long")
+    )
+    kinds = found.groupBy("seed", "r1", "r2").agg(F.sum("n").alias("total"), F.min("row_key").alias("specimen"))
+    mixed = kinds.groupBy("seed").agg(F.count("*").alias("kinds"))
+    kinds = kinds.join(mixed, "seed").select(
+        "r1", "r2", F.least("total", F.lit(2)).alias("weight"), "specimen", (F.col("kinds") > 1).alias("mixed")
+    ).where("weight = 2 OR mixed")
+    runs = (
+        found.select("r1", "r2", "row_key").join(kinds, ["r1", "r2"])
+        .groupBy("row_key")
+        .agg(
+            F.collect_set(F.when(F.col("weight") == 2, F.struct("r1", "r2"))).alias("full"),
+            F.collect_set(
+                F.when(F.col("mixed") & ((F.col("weight") == 1) | (F.col("specimen") == F.col("row_key"))), F.struct("r1", "r2", "weight"))
+            ).alias("open"),
+        )
+    )
+    opened = with_lists(runs.where(F.size("open") > 0)).select("text", "row_key", "open", "full", "doc_id")
     repeated = (
-        extended.mapInArrow(_extensions(window, False), "w1 long, w2 int, n long")
+        opened.mapInArrow(_open_windows(window, False), "w1 long, w2 int, n long")
         .groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n >= 2").select("w1", "w2")
     )
-    repeats = (
-        extended.mapInArrow(_extensions(window, True), "w1 long, w2 int, row_key long")
-        .join(repeated, ["w1", "w2"])
-        .groupBy("row_key").agg(F.collect_set(F.struct("w1", "w2")).alias("repeats"))
+    windows = (
+        opened.mapInArrow(_open_windows(window, True), "w1 long, w2 int, row_key long").join(repeated, ["w1", "w2"])
+        .groupBy("row_key").agg(F.collect_set(F.struct("w1", "w2")).alias("windows"))
     )
+    lists = runs.join(windows, "row_key", "left")
+    none = {"full": "array<struct<r1:bigint,r2:bigint>>", "windows": "array<struct<w1:bigint,w2:int>>"}
+    lists_or_none = [F.coalesce(k, F.expr(f"CAST(array() AS {v})")).alias(k) for k, v in none.items()]
     return (
-        texts.join(repeats.hint("shuffle_hash"), "row_key", "left")
-        .select("text", "row_key", "repeats", "doc_id")
+        with_lists(lists, "left").select("text", "row_key", *lists_or_none, "doc_id", "open")
         .mapInArrow(
             _removed(window),
             "doc_id long, n_words long, n_removed long, kept_sha256 string, "
