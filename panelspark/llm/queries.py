@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from panelspark.llm import substring_dedup
+from pyspark.sql import functions as F
+
+from panelspark.llm import (
+    adaptive_rules,
+    fingerprints,
+    license_scan,
+    mixing,
+    near_dup,
+    pieces,
+    pseudonyms,
+    quality_gam,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +26,63 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and their likeness."""
+    return fingerprints.compare_edited(_documents(spark, sf_dir))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of each document."""
+    found = mixing.expected_copies(_documents(spark, sf_dir))
+    return found.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken", "copies")
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document; one fold of the labels is held out."""
+    docs = _documents(spark, sf_dir)
+    held_out = quality_gam.folds(F.col("doc_id"), 3) == 1
+    model = quality_gam.train(docs, _labels(spark, sf_dir), "quality", ~held_out)
+    scored = quality_gam.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of each document."""
+    found = license_scan.scan(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.begin").cast("long").alias("first_word"), F.array_max("base.begin").cast("long").alias("last_word"),
+        "base_labels", "labels", "score", F.size("detections").cast("long").alias("n_detections"),
+    )
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of each document."""
+    return near_dup.near_duplicates(_documents(spark, sf_dir))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece pieces of each document, decoded again."""
+    return pieces.round_trip(_documents(spark, sf_dir))
+
+
+def op8_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of each document."""
+    return adaptive_rules.judge(_documents(spark, sf_dir)).selectExpr(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "array_join(reasons, ',') AS reasons",
+    )
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text with pseudonyms, and what was found in it."""
+    return pseudonyms.with_findings(_documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after repeats of 35 words or more are removed."""
     found = substring_dedup.remove_repeats(_documents(spark, sf_dir))
@@ -23,6 +91,119 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+_CLASS = "greatest(length(bin({0})) - 6, 0) * 32 + floor({0} / pow(2.0, greatest(length(bin({0})) - 6, 0)))::INT"
+
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, 'null') AS src, len({_WORDS}) AS size FROM documents
+),
+weighted AS (
+  SELECT src, source_size, 3 * source_size AS cap,
+    [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS weight
+  FROM (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src)
+),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM weighted) - coalesce(sum(cap) OVER before, 0))::DOUBLE
+      / ((SELECT sum(weight) FROM weighted) - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighted WINDOW before AS (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+targets AS (
+  SELECT src, source_size, least(cap::DOUBLE, weight * (SELECT max(level) FROM levels WHERE level * weight <= cap)) AS target
+  FROM weighted
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY class, digest, size, doc_id NULLS LAST) AS place
+  FROM (SELECT *, {_CLASS.format("size")} AS class, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM d)
+),
+spread AS (
+  SELECT doc_id, size, source_size, target, place,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each_one,
+    ('0x' || substr(md5('mix-1:offset:' || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
+  FROM placed JOIN targets USING (src)
+),
+taken AS (
+  SELECT *, least((floor(place * each_one + shift) - floor((place - 1) * each_one + shift))::BIGINT, 3) AS copies FROM spread
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, size * copies AS taken, copies FROM taken
+"""
+
+_VALUES = {
+    "symbol_share": (1_000_000, "n_symbols", "word_chars"),
+    "line_share": (1_000_000, "n_dup_lines", "n_lines"),
+    "repeat_share": (1_000_000, "n_repeat_words", "n_words"),
+    "word_length": (1_000, "word_chars", "n_words"),
+}
+_SHARES = ", ".join(
+    f"CASE WHEN {whole} > 0 THEN {part} * {unit} // {whole} ELSE 0 END AS {name}" for name, (unit, part, whole) in _VALUES.items()
+)
+_MARGINS = " ".join(f"WHEN '{m}' THEN {v}" for m, v in adaptive_rules.MARGINS.items())
+_PICK = (
+    "CASE WHEN own.n >= {0} THEN own.{1} WHEN by_lang.n >= {0} THEN by_lang.{1} ELSE every.{1} END"
+)
+_VALUE_OF = "((q{0} - greatest((q{0} - 32) // 32, 0) * 32) * pow(2.0, greatest((q{0} - 32) // 32, 0)))::BIGINT"
+
+
+def _quartiles(name: str, keys: str) -> str:
+    group = f"{keys}measure"
+    return f"""
+{name} AS (
+  SELECT {group}, max(n) AS n, min(class) FILTER (upto * 4 >= n) AS q1, min(class) FILTER (upto * 4 >= 3 * n) AS q3
+  FROM (
+    SELECT {group}, class, sum(count(*)) OVER (PARTITION BY {group} ORDER BY class) AS upto,
+      sum(count(*)) OVER (PARTITION BY {group}) AS n
+    FROM classed GROUP BY {group}, class
+  ) GROUP BY {group}
+)"""
+
+
+OP8_SQL = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source,
+    coalesce(text, '') AS text, {_WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+),
+windows AS (
+  SELECT r, p, array_to_string(w[p:p + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM w)
+),
+repeated AS (
+  SELECT r, count(DISTINCT i) AS n_repeat_words FROM (
+    SELECT r, unnest(range(p, p + 8)) AS i FROM windows SEMI JOIN (
+      SELECT r, s FROM windows GROUP BY r, s HAVING count(*) >= 2) USING (r, s)
+  ) GROUP BY r
+),
+counted AS (
+  SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN repeated USING (r)
+),
+m AS (SELECT *, {_SHARES} FROM counted),
+long AS (UNPIVOT (SELECT r, lang, source, {", ".join(_VALUES)} FROM m) ON {", ".join(_VALUES)} INTO NAME measure VALUE v),
+classed AS (SELECT r, lang, source, measure, v, {_CLASS.format("v")} AS class FROM long),
+{_quartiles("own", "lang, source, ")}, {_quartiles("by_lang", "lang, ")}, {_quartiles("every", "")},
+picked AS (
+  SELECT own.lang, own.source, own.measure, CASE own.measure {_MARGINS} END AS margin,
+    {_PICK.format(adaptive_rules.LEAST_ROWS, "q1")} AS q1, {_PICK.format(adaptive_rules.LEAST_ROWS, "q3")} AS q3
+  FROM own JOIN by_lang USING (lang, measure) JOIN every USING (measure)
+),
+fences AS (
+  SELECT lang, source, measure, {_VALUE_OF.format(1)} AS low, {_VALUE_OF.format(3)} AS high, margin FROM picked
+),
+beyond AS (
+  SELECT r, measure FROM classed JOIN fences USING (lang, source, measure)
+  WHERE v > high + greatest({adaptive_rules.SPREADS} * (high - low), margin)
+    OR measure = 'word_length' AND v < low - greatest({adaptive_rules.SPREADS} * (high - low), margin)
+),
+reasons AS (
+  SELECT r, string_agg(measure, ',' ORDER BY list_position({list(_VALUES)}, measure)) AS reasons FROM beyond GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT base_failed AND reasons IS NULL AS kept, coalesce(reasons, '') AS reasons
+FROM m LEFT JOIN reasons USING (r)
+"""
+
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 windows AS (
@@ -43,9 +224,19 @@ FROM d LEFT JOIN gone USING (r)
 
 def all_queries() -> dict[str, Query]:
     """Queries by name."""
-    return {"op10_substring_dedup": op10_substring_dedup}
+    return {
+        "op2_fingerprints": op2_fingerprints,
+        "op3_mixing": op3_mixing,
+        "op4_quality_gam": op4_quality_gam,
+        "op5_license_scan": op5_license_scan,
+        "op6_near_duplicates": op6_near_duplicates,
+        "op7_pieces": op7_pieces,
+        "op8_adaptive_rules": op8_adaptive_rules,
+        "op9_pseudonyms": op9_pseudonyms,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def all_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op10_substring_dedup": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op8_adaptive_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL}

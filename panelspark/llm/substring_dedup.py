@@ -108,6 +108,11 @@ def _runs(w: Windows) -> Runs:
     return Runs(row[begin], w.grams[place].view(np.int64), a ^ shape, b ^ shape, begin, end)
 
 
+def _tag(seed: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for a seed in a row."""
+    return arrays.mix(seed.view(np.uint64) ^ arrays.mix(row.astype(np.uint64)))
+
+
 def _seeds(size: int, with_key: bool):
     """Anchors with the key of their row, or counted within a slice."""
 
@@ -115,6 +120,7 @@ def _seeds(size: int, with_key: bool):
         for batch in slices(batches):
             found = _runs(_windows(batch.column(0), size))
             if with_key:
+                found = found.some(np.unique(_tag(found.seed, found.row), return_index=True)[1])
                 key = batch.column(1).to_numpy(zero_copy_only=False)[found.row]
                 yield pa.record_batch([pa.array(found.seed), pa.array(key)], ["seed", "row_key"])
             else:
@@ -153,8 +159,7 @@ def _run_rows(size: int):
         for batch in slices(batches):
             found = _runs(_windows(batch.column(0), size))
             owner, seeds = _lists(batch.column(2))
-            tagged = lambda seed, row: arrays.mix(seed.view(np.uint64) ^ arrays.mix(row.astype(np.uint64)))
-            wanted = np.isin(tagged(found.seed, found.row), tagged(seeds.to_numpy(zero_copy_only=False), owner))
+            wanted = np.isin(_tag(found.seed, found.row), _tag(seeds.to_numpy(zero_copy_only=False), owner))
             found = found.some(wanted)
             key = batch.column(1).to_numpy(zero_copy_only=False)[found.row]
             order = np.lexsort((found.r2, found.r1, key))
