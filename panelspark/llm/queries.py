@@ -17,6 +17,7 @@ from panelspark.llm import (
     pseudonyms,
     quality_gam,
     substring_dedup,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document; one fold of the labels is held out."""
+    docs = _documents(spark, sf_dir)
+    held_out = quality_gam.folds(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, _labels(spark, sf_dir), ~held_out)
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and its edited text, and their likeness."""
     return fingerprints.compare_edited(_documents(spark, sf_dir))
@@ -225,6 +235,7 @@ FROM d LEFT JOIN gone USING (r)
 def all_queries() -> dict[str, Query]:
     """Queries by name."""
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_fingerprints": op2_fingerprints,
         "op3_mixing": op3_mixing,
         "op4_quality_gam": op4_quality_gam,
