@@ -18,10 +18,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject; without labels it rejects none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, quality_gam.folds(F.col("doc_id"), 5) != 0)
-    return toxicity.with_score(docs, model, "__toxic").where("__toxic < 0.5").drop("__toxic")
+    return toxicity.with_score(docs, model, "__toxic").where("__toxic <= 0.5").drop("__toxic")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
