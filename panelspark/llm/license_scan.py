@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
-A text is brought to a plain form: A-Z in lower case, words joined by one space. Base phrases are
-searched in every text. A cheap gate then leaves the texts that hold a word of licensing at all; of
+A text is brought to a plain form: words joined by one space, A-Z in lower case. Base phrases are
+searched in every text. A cheap gate leaves the texts that hold a word of licensing at all, in any case; of
 these, each rule is tried only where its keyword stands. A rule is a regular expression with a label,
 a priority and a confidence. Of overlapping detections, one that lies within another of the same
 or a higher priority is suppressed (of two equal ones the earlier rule stays).
@@ -157,17 +157,21 @@ def rules() -> list[Rule]:
 _GATE = " (?:licen[cs]e[ds]?|cc|cc0|gnu|creative|copyright|rights|spdx|proprietary|permission|redistribut(?:e|ion)|public|terms|under) "
 
 
-def plain_form(text: Column) -> Column:
+def spaced_form(text: Column) -> Column:
     """Words of a text between single spaces, with one before the first and after the last; '' if there are none."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    lower = F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
-    spaced = F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
     padded = F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
     return F.when(padded == "  ", "").otherwise(padded)
 
 
+def _in_lower_case(text: Column) -> Column:
+    """A-Z only; other letters stay as they are."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(text, upper, upper.lower())
+
+
 def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, " ", ""))
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def _places(plain: Column, pattern: Column) -> Column:
@@ -255,9 +259,17 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     sure = _constant([float(r.confidence) for r in table], "array<double>")
     base_rows = F.flatten(F.array(*[_base_places(plain, phrase, label) for phrase, label in BASE.items()]))
     none = F.array().cast("array<struct<begin:int,minus_end:int,minus_priority:int,rule:int>>")
-    found = F.when(plain.rlike(_GATE), _detections(plain, table)).otherwise(none)
-    stage = docs.select(column(docs, "doc_id").alias("doc_id"), plain_form(column(docs, "text")).alias("plain"))
-    stage = stage.select("doc_id", F.greatest(_spaces(plain) - 1, F.lit(0)).cast("long").alias("n_words"), base_rows.alias("base"), found.alias("found"))
+    found = F.when(F.col("gate"), _detections(plain, table)).otherwise(none)
+    # (?i) and the translation both change A-Z only, and most texts need neither.
+    stage = docs.select(column(docs, "doc_id").alias("doc_id"), spaced_form(column(docs, "text")).alias("plain"))
+    stage = stage.select(
+        "doc_id", F.greatest(_spaces(plain) - 1, F.lit(0)).cast("long").alias("n_words"),
+        plain.rlike("(?i)" + _GATE).alias("gate"), plain.rlike("(?i) (?:" + "|".join(BASE) + ") ").alias("has_base"), "plain",
+    )
+    stage = stage.select(
+        "doc_id", "n_words", "gate", F.when(F.col("gate") | F.col("has_base"), _in_lower_case(plain)).otherwise("").alias("plain")
+    )
+    stage = stage.select("doc_id", "n_words", base_rows.alias("base"), found.alias("found"))
     stage = stage.withColumn(
         "found", F.when(F.size("found") > 0, _unsuppressed(F.col("found"), sorted({r.priority for r in table}))).otherwise(F.col("found"))
     )
