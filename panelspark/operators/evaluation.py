@@ -113,8 +113,18 @@ def leakage(forecasts: DataFrame) -> DataFrame:
     return first.withColumn("leaks", F.col("min_ds") < F.col("cutoff"))
 
 
-# Longest horizon whose steps fit the bits of a long.
-_MAX_PACKED = 63
+# Steps that fit the bits of a long.
+_BITS = 62
+
+
+def _distinct_steps(step: Column, h: int) -> Column:
+    """Number of different steps of 1 to ``h``, as an aggregate of bits in as many longs as it takes."""
+    zero = F.lit(0).cast("long")
+    counts = []
+    for first in range(1, h + 1, _BITS):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (step - first).cast("int"))
+        counts.append(F.bit_count(F.coalesce(F.bit_or(F.when(step.between(first, first + _BITS - 1), bit)), zero)))
+    return reduce(lambda a, b: a + b, counts)
 
 
 def _with_actuals(
@@ -124,13 +134,10 @@ def _with_actuals(
 
     The actuals of a cutoff and series are packed into one row with its scales, so
     the join needs cutoff and series only and a following aggregation per series
-    reuses its partitioning. A very long horizon is joined by time instead.
+    reuses its partitioning.
     """
     step = cal.period_index(F.col("ds"), f) - cal.period_index(F.col("cutoff"), f)
     keys = ["cutoff", "unique_id"]
-    if h > _MAX_PACKED:
-        joined = forecasts.join(actual, [*keys, "ds"], "left").join(scales, keys, "left")
-        return joined.withColumn("_k", step)
     values = [F.max(F.when(step == i, F.col("y"))).alias(f"_y{i}") for i in range(1, h + 1)]
     side = actual.groupBy(*keys).agg(*values).join(scales, keys, "left")
     packed = F.array(*[F.col(f"_y{i}") for i in range(1, h + 1)])
@@ -164,16 +171,11 @@ def series_scores(
     filled = fill_quantiles(joined.withColumns({"_fill": _needs_fill(joined), "_has": has_quantile}))
     loss = scoring.mean_pinball(F.col("y"), _quantiles(filled), convention)
     step = F.when(matched, F.col("_k"))
-    if h > _MAX_PACKED:
-        n_matched = F.size(F.collect_set(step))
-    else:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (step - 1).cast("int"))
-        n_matched = F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")))
     scores = filled.groupBy(*SERIES).agg(
         (F.avg(F.abs(F.col("y") - F.col("yhat"))) / F.max("mase_scale")).alias("mase"),
         (F.sum(loss) * 2 / F.max("crps_scale")).alias("scaled_crps"),
         F.count("y").alias("n_rows"),
-        n_matched.cast("long").alias("n_matched"),
+        _distinct_steps(step, h).cast("long").alias("n_matched"),
         F.count_if(matched & F.col("_fill")).alias("n_fill"),
         F.count_if(matched & F.col("yhat").isNull()).alias("n_null"),
         F.count_if("_has").alias("n_quantiled"),

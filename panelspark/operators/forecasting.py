@@ -263,19 +263,30 @@ def forecast(
     return result, failed
 
 
+def refused_cutoffs(panel: DataFrame, cutoffs: Cutoffs, freq: str, window: int | None = None) -> DataFrame:
+    """Cutoffs that cannot be forecast: ``key, n, error``.
+
+    ``missing_history`` if a period of the window is absent (``n`` periods), ``misaligned`` if a series of the window
+    does not end at the cutoff (``n`` series).
+    """
+    presence = windows.window_presence(panel, cutoffs, freq, window)
+    checked = windows.alignment(panel, cutoffs, freq, window)
+    rows = presence.join(checked, "cutoff", "left")
+    gaps = F.col("expected_periods") - F.col("found_periods")
+    error = F.when(~F.col("window_ok"), "missing_history").when(~F.coalesce("aligned", F.lit(False)), "misaligned")
+    n = F.when(~F.col("window_ok"), gaps).otherwise(F.coalesce("n_misaligned", F.lit(0).cast("long")))
+    found = rows.select(cal.hour_key(F.col("cutoff")).alias("key"), n.cast("long").alias("n"), error.alias("error"))
+    return found.where("error IS NOT NULL")
+
+
 def check_alignment(panel: DataFrame, cutoffs: Cutoffs, freq: str, window: int | None = None) -> None:
     """Raise unless every cutoff is the last period of all series in its window."""
     checked = windows.alignment(panel, cutoffs, freq, window)
     frame = windows.cutoff_frame(panel.sparkSession, cutoffs, freq)
-    bad = (
-        frame.join(checked, "cutoff", "left")
-        .where(~F.coalesce("aligned", F.lit(False)))
-        .select("cutoff", "n_misaligned")
-        .limit(10)
-        .collect()
-    )
-    if bad:
-        raise ValueError(f"Series do not end at the cutoff: {[r.asDict() for r in bad]}")
+    bad = frame.join(checked, "cutoff", "left").where(~F.coalesce("aligned", F.lit(False)))
+    row = bad.agg(F.count("*").alias("n"), F.min("cutoff").alias("first")).first()
+    if row.n:
+        raise ValueError(f"Series do not end at {row.n} cutoffs, the first of them {row.first}")
 
 
 def to_model_file(forecasts: DataFrame, model: str) -> DataFrame:

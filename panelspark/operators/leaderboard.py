@@ -34,7 +34,9 @@ SORT_KEYS = ("frequency", "subdataset", "sparsity_level", "cutoff", "metric", "m
 
 
 def _fallback_id() -> Column:
-    return F.concat_ws(":", "subdataset", "model", "cutoff", "frequency")
+    """Null if a part is null, as with ``||``."""
+    parts = [F.col(c) for c in ("subdataset", "model", "cutoff", "frequency")]
+    return F.concat(*[x for part in parts for x in (part, F.lit(":"))][:-1])
 
 
 def sparsity_levels(sparsity: DataFrame) -> DataFrame:

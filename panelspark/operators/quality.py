@@ -29,11 +29,6 @@ STATUS_LABELS = {
     "unreadable": "Unreadable/corrupt",
     "known_issue": "Known issues",
 }
-# Section titles and closing lines of the report text.
-PROBLEM_TITLE = "Problem files:"
-KNOWN_TITLE = "Known issues (ignored):"
-ALL_OK = "All files OK."
-ALL_OK_BUT_KNOWN = "All files OK (excluding known issues)."
 ACCEPTABLE = ("ok", "known_issue")
 KNOWN_REASON = "known upstream issue"
 
@@ -75,13 +70,21 @@ def _footer_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
-        fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        if fs.get_file_info(inner).type == pafs.FileType.NotFound:
-            return "missing", 0, "file not found"
         try:
+            scheme, _, rest = path.partition(":")
+            if scheme in ("s3a", "s3n"):
+                path = "s3:" + rest
+            if scheme == "file":  # file:/x as well as file:///x
+                fs, inner = pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+            elif rest.startswith("//"):
+                fs, inner = pafs.FileSystem.from_uri(path)
+            else:
+                fs, inner = pafs.LocalFileSystem(), path
+            if fs.get_file_info(inner).type == pafs.FileType.NotFound:
+                return "missing", 0, "file not found"
             with fs.open_input_file(inner) as source:
                 n = pq.ParquetFile(source).metadata.num_rows
-        except Exception as problem:  # whatever the file holds, it is reported
+        except Exception as problem:  # a store or file that cannot be read is reported, and the job goes on
             return "unreadable", 0, str(problem)
         return ("ok", n, None) if n else ("empty", 0, "0 rows")
 
@@ -240,27 +243,16 @@ def ok_paths(ledger: DataFrame) -> DataFrame:
     return ledger.where("status = 'ok'").select("path").distinct()
 
 
-def summary(ledger: DataFrame, listed: int = 100) -> str:
-    """Report text: counts, then at most ``listed`` problems and known issues each.
-
-    The ledger itself holds all rows; only this text is shortened, and says so.
-    """
-    row = status_counts(ledger).first()
-    lines = [f"Validation Report: {row.total} files scanned"]
-    lines += [f"  {label + ':':<20}{row[s]}" for s, label in STATUS_LABELS.items()]
-    sections = (
-        (PROBLEM_TITLE, problems(ledger), row.total - row.ok - row.known_issue),
-        (KNOWN_TITLE, with_status(ledger, "known_issue"), row.known_issue),
+def report(ledger: DataFrame) -> DataFrame:
+    """Report rows ``section, name, detail``: a count per status, all problems and all known issues."""
+    total = F.count("*").alias("total")
+    counts = ledger.agg(total, *[F.count_if(F.col("status") == s).alias(s) for s in STATUS_LABELS])
+    pairs = F.map_from_arrays(F.array(*map(F.lit, ("total", *STATUS_LABELS))), F.array("total", *STATUS_LABELS))
+    head = counts.select(F.lit("counts").alias("section"), F.explode(pairs).alias("name", "n"))
+    head = head.select("section", "name", F.col("n").cast("string").alias("detail"))
+    bad = ledger.where(F.col("status") != "ok").select(
+        F.when(F.col("status") == "known_issue", "known").otherwise("problems").alias("section"),
+        F.coalesce("path", "key").alias("name"),
+        F.coalesce("error", "status").alias("detail"),
     )
-    for title, rows, n in sections:
-        if not n:
-            continue
-        name = F.coalesce("path", "key")
-        shown = rows.select(name.alias("name"), F.coalesce("error", "status").alias("why"))
-        lines += ["", title]
-        lines += [f"  {r.name}: {r.why}" for r in shown.orderBy("name").limit(listed).collect()]
-        if n > listed:
-            lines.append(f"  ... and {n - listed} more")
-    if row.all_ok:
-        lines += ["", ALL_OK_BUT_KNOWN if row.known_issue else ALL_OK]
-    return "\n".join(lines)
+    return head.unionAll(bad)

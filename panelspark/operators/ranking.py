@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.session import is_small
 
 
 def count_percent_rank(values: DataFrame, value: str, rank: str) -> DataFrame:
@@ -90,14 +89,19 @@ def exact_ntile(df: DataFrame, n: int, group: str, order: str, tie: str, tile: s
     return numbered.join(offsets, bucket).select(*df.columns, number.cast("int").alias(tile))
 
 
+# Buckets of the values without a magnitude: minus infinity, infinity, NaN (the largest value, as in SQL).
+_LOWEST, _HIGHEST, _NAN = -1_000_000, 1_000_000, 1_000_001
+
+
 def _magnitude_bucket(value: Column) -> Column:
     """Monotone bucket of a number: 64 buckets per power of two."""
+    infinite = F.lit(float("inf"))
     size = F.floor(F.log2(F.abs(value)) * 64).cast("long") + 100_000
-    return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.when(value > 0, size).otherwise(-size))
+    bucket = F.when(F.isnan(value), _NAN).when(value == infinite, _HIGHEST).when(value == -infinite, _LOWEST)
+    return bucket.when(value == 0, 0).when(value > 0, size).otherwise(-size).cast("long")
 
 
 _SLICES = 1024
-SMALL_ROWS = 2_000_000
 
 
 class _Target:
@@ -143,32 +147,11 @@ def grouped_percentiles(
     value: str,
     probabilities: dict[str, float],
     of_positive: dict[str, float] | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """Exact interpolated percentiles per group; nulls are ignored.
-
-    ``probabilities`` maps output columns to probabilities, ``of_positive`` does so
-    for percentiles of the values above zero. ``df`` should be a stored table: it is
-    counted first. Up to ``small_rows`` rows, Spark's ``percentile`` is used, which
-    keeps a map of all values of a group. Beyond, see :func:`bucketed_percentiles`.
-    """
-    if not is_small(df, small_rows):
-        return bucketed_percentiles(df, keys, value, probabilities, of_positive)
-    v = F.col(value).cast("double")
-    columns = [F.percentile(v, p).alias(name) for name, p in probabilities.items()]
-    positive = F.when(v > 0, v)
-    columns += [F.percentile(positive, p).alias(name) for name, p in (of_positive or {}).items()]
-    return df.where(v.isNotNull()).groupBy(*keys).agg(*columns)
+    """Exact interpolated percentiles per group, without ever holding or sorting a whole group.
 
-
-def bucketed_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probabilities: dict[str, float],
-    of_positive: dict[str, float] | None = None,
-) -> DataFrame:
-    """:func:`grouped_percentiles` without ever holding or sorting a whole group.
+    ``probabilities`` maps output columns to probabilities, ``of_positive`` does so for percentiles of the
+    values above zero. Nulls are ignored; NaN is the largest value.
 
     Equal values are counted first. The counts are cut into buckets by magnitude,
     and the few buckets that hold a wanted rank into 1,024 slices between their
@@ -218,13 +201,9 @@ def bucketed_percentiles(
     for t in targets:
         ends += [value_at(t.low).alias(f"_lo_{t.name}"), value_at(t.high).alias(f"_hi_{t.name}")]
     found = placed.groupBy(*keys).agg(*constant, *ends)
-    return found.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{t.name}")
-                + (F.col(f"_hi_{t.name}") - F.col(f"_lo_{t.name}")) * (t.rank - t.low)
-            ).alias(t.name)
-            for t in targets
-        ],
-    )
+
+    def between(t: _Target) -> Column:
+        low, high, share = F.col(f"_lo_{t.name}"), F.col(f"_hi_{t.name}"), t.rank - t.low
+        return F.when((low == high) | (share == 0), low).otherwise(low * (1 - share) + high * share)
+
+    return found.select(*keys, *[between(t).alias(t.name) for t in targets])

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from panelspark.constants import COMPLETENESS, DEFAULT_COMPLETENESS, KEEP_EVENT_TYPES, METRICS
 from panelspark.functions import calendar as cal
-from panelspark.session import is_small
 from panelspark.sources.archive import hour_of_parts
 
 
@@ -35,16 +34,12 @@ def metric_counts() -> list[Column]:
 def _aggregate_known(events: DataFrame, entities: DataFrame | None, keys: list[str], columns: list[Column]) -> DataFrame:
     """Group events by ``keys``, which include ``repo_id``, for the given entities only.
 
-    A small entity table is broadcast and cuts the events before they are grouped.
-    A large one is joined to the groups instead: the events are then never
-    shuffled row by row, so an entity with a large share of them cannot skew a join.
+    The entities cut the events before they are grouped: a small stored table is broadcast by Catalyst, and
+    a large one joined, where adaptive execution splits an entity with a large share of the events.
     """
-    if entities is None:
-        return events.groupBy(*keys).agg(*columns)
-    ids = entities.select("repo_id")
-    if is_small(ids):
-        return events.join(F.broadcast(ids), "repo_id", "left_semi").groupBy(*keys).agg(*columns)
-    return events.groupBy(*keys).agg(*columns).join(ids, "repo_id", "left_semi")
+    if entities is not None:
+        events = events.join(entities.select("repo_id"), "repo_id", "left_semi")
+    return events.groupBy(*keys).agg(*columns)
 
 
 def hourly_activity(raw: DataFrame, entities: DataFrame | None = None) -> DataFrame:

@@ -1,7 +1,6 @@
 """History windows, actuals and rolling statistics for many cutoffs at once.
 
-A panel has the columns ``unique_id, ds, y`` with whole-number ``y`` and one row
-per series and period. Cutoffs are a frame with a ``cutoff`` column, or a list of
+A panel has the columns ``unique_id, ds, y`` and one row per series and period. Cutoffs are a frame with a ``cutoff`` column, or a list of
 cutoff values, which also bounds the scan of the panel.
 """
 
@@ -17,27 +16,29 @@ from panelspark.functions import calendar as cal
 
 Cutoffs = DataFrame | Iterable[str | dt.datetime]
 
-# A cutoff list times its window is broadcast up to this many rows of 16 bytes.
-MAX_BROADCAST_ROWS = 2_000_000
+def listed_cutoffs(cutoffs: Iterable[str | dt.datetime], freq: str | cal.Frequency) -> list[dt.datetime]:
+    """Listed cutoffs in order; all must be on the frequency's grid."""
+    f = cal.frequency(freq)
+    values = sorted({cal.cutoff_value(c) for c in cutoffs})
+    if not values:
+        raise ValueError("no cutoffs given")
+    off = [v for v in values if not _value_on_grid(v, f)]
+    if off:
+        raise ValueError(f"cutoffs not on the {f.name} grid: {off}")
+    return values
 
 
 def cutoff_frame(spark: SparkSession, cutoffs: Cutoffs, freq: str | cal.Frequency) -> DataFrame:
-    """Cutoffs as ``cutoff, cutoff_idx``; a listed cutoff must be on the frequency's grid."""
+    """Cutoffs as ``cutoff, cutoff_idx``. One that is not on the frequency's grid is an error, listed or in a frame."""
+    f = cal.frequency(freq)
     if isinstance(cutoffs, DataFrame):
-        frame = cutoffs.select("cutoff").distinct()
+        text = F.concat(F.lit(f"cutoffs not on the {f.name} grid: "), F.col("cutoff").cast("string"))
+        checked = F.when(cal.on_grid(F.col("cutoff"), f), F.col("cutoff")).otherwise(F.raise_error(text).cast("timestamp"))
+        frame = cutoffs.select("cutoff").distinct().select(checked.alias("cutoff"))
     else:
-        values = sorted({cal.cutoff_value(c) for c in cutoffs})
-        if not values:
-            raise ValueError("no cutoffs given")
-        off = [v for v in values if not _value_on_grid(v, cal.frequency(freq))]
-        if off:
-            raise ValueError(f"cutoffs not on the {cal.frequency(freq).name} grid: {off}")
-        points = F.array(*[F.lit(v) for v in values])
+        points = F.array(*[F.lit(v) for v in listed_cutoffs(cutoffs, f)])
         frame = spark.range(1, numPartitions=1).select(F.explode(points).alias("cutoff"))
-        if len(values) <= MAX_BROADCAST_ROWS:
-            frame = F.broadcast(frame)
-    frame = frame.where(cal.on_grid(F.col("cutoff"), freq))
-    return frame.withColumn("cutoff_idx", cal.period_index(F.col("cutoff"), freq))
+    return frame.withColumn("cutoff_idx", cal.period_index(F.col("cutoff"), f))
 
 
 def _value_on_grid(value: dt.datetime, freq: cal.Frequency) -> bool:
@@ -69,19 +70,20 @@ def _window_join(
 ) -> DataFrame:
     """Panel rows whose period is ``first`` to ``last`` periods from a cutoff.
 
-    Every cutoff lists its periods, which makes the range condition an equality.
+    Listed cutoffs are literals: each row picks its own, without a join. Those of a frame list their
+    periods, which makes the range condition an equality.
     """
-    spark = panel.sparkSession
-    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
-    frame = cutoff_frame(spark, cutoffs, freq)
+    rows = _bounded(panel, cutoffs, freq, -first, last)
+    rows = rows.withColumn("idx", cal.period_index(F.col("ds"), freq))
+    if not isinstance(cutoffs, DataFrame):
+        listed = F.array(*[F.lit(v) for v in listed_cutoffs(cutoffs, freq)])
+        ahead = F.transform(listed, lambda c: F.struct(c.alias("cutoff"), cal.period_index(c, freq).alias("i")))
+        near = F.filter(ahead, lambda c: F.col("idx").between(c["i"] + first, c["i"] + last))
+        return rows.withColumn("c", F.explode(near)).withColumn("cutoff", F.col("c.cutoff")).drop("c")
+    frame = cutoff_frame(panel.sparkSession, cutoffs, freq)
     cells = frame.select(
         "cutoff", F.explode(F.sequence(F.col("cutoff_idx") + first, F.col("cutoff_idx") + last)).alias("idx")
     )
-    if not isinstance(cutoffs, DataFrame):
-        small = len(cutoffs) * (last - first + 1) <= MAX_BROADCAST_ROWS
-        cells = cells.hint("broadcast" if small else "merge")
-    rows = _bounded(panel, cutoffs, freq, -first, last)
-    rows = rows.withColumn("idx", cal.period_index(F.col("ds"), freq))
     return rows.join(cells, "idx")
 
 
@@ -90,6 +92,7 @@ def history(
 ) -> DataFrame:
     """``cutoff, unique_id, ds, y`` of the last ``window`` periods up to each cutoff."""
     f = cal.frequency(freq)
+    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
     rows = _window_join(panel, cutoffs, f, 1 - (window or f.window), 0)
     return rows.select("cutoff", "unique_id", "ds", "y")
 
@@ -99,6 +102,7 @@ def actuals(
 ) -> DataFrame:
     """``cutoff, unique_id, ds, y`` of the ``h`` periods after each cutoff."""
     f = cal.frequency(freq)
+    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
     rows = _window_join(panel, cutoffs, f, 1, h or f.h)
     return rows.select("cutoff", "unique_id", "ds", "y")
 
@@ -152,10 +156,10 @@ def rolling_stats(
 ) -> DataFrame:
     """Statistics of each series' history window, one row per cutoff and series.
 
-    Every window sum is the difference of two running sums, so the cost is linear
-    in the panel and does not grow with the window or the number of cutoffs, and
-    there is one shuffle by series. Sums are exact whole numbers. ``tail`` holds
-    the last ``season`` values.
+    With whole-number ``y`` every window sum is the difference of two running sums, so the cost is linear
+    in the panel and does not grow with the window or the number of cutoffs, and sums are exact.
+    Differences of running sums of fractions would lose digits; there each window is summed on its own.
+    Either way there is one shuffle by series. ``tail`` holds the last ``season`` values.
 
     Differences use the previous rows of the series; windows with missing periods
     are for :func:`window_presence` to refuse.
@@ -165,9 +169,28 @@ def rolling_stats(
     if m >= w:
         raise ValueError("window must be longer than the seasonality")
     cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
+    whole = panel.schema["y"].dataType.typeName() in ("byte", "short", "integer", "long")
     rows = _bounded(panel, cutoffs, f, w + s, 0).select(
-        "unique_id", cal.period_index(F.col("ds"), f).alias("idx"), F.col("y").cast("long").alias("y")
+        "unique_id", cal.period_index(F.col("ds"), f).alias("idx"), F.col("y").cast("long" if whole else "double").alias("y")
     )
+    frame = cutoff_frame(panel.sparkSession, cutoffs, f)
+    stats = (_whole_stats if whole else _fraction_stats)(rows, w, m, s)
+    return stats.join(frame.withColumnRenamed("cutoff_idx", "idx"), "idx").select("cutoff", *[c for c in stats.columns if c != "idx"])
+
+
+def _with_differences(rows: DataFrame, m: int, s: int) -> DataFrame:
+    series = Window.partitionBy("unique_id").orderBy("idx")
+    y = F.col("y")
+    return rows.withColumn("_d", F.abs(y - F.lag("y", m).over(series))).withColumn("_sd", y - F.lag("y", s).over(series))
+
+
+def _tail(s: int) -> Column:
+    series = Window.partitionBy("unique_id").orderBy("idx")
+    return F.array(*[F.lag("y", s - 1 - j).over(series) for j in range(s)])
+
+
+def _whole_stats(rows: DataFrame, w: int, m: int, s: int) -> DataFrame:
+    """Statistics of whole numbers at every period, from running sums."""
     series = Window.partitionBy("unique_id").orderBy("idx")
 
     def in_window(value: Column, skipped: int) -> Column:
@@ -176,10 +199,7 @@ def rolling_stats(
         return F.coalesce(upto, F.lit(0)) - F.coalesce(out, F.lit(0))
 
     y, one = F.col("y"), F.lit(1).cast("long")
-    rows = rows.withColumn("_d", F.abs(y - F.lag("y", m).over(series))).withColumn(
-        "_sd", y - F.lag("y", s).over(series)
-    )
-    stats = rows.select(
+    stats = _with_differences(rows, m, s).select(
         "unique_id",
         "idx",
         in_window(one, 0).alias("n_obs"),
@@ -190,14 +210,12 @@ def rolling_stats(
         in_window(F.col("_d"), m).alias("sum_abs_diff"),
         in_window(F.when(F.col("_sd").isNotNull(), one), min(s, w)).alias("n_sdiff"),
         in_window(_exact_square(F.col("_sd")), min(s, w)).alias("sum_sdiff2"),
-        F.array(*[F.lag("y", s - 1 - j).over(series) for j in range(s)]).alias("_tail"),
+        _tail(s).alias("_tail"),
     )
-    frame = cutoff_frame(panel.sparkSession, cutoffs, f)
-    at_cutoff = stats.join(frame.withColumnRenamed("cutoff_idx", "idx"), "idx")
     n = F.col("n_obs").cast("decimal(20,0)")
     spread = (n * F.col("sum_y2") - F.col("sum_y").cast("decimal(19,0)") * F.col("sum_y")).cast("double")
-    return at_cutoff.select(
-        "cutoff",
+    return stats.select(
+        "idx",
         "unique_id",
         "n_obs",
         (F.col("sum_y") / F.col("n_obs")).alias("mean_y"),
@@ -214,6 +232,26 @@ def rolling_stats(
     )
 
 
+def _fraction_stats(rows: DataFrame, w: int, m: int, s: int) -> DataFrame:
+    """Statistics of fractions at every period, each window on its own."""
+    series = Window.partitionBy("unique_id").orderBy("idx")
+    inside = lambda skipped: series.rangeBetween(-(w - 1 - skipped), 0)
+    y, season = F.col("y"), min(s, w)
+    square = F.avg(F.col("_sd") * F.col("_sd")).over(inside(season)) if season < w else F.lit(None).cast("double")
+    n_obs = F.count(F.lit(1)).over(inside(0))
+    return _with_differences(rows, m, s).select(
+        "idx",
+        "unique_id",
+        n_obs.alias("n_obs"),
+        F.avg(y).over(inside(0)).alias("mean_y"),
+        F.avg(F.abs(y)).over(inside(0)).alias("mean_abs_y"),
+        F.when(n_obs > 1, F.stddev_samp(y).over(inside(0))).otherwise(F.lit(0.0)).alias("sd_y"),
+        F.avg("_d").over(inside(m)).alias("mean_abs_diff"),
+        F.coalesce(F.sqrt(square), F.lit(0.0)).alias("sd_season"),
+        F.when(n_obs >= s, _tail(s)).alias("tail"),
+    )
+
+
 def alignment(
     panel: DataFrame, cutoffs: Cutoffs, freq: str | cal.Frequency, window: int | None = None
 ) -> DataFrame:

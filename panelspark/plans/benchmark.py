@@ -32,6 +32,9 @@ from panelspark.streaming import hourly
 HOUR_PARTS = list(archive.HOUR_PARTS)
 SERIES_PARTS = ["frequency", "ds_date"]
 KEY_PARTS = ["frequency", "model", "cutoff"]
+HOURS_SCHEMA = "hour TIMESTAMP, num_rows BIGINT, n_bad BIGINT, loaded_at TIMESTAMP"
+# Archive hours matched by name in one job.
+MAX_LISTED_HOURS = 2_000
 
 
 class Benchmark:
@@ -56,10 +59,38 @@ class Benchmark:
     # --- raw hours -----------------------------------------------------------------
 
     def stored_hours(self) -> DataFrame:
-        """Hours with raw events; this is the hour ledger of the later steps."""
-        if not self.has("raw"):
-            return self.spark.createDataFrame([], "hour TIMESTAMP, num_rows BIGINT")
-        return tables.present_hours(self.spark, self.path("raw"))
+        """Hours whose archive file was read, with their kept events; the hour ledger of the later steps.
+
+        The ledger is a small table of its own that ingest appends to; the last row of an hour counts.
+        """
+        rows = tables.read_table(self.spark, self.path("hours"), HOURS_SCHEMA)
+        last = rows.groupBy("hour").agg(F.max_by(F.struct("num_rows", "n_bad"), "loaded_at").alias("r"))
+        return last.where("r.num_rows IS NOT NULL").select("hour", "r.num_rows")
+
+    def refused_hours(self) -> DataFrame:
+        """Hours whose last file had unreadable lines and was left out, with the number of these."""
+        rows = tables.read_table(self.spark, self.path("hours"), HOURS_SCHEMA)
+        last = rows.groupBy("hour").agg(F.max_by("n_bad", "loaded_at").alias("n_bad"))
+        return last.where("n_bad > 0")
+
+    def _store_hours(self, events: DataFrame, hours: DataFrame, bad: DataFrame) -> DataFrame:
+        """Replace the raw hours whose files were read, also by none; returns the replaced hours.
+
+        An hour refused for unreadable lines keeps what it had.
+        """
+        read = settle(hours.join(bad, "hour", "left_anti"), "read-hours")
+        parts = {name: col for name, col in cal.partition_values(F.col("hour"), "hourly").items()}
+        tables.write_partitions(events, self.path("raw"), HOUR_PARTS, gather=False, wanted=read.withColumns(parts))
+        counts = events.groupBy(archive.hour_of_parts().alias("hour")).agg(F.count("*").alias("num_rows"))
+        good = read.join(counts, "hour", "left").select(
+            "hour", F.coalesce("num_rows", F.lit(0).cast("long")).alias("num_rows"), F.lit(0).cast("long").alias("n_bad")
+        )
+        refused = bad.select("hour", F.lit(None).cast("long").alias("num_rows"), "n_bad")
+        before = self.stored_hours().select("hour", F.col("num_rows").alias("kept"))
+        refused = refused.join(before, "hour", "left").select("hour", F.col("kept").alias("num_rows"), "n_bad")
+        found = settle(good.unionAll(refused).withColumn("loaded_at", F.current_timestamp()), "hour-rows")
+        tables.append(found, self.path("hours"))
+        return read
 
     def ingest(
         self,
@@ -67,10 +98,18 @@ class Benchmark:
         hours: Iterable[str] | None = None,
         strict: bool = True,
         keep: Iterable[str] = KEEP_EVENT_TYPES,
-    ) -> None:
-        """Flatten archive files into the raw table; only the given hours if any."""
-        events = archive.read_archive(self.spark, source, tuple(keep), strict, hours)
-        tables.write_partitions(events, self.path("raw"), HOUR_PARTS, gather=False)
+    ) -> DataFrame:
+        """Flatten archive files into the raw table; only the given hours if any. Returns the hours that were read."""
+        hours, keep = None if hours is None else list(hours), tuple(keep)
+        lines = archive.read_lines(self.spark, source, hours=hours)
+        projected = archive.project_events(archive.parse_lines(lines))
+        if strict:
+            events, bad = archive.split_bad_hours(projected, keep)
+        else:
+            events = settle(projected.where(archive.kept_events(keep)).drop("bad"), "flat-events")
+            bad = self.spark.createDataFrame([], "hour TIMESTAMP, n_bad BIGINT")
+        files = archive.file_hours(self.spark, source, hours)
+        return self._store_hours(archive.with_hour_parts(events), files, bad)
 
     def refresh_raw(self, source: str, start: str, end: str, known: Iterable[str] = ()) -> DataFrame:
         """Check all hours of a range and ingest those that are missing or empty."""
@@ -81,7 +120,15 @@ class Benchmark:
             return quality.validate_keys(keys, present)
 
         def build(keys: DataFrame) -> None:
-            self.ingest(source, hours=[r.key for r in keys.collect()])
+            # File names are matched against literals, so that other files are not opened; a bounded number at a time.
+            some: list[str] = []
+            for row in keys.orderBy("key").toLocalIterator():
+                some.append(row.key)
+                if len(some) == MAX_LISTED_HOURS:
+                    self.ingest(source, hours=some)
+                    some = []
+            if some:
+                self.ingest(source, hours=some)
 
         return quality.refresh(
             self.spark, self.path("ledger/raw"), expected, validate, build, known, strict=False
@@ -97,13 +144,19 @@ class Benchmark:
         freqs = list(freqs)
 
         def write(batch: DataFrame, number: int) -> None:
-            events = settle(archive.with_hour_parts(archive.drop_bad_hours(batch)), "batch")
-            tables.write_partitions(events, self.path("raw"), HOUR_PARTS, gather=False)
-            if not self.has("entities") or events.isEmpty():
+            good, bad = archive.split_bad_hours(batch)
+            files = batch.select(F.col("archive_hour").alias("hour")).distinct()
+            hours = self._store_hours(archive.with_hour_parts(good), files, bad)
+            if not self.has("entities") or hours.isEmpty():
                 return
-            hours = settle(events.select(archive.hour_of_parts().alias("hour")).distinct(), "hours")
-            self._merge_first_events(series.first_events(events, self.table("entities")))
+            raw = self._raw_of(hours)
+            moved = self._merge_first_events(series.first_events(raw, self.table("entities")))
             self.build_hourly(hours)
+            # An entity that turns out to be older has zero rows to gain in all periods between.
+            late = self.stored_hours().select("hour").join(
+                moved, F.col("hour").between(F.col("low"), F.col("high")), "left_semi"
+            )
+            hours = settle(hours.unionAll(late).distinct(), "touched-hours")
             for freq in freqs:
                 self.build_series(freq, touched=hours)
 
@@ -128,30 +181,56 @@ class Benchmark:
         first = series.first_events(self.table("raw"), self.table("entities"))
         tables.write_table(first, self.path("first_events"))
 
-    def _merge_first_events(self, found: DataFrame) -> None:
-        """Lower stored first hours to earlier ones in new events."""
-        both = self.table("first_events").unionByName(found) if self.has("first_events") else found
+    def _merge_first_events(self, found: DataFrame) -> DataFrame:
+        """Lower stored first hours to earlier ones in new events; returns the span ``low, high`` they moved over, one row."""
+        none = "repo_id BIGINT, first_hour TIMESTAMP"
+        old = tables.read_table(self.spark, self.path("first_events"), none)
+        both = old.unionByName(found.select(*old.columns))
         merged = settle(both.groupBy("repo_id").agg(F.min("first_hour").alias("first_hour")), "first")
+        was = old.select("repo_id", F.col("first_hour").alias("was"))
+        moved = merged.join(was, "repo_id").where("first_hour < was")
+        moved = settle(moved.agg(F.min("first_hour").alias("low"), F.max("was").alias("high")), "moved")
         tables.write_table(merged, self.path("first_events"))
+        return moved
 
     # --- series --------------------------------------------------------------------------
 
+    def _span(self, times: DataFrame, column: str) -> tuple[dt.datetime, dt.datetime] | None:
+        """First and last time of a column; None without rows."""
+        low, high = (cal.hour_key(f(F.col(column))) for f in (F.min, F.max))
+        row = times.agg(low.alias("low"), high.alias("high")).first()
+        return None if row.low is None else (cal.cutoff_value(row.low), cal.cutoff_value(row.high))
+
+    def _raw_of(self, hours: DataFrame) -> DataFrame:
+        """Raw events of some hours: pruned to their days by partition, then to the hours."""
+        span = self._span(hours, "hour")
+        raw = self.table("raw")
+        raw = tables.hours_of(raw, *span) if span else raw.limit(0)
+        parts = cal.partition_values(F.col("hour"), "hourly")
+        return raw.join(hours.select(*[c.alias(n) for n, c in parts.items()]).distinct(), HOUR_PARTS, "left_semi")
+
     def build_hourly(self, hours: DataFrame | None = None) -> None:
-        """Sparse hourly counts of the raw hours that have none yet, or of the given hours."""
+        """Sparse hourly counts of the stored hours that were not counted yet, or of the given hours.
+
+        The hours counted are noted in a table of their own, as one without entity events leaves no counts.
+        """
         if hours is None:
             hours = self.stored_hours().select("hour")
-            if self.has("hourly"):
-                done = tables.present_hours(self.spark, self.path("hourly"))
-                hours = hours.join(done, "hour", "left_anti")
-        parts = cal.partition_values(F.col("hour"), "hourly")
-        wanted = settle(hours.select(*[c.alias(n) for n, c in parts.items()]).distinct(), "hours")
-        raw = self.table("raw").join(wanted, HOUR_PARTS, "left_semi")
-        activity = series.hourly_activity(raw, self.table("entities"))
+            hours = hours.join(tables.read_table(self.spark, self.path("hourly_done"), "hour TIMESTAMP"), "hour", "left_anti")
+        hours = settle(hours.select("hour").distinct(), "hours")
+        if hours.isEmpty():
+            return
+        activity = series.hourly_activity(self._raw_of(hours), self.table("entities"))
         parts = cal.partition_values(F.col("event_hour"), "hourly")
-        tables.write_partitions(activity.withColumns(parts), self.path("hourly"), HOUR_PARTS)
+        wanted = hours.withColumns(cal.partition_values(F.col("hour"), "hourly"))
+        tables.write_partitions(activity.withColumns(parts), self.path("hourly"), HOUR_PARTS, wanted=wanted)
+        tables.append(hours, self.path("hourly_done"))
 
-    def _activity(self) -> DataFrame:
-        return self.table("hourly").drop(*HOUR_PARTS)
+    def _activity(self, hours: DataFrame) -> DataFrame:
+        """Hourly counts, pruned to the days of the given hours."""
+        span = self._span(hours, "hour")
+        counts = self.table("hourly")
+        return (tables.hours_of(counts, *span) if span else counts.limit(0)).drop(*HOUR_PARTS)
 
     def build_series(self, freq: str, overwrite: bool = False, touched: DataFrame | None = None) -> DataFrame:
         """Period series of all complete periods that are not stored; returns their status.
@@ -168,14 +247,21 @@ class Benchmark:
             done = self.table("series").where(F.col("frequency") == f.name).select("ds").distinct()
             status = status.join(done, "ds", "left_anti")
         status = settle(status, "period-status")
-        wanted = hours.join(
-            status.select(F.col("idx").alias("_i")), cal.period_index(F.col("hour"), f) == F.col("_i"), "left_semi"
+        wanted = settle(
+            hours.join(
+                status.select(F.col("idx").alias("_i")), cal.period_index(F.col("hour"), f) == F.col("_i"), "left_semi"
+            ),
+            "wanted-hours",
         )
+        if wanted.isEmpty():
+            return status
         panel = series.period_series(
-            self._activity(), self.table("entities"), self.table("first_events"), wanted, f
+            self._activity(wanted), self.table("entities"), self.table("first_events"), wanted, f
+        )
+        keys = {"frequency": F.lit(f.name), "ds_date": F.to_date("ds")}
+        tables.write_partitions(
+            panel.withColumns(keys), self.path("series"), SERIES_PARTS, wanted=status.select("ds").withColumns(keys)
         )
-        panel = panel.withColumns({"frequency": F.lit(f.name), "ds_date": F.to_date("ds")})
-        tables.write_partitions(panel, self.path("series"), SERIES_PARTS)
         return status
 
     def validate_series(self, freq: str, start: str, end: str) -> DataFrame:
@@ -216,24 +302,37 @@ class Benchmark:
         window: int | None = None,
         overwrite: bool = False,
     ) -> DataFrame:
-        """Forecast all missing keys in one job; returns the keys whose model failed."""
+        """Forecast all missing keys; returns the keys that could not be made, with the reason.
+
+        Stored keys are skipped first. Of the others, a cutoff whose history has a gap or whose series do not end
+        at it is reported and the rest goes on. Models that miss the same cutoffs run in one job.
+        """
         f, cutoffs, models = cal.frequency(freq), list(cutoffs), list(models)
         layer, panel = "forecasts", self.panel(freq)
-        windows.require_window(windows.window_presence(panel, cutoffs, f, window))
-        forecasting.check_alignment(panel, cutoffs, f.name, window)
-        keys = None
+        wanted = {m: set(windows.listed_cutoffs(cutoffs, f)) for m in models}
         if not overwrite:
-            keys = settle(self._missing(layer, freq, models, cutoffs), "missing-keys")
-            # at most models x cutoffs rows
-            rows = keys.select("model", cal.hour_key(F.col("cutoff")).alias("key")).collect()
-            models = [m for m in models if any(r.model == m for r in rows)]
-            cutoffs = sorted({r.key for r in rows})
-        if not models:
-            return self.spark.createDataFrame([], "model STRING, cutoff TIMESTAMP, n_failed BIGINT, error STRING")
-        out, failed = forecasting.forecast(panel, cutoffs, f, models, window=window)
-        if keys is not None:
-            out = out.join(keys, ["model", "cutoff"], "left_semi")
-        tables.write_partitions(out, self.path(layer), KEY_PARTS)
+            keys = self._missing(layer, freq, models, cutoffs)
+            rows = keys.select("model", cal.hour_key(F.col("cutoff")).alias("key")).collect()  # at most models x cutoffs
+            wanted = {m: {cal.cutoff_value(r.key) for r in rows if r.model == m} for m in models}
+        asked = sorted(set().union(*wanted.values()))
+        none = "model STRING, cutoff TIMESTAMP, n_failed BIGINT, error STRING"
+        failed = self.spark.createDataFrame([], none)
+        if not asked:
+            return failed
+        refused = {cal.cutoff_value(r.key): (r.n, r.error) for r in forecasting.refused_cutoffs(panel, asked, f.name, window).collect()}
+        rows = [(m, c, *refused[c]) for m, mine in wanted.items() for c in sorted(mine) if c in refused]
+        failed = failed.unionAll(self.spark.createDataFrame(rows, none))
+        groups: dict[tuple, list[str]] = {}
+        for m, mine in wanted.items():
+            if good := tuple(sorted(mine - set(refused))):
+                groups.setdefault(good, []).append(m)
+        for good, names in groups.items():
+            out, bad = forecasting.forecast(panel, good, f, names, window=window)
+            keys = windows.cutoff_frame(self.spark, good, f).select(
+                F.lit(f.name).alias("frequency"), F.explode(F.array(*map(F.lit, names))).alias("model"), "cutoff"
+            )
+            tables.write_partitions(out, self.path(layer), KEY_PARTS, wanted=keys)
+            failed = failed.unionByName(bad)
         return failed
 
     def forecasts(self, freq: str) -> DataFrame:
@@ -260,7 +359,8 @@ class Benchmark:
             rows = rows.where(F.col("cutoff").isin([cal.cutoff_value(c) for c in cutoffs]))
         metrics, status = evaluation.evaluate(rows, self.panel(freq), cutoffs, freq, window, **options)
         metrics = metrics.withColumn("cutoff", cal.parse_cutoff(F.col("cutoff")))
-        tables.write_partitions(metrics, self.path("metrics"), KEY_PARTS)
+        keys = status.select(F.lit(cal.frequency(freq).name).alias("frequency"), "model", "cutoff")
+        tables.write_partitions(metrics, self.path("metrics"), KEY_PARTS, wanted=keys)
         return status
 
     def metrics(self) -> DataFrame:

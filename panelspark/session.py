@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,23 +31,17 @@ def get_session(master: str | None = None, name: str = "panelspark", **conf: str
     return configure(builder.getOrCreate())
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for stage tables: the one named in ``spark.checkpoint.dir``.
 
-    Only a local-mode session may go without it; it then gets a temporary folder.
+    A local session without it uses a folder below its warehouse.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="panelspark-")
-    return _LOCAL_DIRS[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/panelspark-stages"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -66,12 +60,3 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# Rows of one id column that may be broadcast: about 40 MB as a hash relation.
-MAX_BROADCAST_IDS = 1_000_000
-
-
-def is_small(df: DataFrame, limit: int = MAX_BROADCAST_IDS) -> bool:
-    """True if a stored frame has at most ``limit`` rows; a count over Parquet reads no columns."""
-    return df.count() <= limit

@@ -51,6 +51,15 @@ def read_lines(
     return text.select(cal.stamp_hour(stamp).alias("archive_hour"), F.col("value").alias("line"))
 
 
+def file_hours(spark: SparkSession, path: str | list[str], hours: Iterable[str] | None = None) -> DataFrame:
+    """Hours that have an archive file, from the file names alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    stamp = F.regexp_extract("path", _STAMP, 1)
+    if hours is not None:
+        files = files.where(stamp.isin([f"{v:%Y-%m-%d}-{v.hour}" for v in map(cal.cutoff_value, hours)]))
+    return files.select(cal.stamp_hour(stamp).alias("hour")).where("hour IS NOT NULL").distinct()
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parse ``line`` into ``event``; null marks a line that is not a JSON object.
 
@@ -134,9 +143,17 @@ def read_archive(
 
 def drop_bad_hours(projected: DataFrame, keep: Iterable[str] = KEEP_EVENT_TYPES) -> DataFrame:
     """Kept events of the hours without an unreadable line."""
+    return split_bad_hours(projected, keep)[0]
+
+
+def split_bad_hours(
+    projected: DataFrame, keep: Iterable[str] = KEEP_EVENT_TYPES
+) -> tuple[DataFrame, DataFrame]:
+    """Kept events of the good hours, and the hours with an unreadable line as ``hour, n_bad``."""
     staged = settle(projected.where(F.col("bad") | kept_events(keep)), "flat-events")
-    bad = staged.where("bad").select("archive_hour").distinct()
-    return staged.where(~F.col("bad")).drop("bad").join(bad, "archive_hour", "left_anti")
+    bad = staged.where("bad").groupBy("archive_hour").agg(F.count("*").alias("n_bad"))
+    good = staged.where(~F.col("bad")).drop("bad").join(bad, "archive_hour", "left_anti")
+    return good, bad.withColumnRenamed("archive_hour", "hour")
 
 
 def with_hour_parts(events: DataFrame) -> DataFrame:

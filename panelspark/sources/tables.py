@@ -15,18 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelspark.functions import calendar as cal
+from panelspark.session import settle
 
 
 def write_partitions(
-    df: DataFrame, path: str, partition_by: Sequence[str], gather: bool = True
+    df: DataFrame, path: str, partition_by: Sequence[str], gather: bool = True, wanted: DataFrame | None = None
 ) -> None:
-    """Replace the partitions present in ``df``.
+    """Replace the partitions present in ``df``, and drop those of ``wanted`` keys that have no rows any more.
 
     ``gather`` collects each partition into few files; the rebalance hint lets AQE
     split a partition that is too large for one task and merge small ones. Rows
     that already lie together by partition, such as archive hours read file by
     file, are written without that shuffle.
     """
+    spark, stale = df.sparkSession, None
+    if wanted is not None and table_exists(spark, path):
+        stale = settle(_files(spark, path, wanted, partition_by), "old-files")
     rows = df.hint("rebalance", *partition_by) if gather else df
     (
         rows.write.mode("overwrite")
@@ -35,6 +39,43 @@ def write_partitions(
         .partitionBy(*partition_by)
         .parquet(path)
     )
+    if stale is not None and not stale.isEmpty():
+        left = _files(spark, path, wanted, partition_by).join(stale, "file", "left_semi")
+        folders = left.select(F.regexp_extract("file", "(.*)/[^/]*", 1).alias("folder")).distinct()
+        for row in folders.toLocalIterator():  # keys that lost all their rows
+            _delete(spark, row.folder)
+
+
+def _files(spark: SparkSession, path: str, keys: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Files of the partitions of ``keys`` in a table."""
+    table = spark.read.parquet(path)
+    names = table.select(*partition_by, F.col("_metadata.file_path").alias("file")).distinct()
+    as_stored = [F.col(c).cast(table.schema[c].dataType).alias(c) for c in partition_by]
+    return names.join(keys.select(*as_stored).distinct(), list(partition_by), "left_semi").select("file")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store the session reaches; ``folder`` is a URI with escapes, as file metadata gives it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Add rows to an unpartitioned table."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def hours_of(df: DataFrame, low: dt.datetime, high: dt.datetime) -> DataFrame:
+    """Rows of an hourly partitioned table between two hours, pruned to their days by partition."""
+    from panelspark.sources.archive import hour_of_parts
+
+    day = F.make_date("year", "month", "day")
+    return (
+        df.where(F.col("year").between(low.year, high.year))
+        .where(day.between(F.lit(low.date()), F.lit(high.date())))
+        .where(hour_of_parts().between(F.lit(low), F.lit(high)))
+    )
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -99,14 +140,7 @@ def read_raw_hours(
     from panelspark.sources.archive import hour_of_parts
 
     first, last = cal.cutoff_value(start), cal.cutoff_value(end)
-    day = F.make_date("year", "month", "day")
-    raw = (
-        read_table(spark, path)
-        .where(F.col("year").between(first.year, last.year))
-        .where(day.between(F.lit(first.date()), F.lit(last.date())))
-        .withColumn("event_hour", hour_of_parts())
-        .where(F.col("event_hour").between(F.lit(first), F.lit(last)))
-    )
+    raw = hours_of(read_table(spark, path), first, last).withColumn("event_hour", hour_of_parts())
     if raw.select("year").isEmpty():
         raise FileNotFoundError(f"No raw hours between {first} and {last} at {path}")
     return raw
@@ -152,6 +186,6 @@ def read_forecasts(
         & (F.col("cutoff") == F.lit(cal.cutoff_value(cutoff)))
     )
     if found.isEmpty():
-        names = [r.model for r in table.select("model").distinct().orderBy("model").limit(100).collect()]
+        names = [r.model for r in table.select("model").distinct().orderBy("model").collect()]
         raise FileNotFoundError(f"No forecast of {model} at {cutoff}. Stored models: {names}")
     return found

@@ -2,7 +2,8 @@
 
 Each micro-batch is reduced to its own hourly counts and written under its batch
 number; a repeated batch overwrites itself, so results are exactly-once. Reading
-adds the batches up. Late events are simply part of a later batch: nothing is
+adds the batches up, or, for archive files that hold a whole hour each, takes each hour from the
+last batch that brought its file. Late events are simply part of a later batch: nothing is
 dropped, and no state grows with the stream.
 """
 
@@ -62,11 +63,14 @@ def stream_hourly(
     def write(batch: DataFrame, number: int) -> None:
         rows = batch
         if archive_input:
-            rows = archive.with_hour_parts(archive.drop_bad_hours(batch, keep))
+            good, bad = archive.split_bad_hours(batch, keep)
+            hours = batch.select(F.col("archive_hour").alias("hour")).distinct().join(bad, "hour", "left_anti")
+            hours.write.mode("overwrite").parquet(f"{out}/hours/batch={number}")
+            rows = archive.with_hour_parts(good)
         counts = hourly_activity(with_event_hour(rows), entities)
-        counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        counts.write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
         if on_batch is not None:
-            done = batch.sparkSession.read.parquet(f"{out}/batch={number}")
+            done = batch.sparkSession.read.parquet(f"{out}/counts/batch={number}")
             on_batch(done.select(F.col("event_hour").alias("hour")).distinct(), number)
 
     return (
@@ -77,8 +81,12 @@ def stream_hourly(
     )
 
 
-def read_streamed(spark: SparkSession, out: str) -> DataFrame:
-    """Hourly activity summed over all batches."""
-    batches = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+def read_streamed(spark: SparkSession, out: str, archive_input: bool = False) -> DataFrame:
+    """Hourly activity of all batches: added up, or of the last file of each hour with ``archive_input``."""
+    batches = spark.read.option("basePath", f"{out}/counts").parquet(f"{out}/counts/batch=*")
+    if archive_input:
+        hours = spark.read.option("basePath", f"{out}/hours").parquet(f"{out}/hours/batch=*")
+        last = hours.groupBy(F.col("hour").alias("event_hour")).agg(F.max("batch").alias("batch"))
+        batches = batches.join(last, ["event_hour", "batch"], "left_semi")
     sums = [F.sum(c).alias(c) for c in (*METRICS, "n_events")]
     return batches.groupBy("repo_id", "event_hour").agg(*sums)

@@ -151,8 +151,133 @@ def test_stream(spark, bench, folders, tmp_path):
     assert rows(streamed.table("first_events")) == rows(bench.table("first_events"))
 
 
-def test_guards_stop_a_forecast(bench):
-    with pytest.raises(FileNotFoundError):
-        bench.run_forecasts("daily", ["2024-01-03"], window=7)
+def test_guards_of_single_cutoffs(spark, bench):
+    """Cutoffs that fail a guard are reported; the others go on, and stored keys are left alone."""
+    failed = bench.run_forecasts("daily", ["2024-01-03", "2024-01-12", CUTOFFS[0]], models=["zero_model"], window=7)
+    assert [(r.model, r.key, r.error) for r in failed.select("model", cal.hour_key(F.col("cutoff")).alias("key"), "error").collect()] == [
+        ("zero_model", "2024-01-03-00", "missing_history")
+    ]
+    keys = bench.forecasts("daily").where("model = 'zero_model'").select(cal.hour_key(F.col("cutoff")).alias("key")).distinct()
+    assert rows(keys) == [("2024-01-08-00",), ("2024-01-12-00",), ("2024-01-15-00",)]
     with pytest.raises(ValueError):
         bench.run_forecasts("daily", ["2024-01-03-05"], window=2)
+
+
+def test_only_missing_keys_are_fitted(spark, tmp_path, bench):
+    """Two models, two cutoffs, two keys stored: the other two are fitted and no more."""
+    from panelspark.operators import forecasting
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def make(name):
+        def fn(history, h, freq, quantiles):
+            import uuid
+
+            import pandas as pd
+
+            last = history["ds"].max()
+            (calls / f"{name}.{last:%m%d}.{uuid.uuid4().hex}").write_text("")
+            ds = pd.date_range(last, periods=h + 1, freq="D")[1:]
+            return pd.DataFrame({"ds": ds, "yhat": 1.0, **{f"q_{q}": 1.0 for q in quantiles}})
+
+        return fn
+
+    for name in ("first", "second"):
+        forecasting.register_model(name, name.title(), fn=make(name))
+    series_count = bench.panel("daily").select("unique_id").distinct().count()
+    bench.run_forecasts("daily", CUTOFFS[:1], models=["first"], window=7)
+    bench.run_forecasts("daily", CUTOFFS[1:], models=["second"], window=7)
+    before = {p.name for p in calls.iterdir()}
+    bench.run_forecasts("daily", CUTOFFS, models=["first", "second"], window=7)
+    new = sorted(p.name.rsplit(".", 1)[0] for p in calls.iterdir() if p.name not in before)
+    assert new == sorted(["first.0115"] * series_count + ["second.0108"] * series_count)
+
+
+def test_failed_rescore_removes_metrics(spark, bench):
+    """Metrics of a key that fails its guard on a second scoring go."""
+    key = "model = 'zero_model' AND cutoff LIKE '2024-01-08%'"
+    assert bench.metrics().where(key).count() > 0
+    rows_ = bench.forecasts("daily").where("model = 'zero_model'").where(cal.hour_key(F.col("cutoff")) == "2024-01-08-00")
+    kept = spark.createDataFrame(rows_.toPandas(), rows_.schema)
+    tables.write_partitions(kept.withColumn("yhat", F.lit(None).cast("double")), bench.path("forecasts"), ["frequency", "model", "cutoff"])
+    status = bench.run_evaluations("daily", CUTOFFS[:1], models=["zero_model"], window=7, overwrite=True)
+    assert [r.status for r in status.collect()] == ["null_values"]
+    assert bench.metrics().where(key).count() == 0 and bench.metrics().count() > 0
+
+
+def archive_file(folder, day, hour, events):
+    with gzip.open(folder / f"2024-01-{day:02d}-{hour}.json.gz", "wt") as f:
+        for n, repo in enumerate(events):
+            f.write(json.dumps({
+                "id": f"{day}-{hour}-{n}-{len(events)}", "type": "WatchEvent", "created_at": f"2024-01-{day:02d}T{hour:02d}:00:00Z",
+                "repo": {"id": repo, "name": f"r{repo}"}, "payload": {},
+            }) + "\n")
+
+
+@pytest.fixture()
+def week(tmp_path):
+    """Six days of hour files; entity 1 in all hours, entity 2 from day 5 on."""
+    folder = tmp_path / "week"
+    folder.mkdir()
+    for day in range(1, 7):
+        for hour in range(24):
+            archive_file(folder, day, hour, [1, 2] if day >= 5 else [1])
+    return folder
+
+
+def from_scratch(spark, folder, root, entities):
+    b = Benchmark(spark, str(root))
+    b.ingest(str(folder))
+    tables.write_table(entities, b.path("entities"))
+    b.find_first_events()
+    b.build_hourly()
+    b.build_series("daily")
+    return b
+
+
+def test_late_and_replaced_hours(spark, week, tmp_path):
+    """A stream with an earlier first event, an emptied hour and a refused hour equals a build in one go."""
+    entities = spark.createDataFrame([(1, "r1"), (2, "r2")], "repo_id BIGINT, repo_name STRING")
+    streamed = Benchmark(spark, str(tmp_path / "streamed"))
+    tables.write_table(entities, streamed.path("entities"))
+    landing = tmp_path / "landing"
+    landing.mkdir()
+
+    def land(names):
+        for name in names:
+            (landing / name).write_bytes((week / name).read_bytes())
+        streamed.stream(str(landing)).awaitTermination()
+
+    late = "2024-01-02-3.json.gz"
+    archive_file(week, 2, 3, [1, 2])  # entity 2 in fact began on day 2
+    land(sorted(p.name for p in week.iterdir() if p.name != late))
+    land([late])
+    whole = from_scratch(spark, week, tmp_path / "whole", entities)
+    assert rows(streamed.panel("daily")) == rows(whole.panel("daily"))
+    assert streamed.panel("daily").where("unique_id = '2:stars'").count() == 5
+
+    archive_file(week, 3, 4, [9])  # replaced by a file without entity events
+    (landing / "again").mkdir()
+    (landing / "again" / "2024-01-03-4.json.gz").write_bytes((week / "2024-01-03-4.json.gz").read_bytes())
+    streamed.stream(str(landing)).awaitTermination()
+    again = from_scratch(spark, week, tmp_path / "again", entities)
+    assert rows(streamed.panel("daily")) == rows(again.panel("daily"))
+    assert rows(streamed.table("raw").select("event_id")) == rows(again.table("raw").select("event_id"))
+    assert streamed.stored_hours().count() == 144
+
+    with gzip.open(landing / "again" / "2024-01-04-1.json.gz", "wt") as f:
+        f.write('{"id": "x", broken\n')
+    streamed.stream(str(landing)).awaitTermination()
+    assert rows(streamed.panel("daily")) == rows(again.panel("daily"))  # the hour keeps what it had
+    assert rows(streamed.refused_hours().select(cal.hour_key(F.col("hour")))) == [("2024-01-04-01",)]
+
+
+def test_builds_read_only_their_days(spark, bench):
+    """One day's rebuild prunes the raw and hourly layers by partition."""
+    hours = bench.stored_hours().select("hour").where("hour >= TIMESTAMP'2024-01-03' AND hour < TIMESTAMP'2024-01-04'")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    for df in (bench._raw_of(hours), bench._activity(hours)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        filters = plan[plan.index("PartitionFilters: [") :].split("PushedFilters")[0]
+        assert "make_date(year" in filters and "2024-01-03" in filters

@@ -29,8 +29,7 @@ def test_ntile(spark, size):
     assert both.where("t <> e").count() == 0
 
 
-@pytest.mark.parametrize("small_rows", [0, 10_000])
-def test_percentiles(spark, small_rows):
+def test_percentiles(spark):
     rng = random.Random(3)
     data = []
     for i in range(3000):
@@ -39,7 +38,7 @@ def test_percentiles(spark, small_rows):
         data.append((group, None if i % 7 == 0 else "b", value))
     df = spark.createDataFrame(data, "g STRING, k STRING, v DOUBLE")
     probs = {"p10": 0.1, "med": 0.5, "p99": 0.99, "lo": 0.0, "hi": 1.0}
-    ours = ranking.grouped_percentiles(df, ["g", "k"], "v", probs, {"pos": 0.1}, small_rows=small_rows).collect()
+    ours = ranking.grouped_percentiles(df, ["g", "k"], "v", probs, {"pos": 0.1}).collect()
     expected = df.where("v IS NOT NULL").groupBy("g", "k").agg(
         *[F.percentile("v", p).alias(n) for n, p in probs.items()],
         F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.1).alias("pos"),
@@ -56,12 +55,27 @@ def test_percentiles_of_close_values(spark):
     """All values in one magnitude bucket, some equal, and groups without positives."""
     df = spark.range(5000).selectExpr("'a' AS g", "1000 + id % 700 * 1e-7 AS v")
     df = df.unionByName(spark.range(9).selectExpr("'b' AS g", "-id * 1.0D AS v"))
-    found = {r.g: r for r in ranking.bucketed_percentiles(df, ["g"], "v", {"p": 0.37}, {"pos": 0.5}).collect()}
+    found = {r.g: r for r in ranking.grouped_percentiles(df, ["g"], "v", {"p": 0.37}, {"pos": 0.5}).collect()}
     expected = {r.g: r for r in df.groupBy("g").agg(F.percentile("v", 0.37).alias("p"), F.median("v").alias("m")).collect()}
     assert found["a"].p == pytest.approx(expected["a"].p, rel=1e-14) and found["a"].pos == pytest.approx(expected["a"].m, rel=1e-14)
     assert found["b"].p == expected["b"].p and found["b"].pos is None
 
 
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, 5.0, float("nan")], [1.0, 2.0, 5.0, float("inf")], [float("-inf"), 1.0, 2.0, float("inf"), float("inf")],
+    [float("nan")] * 3, [float("-inf"), float("-inf"), 0.0, -0.0, 1e-320, 1e308], [7.0],
+])
+def test_percentiles_of_special_values(spark, values):
+    df = spark.createDataFrame([("g", v) for v in values], "g STRING, v DOUBLE")
+    probs = {f"p{k}": k / 10 for k in range(11)}
+    found = ranking.grouped_percentiles(df, ["g"], "v", probs, {"pos": 0.5}).first()
+    expected = df.groupBy("g").agg(
+        *[F.percentile("v", p).alias(n) for n, p in probs.items()], F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.5).alias("pos")
+    ).first()
+    for name in [*probs, "pos"]:
+        assert found[name] == expected[name] or pytest.approx(expected[name], nan_ok=True) == found[name], name
+
+
 def test_top_per_group_limits_before_shuffle(spark):
     df = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
     top = ranking.top_per_group(df, "g", [F.col("id")], {"a": 5, "b": 2})

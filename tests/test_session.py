@@ -15,8 +15,11 @@ def test_work_dir():
     assert session.work_dir(fake("spark://host:7077", "s3a://shared/stages/")) == "s3a://shared/stages"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.work_dir(fake("spark://host:7077"))
-    local = fake("local[2]")
-    assert session.work_dir(local) == session.work_dir(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_dir(fake("local-cluster[2,1,1024]"))
+    local = SimpleNamespace(get=lambda key, default=None: "file:/warehouse" if key == "spark.sql.warehouse.dir" else default)
+    for master in ("local", "local[2]"):
+        assert session.work_dir(SimpleNamespace(conf=local, sparkContext=SimpleNamespace(master=master))) == "file:/warehouse/panelspark-stages"
 
 
 def test_settle(spark):
@@ -24,4 +27,3 @@ def test_settle(spark):
     staged = session.settle(df, "numbers")
     assert rows(staged) == rows(df)
     assert f"{session.work_dir(spark)}/numbers-" in staged.inputFiles()[0]
-    assert session.is_small(staged, 10) and not session.is_small(staged, 9)

@@ -5,6 +5,8 @@ import statistics
 import pytest
 from conftest import panel_of, rows
 
+from pyspark.sql import functions as F
+
 from panelspark.functions import calendar as cal
 from panelspark.operators import windows
 
@@ -51,6 +53,32 @@ def test_off_grid_cutoffs(fortnight):
         windows.history(fortnight, [], "daily")
 
 
+def test_off_grid_cutoffs_of_a_frame(spark, fortnight):
+    frame = spark.createDataFrame([(cal.cutoff_value(c),) for c in ("2026-01-10", "2026-01-11-05")], "cutoff TIMESTAMP")
+    with pytest.raises(Exception, match="not on the daily grid"):
+        windows.history(fortnight, frame, "daily", 7).collect()
+
+
+def test_rolling_stats_of_fractions(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [round(rng.gauss(0, 5), 3) for _ in range(30)]
+    whole = [float(k * k % 17) for k in range(30)]
+    day = dt.datetime(2026, 1, 1, tzinfo=cal.UTC)
+    data = [(uid, day + dt.timedelta(k), y) for uid, ys in (("a", values), ("b", whole)) for k, y in enumerate(ys)]
+    panel = spark.createDataFrame(data, "unique_id STRING, ds TIMESTAMP, y DOUBLE")
+    for w, m, s in ((14, 1, 7), (5, 2, 3), (4, 1, 7)):
+        found = {r.unique_id: r for r in windows.rolling_stats(panel, ["2026-01-25"], "daily", w, m, s).collect()}
+        for uid, ys in (("a", values), ("b", whole)):
+            expected = brute(ys[:25], w, m, s)
+            for name, value in expected.items():
+                assert found[uid][name] == pytest.approx(value), (uid, name)
+        exact = windows.rolling_stats(panel.withColumn("y", F.col("y").cast("long")), ["2026-01-25"], "daily", w, m, s)
+        same = exact.where("unique_id = 'b'").first()
+        assert all(found["b"][n] == pytest.approx(same[n]) for n in ("mean_y", "sd_y", "mean_abs_diff", "sd_season"))
+
+
 def brute(values, w, m, s):
     """Window statistics of the last ``w`` of a list of observations."""
     ys = values[-w:]
