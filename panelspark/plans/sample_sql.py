@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from panelspark.constants import LEVELS, z_score
 from panelspark.plans import sample_queries as q
+from panelspark.plans import stored_queries as stored
 
 METRIC_CASE = """CASE WHEN event_type = 'WatchEvent' THEN 'stars'
     WHEN event_type = 'PullRequestEvent' AND action = 'opened' THEN 'prs_opened'
@@ -459,6 +460,11 @@ def _bodies() -> dict[str, str]:
         count_if(event_type = 'IssuesEvent' AND action = 'opened')::BIGINT AS issues_opened,
         count_if(event_type = 'PushEvent')::BIGINT AS pushes, count(*) AS n_events
       FROM kept GROUP BY repo_id, event_hour"""
+    monthly = lambda panel, cutoffs, window: _history("monthly", cutoffs, window).replace("JOIN monthly p", f"JOIN {panel} p")
+    b |= stored.bodies(METRIC_CASE, _stats, _round, monthly)
+    b["stored_forecasts"] = b["forecast_backtest"]
+    model, cutoff = stored.RESCORED
+    b["rescored_metrics"] = f"SELECT * FROM ({b['evaluate_metrics']}) WHERE NOT (model = '{model}' AND cutoff = '{cutoff}-00')"
     return b
 
 

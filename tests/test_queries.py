@@ -8,16 +8,19 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from panelspark.plans import sample_queries, sample_sql
 
 SF_DIR = os.environ.get("SAMPLE_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no sample tables")
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+# The queries of this package; the driver's also hold those of the optional training-data operators.
+QUERIES, SQL = sample_queries.all_queries(), sample_sql.all_sql()
 WITHOUT_SQL = {"entity_sample_xxh64"}
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) - set(SQL) == WITHOUT_SQL and set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def normal(value):
