@@ -34,7 +34,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_ROWS = 100
 SPREADS = 3
 # Measures with their least margin, in parts of the unit (a millionth, a thousandth of a character).
-MARGINS = {"symbol_share": 50_000, "line_share": 200_000, "repeat_share": 100_000, "word_length": 2_000}
+MARGINS = {"symbol_share": 50_000, "line_share": 400_000, "repeat_share": 250_000, "word_length": 2_000}
 TWO_SIDED = ("word_length",)
 
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import arrays
@@ -165,6 +165,14 @@ def _answers(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _deals(spark: SparkSession, partitions: int) -> list[int]:
+    """A number for each partition that a shuffle by it puts there, so that every block gets a task of its own."""
+    number = F.col("id").cast("int")
+    tried = spark.range(40 * partitions).select(number.alias("id"), F.pmod(F.hash(number), F.lit(partitions)).alias("p"))
+    found = {r.p: r.id for r in tried.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    return [found.get(p, p) for p in range(partitions)]
+
+
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of ``docs``, of its edited text, and their likeness.
 
@@ -181,9 +189,11 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     found = base.agg(F.percentile_approx("doc_id", wanted, 20 * blocks)).first()[0] if wanted else None
     bounds = sorted(set(found or []))
 
+    deals = _deals(spark, blocks)
+
     @F.arrow_udf("int")
     def block_of(ids: pa.Array) -> pa.Array:
-        place = np.searchsorted(np.array(bounds, np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False)) + 1
+        place = np.searchsorted(np.array(bounds, np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False))
         return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, place).astype(np.int32))
 
     placed = base.withColumn("block", block_of("doc_id"))
@@ -197,8 +207,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         .select("text", "doc_id", "block", F.lit(True).alias("guest"))
     )
     rows = placed.withColumn("guest", F.lit(False)).unionByName(copies)
+    dealt = F.get(F.lit(deals), F.col("block"))
     return (
-        rows.repartition(blocks, "block")
+        rows.repartition(blocks, dealt)
         .sortWithinPartitions("block", "guest", F.col("doc_id").desc_nulls_last(), "text")
         .mapInArrow(
             _compared,
