@@ -40,13 +40,15 @@ def _fallback_id() -> Column:
 
 
 def sparsity_levels(sparsity: DataFrame) -> DataFrame:
-    """Distinct series id and level."""
-    return sparsity.select("unique_id", "sparsity_level").distinct()
+    """Series id and level; a series with two levels is an error, as it would repeat rows of the leaderboard."""
+    spread = sparsity.groupBy("unique_id").agg(F.min("sparsity_level").alias("low"), F.max("sparsity_level").alias("high"))
+    error = F.raise_error(F.concat(F.lit("more than one sparsity level: "), "unique_id")).cast("string")
+    return spread.select("unique_id", F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(error).alias("sparsity_level"))
 
 
 def ambiguous_sparsity(sparsity: DataFrame) -> DataFrame:
     """Series with more than one level; they would repeat rows of the leaderboard."""
-    counts = sparsity_levels(sparsity).groupBy("unique_id").agg(F.count("*").alias("n"))
+    counts = sparsity.select("unique_id", "sparsity_level").distinct().groupBy("unique_id").agg(F.count("*").alias("n"))
     return counts.where("n > 1")
 
 
@@ -133,9 +135,9 @@ def full_grid(scored: DataFrame, dataset: str = DATASET) -> DataFrame:
 
 def complete_grid(grid: DataFrame, scored: DataFrame, denominators: DataFrame) -> DataFrame:
     """Grid rows with their score, null where a model has none."""
-    values = scored.select(*STRATUM, "model", "value")
+    values = scored.select(*STRATUM, "model", "model_alias", "value")
     return (
-        grid.join(values, [*STRATUM, "model"], "left")
+        grid.join(values, [*STRATUM, "model", "model_alias"], "left")
         .join(denominators, STRATUM, "left")
         .select(*COLUMNS)
     )

@@ -210,13 +210,18 @@ RELATIONS["scaled"] = f"""
     CASE WHEN d.denom > 0 THEN m.v / d.denom END AS value
   FROM med m LEFT JOIN denoms d USING ({_STRATUM})"""
 RELATIONS["grid"] = """
-  SELECT 'gh-archive' AS dataset, c.frequency, c.cutoff, m.metric, s.subdataset, l.sparsity_level,
+  SELECT 'gh-archive' AS dataset, frequency, cutoff, unnest(list_sort(names.metrics)) AS metric, subdataset, sparsity_level,
     o.model, o.model_alias
-  FROM (SELECT DISTINCT frequency, cutoff FROM raw_long) c
-  CROSS JOIN (SELECT DISTINCT subdataset FROM raw_long) s
-  CROSS JOIN (SELECT DISTINCT sparsity_level FROM raw_long) l
-  CROSS JOIN (SELECT DISTINCT metric FROM raw_long) m
-  CROSS JOIN (SELECT DISTINCT model, model_alias FROM raw_long) o"""
+  FROM (
+    SELECT frequency, cutoff, names, subdataset, sparsity_level, unnest(names.models) AS o
+    FROM (
+      SELECT frequency, cutoff, names, subdataset, unnest(names.levels) AS sparsity_level
+      FROM (
+        SELECT frequency, cutoff, names, unnest(names.subdatasets) AS subdataset
+        FROM (SELECT DISTINCT frequency, cutoff FROM raw_long), (
+          SELECT {'subdatasets': list(DISTINCT subdataset), 'levels': list(DISTINCT sparsity_level),
+            'metrics': list(DISTINCT metric), 'models': list(DISTINCT {'model': model, 'model_alias': model_alias})} AS names
+          FROM raw_long))))"""
 RELATIONS["board"] = f"""
   SELECT g.dataset, g.subdataset, g.sparsity_level, g.frequency, g.cutoff, g.metric, g.model,
     g.model_alias, r.value, d.median_zero, d.pct_z, d.denom
