@@ -32,8 +32,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one other node, which hangs on none."""
+    row = edges.agg(F.count("*").alias("edges"), F.count_distinct("u").alias("nodes")).first()
+    return row.edges == row.nodes and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -44,14 +46,27 @@ def components(links: DataFrame) -> DataFrame:
     edges = settle(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
     )
-    before = _state(edges)
-    while before[0]:
+    while not _is_forest_of_stars(edges):
         edges = settle(_small_star(_large_star(edges)), "links")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     return (
         edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        .unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        .unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     )
+
+
+def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links behind ``found`` and further ``links``: only components that these join are worked on."""
+    if found is None:
+        return settle(components(links), "components")
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+    raised = (
+        links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    )
+    raised = settle(raised, "raised-links")
+    if raised.isEmpty():
+        return found
+    merged = components(raised)
+    moved = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    moved = moved.select("node", F.coalesce("into", "component").alias("component"))
+    return settle(moved.unionAll(merged).distinct(), "components")

@@ -11,12 +11,12 @@ IDF is tempered: a shingle in at most ``COMMON`` of all documents weighs 1 and a
 finds its own members, and only frequent shingles need a table. There are at most
 ``mean shingles per document / COMMON`` of those, whatever the number of documents.
 
-Candidates are not paired off within a band. In each bucket all members are compared with one leader
-(the member that shares the most bands), which settles a group of copies at once. As ``1 - similarity``
-is a metric, two members can only be similar if their distances to the leader differ by at most
-``1 - threshold``; so the bucket falls into overlapping shells, and only shells that still hold two
-components go on. After ``ROUNDS`` rounds the few pairs left are compared directly, so no candidate
-pair is left undecided.
+Candidates are not paired off within a band. First all members of a bucket are compared with one leader (the member
+that shares the most bands), which settles most groups of copies at once. Members of buckets that still hold
+several components are then judged by exact bounds, before any pair is formed: a text whose own shingles (that no other
+open text has) weigh too much cannot reach the threshold with any other and is done. The others of a bucket are dealt to
+blocks of bounded size, every two of which meet in a task that compares them exactly and returns links only. So no
+candidate pair is left undecided, and no pair that is no link becomes a row.
 
 Defined results: a null text is an empty one; equal texts share a class, empty ones too; a text of one
 to four words is one shingle. The class id is the least ``doc_id`` of the class, null if it has none.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import arrays
-from panelspark.llm.components import components
+from panelspark.llm.components import joined_components
 from panelspark.llm.tasks import column, ship_functions, slices
 from panelspark.session import settle
 
@@ -44,9 +44,8 @@ THRESHOLD = 0.8
 BANDS, BAND_HASHES = 12, 4
 HASHES = BANDS * BAND_HASHES
 COMMON = 0.05
-ROUNDS = 4
-# A pair over the threshold agrees on fewer samples than this with a probability below 1e-8.
-_LEAST_AGREEING = 20
+# Members of a block, and tokens that are compared at once.
+_BLOCK, _COLUMNS = 256, 4096
 
 _BUCKETS = 1 << 17
 _KEY_BITS = np.uint64(48)
@@ -233,10 +232,6 @@ def text_digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def _agreeing(a: Column, b: Column) -> Column:
-    return sum((F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4)).cast("int") for k in range(HASHES))
-
-
 def text_classes(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``digest, class_digest, class_id`` of every distinct text of ``docs``.
 
@@ -272,46 +267,22 @@ def text_classes(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float =
             _similarities(size, common, idf), "a long, b long, similarity double"
         )
 
-    members = shared.join(central, "unit").select("bucket", "unit", "central", F.lit(True).alias("low"), F.lit(0).alias("first"))
-    known = found = None  # pairs compared so far; components so far
-    step = 1 - threshold + 1e-9
-    for _ in range(ROUNDS):
-        open_members = settle(_undecided(members, found), "undecided")
-        if open_members.isEmpty():
-            break
-        pairs = open_members.select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        new = settle(compared(pairs), "compared")
-        known = new if known is None else known.unionAll(new)
-        found = components(known.where(F.col("similarity") >= threshold))
-        placed = open_members.join(
-            known, (known["a"] == F.least("unit", "leader")) & (known["b"] == F.greatest("unit", "leader"))
-        ).withColumn("shell", F.floor((1 - F.col("similarity")) / step).cast("int"))
-        members = placed.select(
-            "bucket", "unit", "central", "shell", F.explode(F.array(F.col("shell") - 1, F.col("shell"))).alias("j")
-        ).where("j >= 0").select(
-            F.xxhash64("bucket", "j").alias("bucket"), "unit", "central", (F.col("shell") == F.col("j")).alias("low"),
-            # The ring around a group of copies is small: its members lead, so each is settled by one comparison.
-            F.when(F.col("j") == 0, F.col("shell")).otherwise(0).alias("first"),
-        )
-    else:
-        rest = _undecided(members, found).select("bucket", "unit", "component")
-        sketch = units.select("unit", "sketch")
-        left = rest.join(sketch, "unit")
-        pairs = left.select("bucket", F.col("unit").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa")).join(
-            left.select("bucket", F.col("unit").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb")), "bucket"
-        ).where("a < b AND ca <> cb").where(_agreeing(F.col("sa"), F.col("sb")) >= _LEAST_AGREEING).select("a", "b").distinct()
-        new = settle(compared(pairs.join(known, ["a", "b"], "left_anti")), "compared")
-        found = components(known.unionAll(new).where(F.col("similarity") >= threshold))
-
-    if found is None:
-        classed = units.withColumn("component", F.col("unit"))
-    else:
-        classed = units.join(found.withColumnRenamed("node", "unit"), "unit", "left").withColumn(
-            "component", F.coalesce("component", "unit")
-        )
-    classed = classed.select("digest", "doc_id", "component")
+    members = shared.join(central, "unit").select("bucket", "unit", "central")
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("central", "unit")).alias("lead")).select("bucket", F.col("lead.unit").alias("leader"))
+    led = members.join(leaders, "bucket").where("unit <> leader").select(
+        "bucket", "unit", F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b")
+    )
+    compared_once = settle(compared(led.select("a", "b").distinct()), "compared")
+    found = joined_components(None, compared_once.where(F.col("similarity") >= threshold))
+    placed = led.join(compared_once, ["a", "b"]).select("bucket", "unit", (1 - F.col("similarity")).alias("distance"))
+    undecided = settle(_mixed(_with_component(placed, found)), "undecided")
+    if not undecided.isEmpty():
+        chosen = texts.join(undecided.select("unit").distinct(), "unit").select("text", "unit")
+        weights = _own_weights(chosen, size, common, idf)
+        rest = settle(_alive(undecided.join(weights, "unit"), threshold), "rest")
+        found = joined_components(found, _links_in_tiles(rest, texts, size, threshold, common, idf))
+
+    classed = _with_component(units, found).select("digest", "doc_id", "component")
     heads = classed.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("head")
     )
@@ -320,23 +291,116 @@ def text_classes(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float =
     )
 
 
-def _undecided(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members, other than its leader, of each bucket that holds two components and a member of its lower shell."""
-    if found is None:
-        placed = members.withColumn("component", F.col("unit"))
-    else:
-        placed = members.join(found.withColumnRenamed("node", "unit"), "unit", "left").withColumn(
-            "component", F.coalesce("component", "unit")
-        )
-    buckets = (
-        placed.groupBy("bucket")
-        .agg(
-            F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("low").alias("any_low"),
-            F.max(F.struct("first", "central", "unit")).alias("lead"),
-        )
-        .where("c0 <> c1 AND any_low").select("bucket", F.col("lead.unit").alias("leader"))
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Add the component of each unit; a unit without links is one of its own."""
+    return rows.join(found.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
+    kept = members.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    return members.join(kept.select("bucket"), "bucket")
+
+
+def _shingle_rows(size: int, common: np.ndarray, idf: np.ndarray, total: bool):
+    """Shingles of each unit with their weight, or the unit's total weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            key, tf = _counts(batch.column(0), size)
+            weight, row = _weights(key, tf, common, idf), (key >> _KEY_BITS).astype(np.int64)
+            if total:
+                yield pa.record_batch([batch.column(1), pa.array(np.bincount(row, weight, batch.num_rows))], ["unit", "weight"])
+            else:
+                unit = batch.column(1).to_numpy(zero_copy_only=False)[row]
+                yield pa.record_batch([pa.array((key & _KEY_MASK).view(np.int64)), pa.array(unit), pa.array(weight)], ["shingle", "unit", "w"])
+
+    return run
+
+
+def _own_weights(texts: DataFrame, size: int, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """``unit, weight, own``: total weight, and that of the shingles which no other of these texts has."""
+    shingles = texts.mapInArrow(_shingle_rows(size, common, idf, False), "shingle long, unit long, w double")
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("unit").alias("unit"), F.min("w").alias("w")).where("n = 1")
+    own = alone.groupBy("unit").agg(F.sum("w").alias("own"))
+    whole = texts.mapInArrow(_shingle_rows(size, common, idf, True), "unit long, weight double")
+    return whole.join(own, "unit", "left").select("unit", "weight", F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
+def _alive(rest: DataFrame, threshold: float) -> DataFrame:
+    """Members that can reach the threshold with some member of another component of their bucket.
+
+    Two texts have at least both own weights in their union and not in common, so their own weights add up to
+    at most ``(1 - threshold) / threshold`` of what they share, and neither shares more than its other weight.
+    """
+    least = rest.groupBy("bucket").agg(F.min("own").alias("least_own"))
+    ratio = (1 - threshold) / threshold + 1e-9
+    can = rest.join(least, "bucket").where(F.col("own") + F.col("least_own") <= ratio * (F.col("weight") - F.col("own")))
+    return _mixed(can.drop("least_own"))
+
+
+def _links_in_tiles(rest: DataFrame, texts: DataFrame, size: int, threshold: float, common: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """All links ``a, b`` between members of one bucket and two components.
+
+    A bucket's members are dealt to blocks of about ``_BLOCK``, and every two blocks meet in a task of their own, so a
+    large bucket is many tasks of bounded size, and only links leave them.
+    """
+    counts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(counts, "bucket").select(
+        "bucket", "unit", "component", "blocks", F.pmod(F.xxhash64("unit", F.lit("block")), F.col("blocks")).cast("int").alias("block")
+    )
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
     )
-    return placed.join(buckets, "bucket").where("unit <> leader").select("bucket", "unit", "central", "component", "leader")
+    tiles = dealt.select("bucket", "unit", "component", "block", F.explode(meets).alias("t")).select(
+        F.xxhash64("bucket", "t.i", "t.j").alias("tile"), "unit", "component", (F.col("block") == F.col("t.i")).alias("first")
+    )
+    rows = tiles.join(texts, "unit").select("tile", "unit", "component", "first", "text")
+    return rows.groupBy("tile").applyInArrow(_tile_links(size, threshold, common, idf), "a long, b long")
+
+
+def _tile_links(size: int, threshold: float, common: np.ndarray, idf: np.ndarray):
+    """Links between the first and the second block of a tile, or within its only block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("first").to_numpy()
+        unit, component = table.column("unit").to_numpy(), table.column("component").to_numpy()
+        whole = first.all()
+        left = np.flatnonzero(first)
+        right = left if whole else np.flatnonzero(~first)
+        text = table.column("text").combine_chunks()
+        one = _token_table(text.take(pa.array(left)), size, common, idf)
+        two = one if whole else _token_table(text.take(pa.array(right)), size, common, idf)
+        shared = np.zeros((len(left), len(right)), np.float64)
+        tokens = np.intersect1d(one[1], two[1])
+        for begin in range(0, len(tokens), _COLUMNS):
+            some = tokens[begin : begin + _COLUMNS]
+            sides = []
+            for (row, token, weight), n, weighted in ((one, len(left), True), (two, len(right), False)):
+                place = np.minimum(np.searchsorted(some, token), len(some) - 1)
+                hit = some[place] == token
+                dense = np.zeros((n, len(some)), np.float32)
+                dense[row[hit], place[hit]] = weight[hit] if weighted else 1
+                sides.append(dense)
+            shared += sides[0] @ sides[1].T
+        total = lambda t, n: np.bincount(t[0], t[2], n)
+        union = total(one, len(left))[:, None] + total(two, len(right))[None, :] - shared
+        similar = (shared >= (threshold - 1e-6) * union) & (union > 0) & (component[left][:, None] != component[right][None, :])
+        i, j = np.nonzero(similar)
+        return pa.table({"a": pa.array(unit[left][i]), "b": pa.array(unit[right][j])})
+
+    return run
+
+
+def _token_table(texts: pa.Array, size: int, common: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token and weight; a shingle that a text has k times is k tokens, so shared tokens make up the lesser count."""
+    key, tf = _counts(texts, size)
+    weight = _weights(key, np.ones(len(key), np.int64), common, idf)
+    at = np.repeat(np.arange(len(key)), tf)
+    number = np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)
+    token = (key[at] & _KEY_MASK) ^ (arrays.mix(number.astype(np.uint64)) * (number > 0).astype(np.uint64))
+    return (key[at] >> _KEY_BITS).astype(np.int64), token, weight[at]
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
