@@ -131,7 +131,8 @@ def mix_documents(
     """The mix: every row of ``docs`` as often as it is taken, with all its columns."""
     rows = docs.select(
         F.struct(*[column(docs, c) for c in docs.columns]).alias("row"),
-        column(docs, "doc_id").alias("id"), _key(column(docs, "source")).alias("src"), word_count(column(docs, "text")).alias("size"),
+        column(docs, "doc_id").alias("id"), _key(column(docs, "source")).alias("src"),
+        F.explode(F.array(word_count(column(docs, "text")))).alias("size"),  # so that the words are counted once, not at each use
     )
     taken = _with_copies(rows, weights, max_repeats, seed).where("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
