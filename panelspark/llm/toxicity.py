@@ -235,6 +235,10 @@ def disguised(data: np.ndarray, found: arrays.Words) -> tuple[np.ndarray, np.nda
     set_apart = np.zeros(n, bool)
     if n > 4:
         set_apart[:-4] = letter[:-4] & joiner[1:-3] & letter[2:-2] & joiner[3:-1] & letter[4:]
+    for marks, ahead in ((read_on, 1), (drawn, 2), (set_apart, 4)):  # what lies ahead must be in the same token
+        for k in range(1, ahead + 1):
+            place = found.end - k
+            marks[place[place >= found.begin]] = False
     some = _count_in(read_on | tail | drawn | set_apart, found) > 0
     some &= _count_in(letter, found) > 0
     lone = (found.end - found.begin == 1) & (letter | sign)[found.begin]
