@@ -6,9 +6,15 @@ Feistel network with cycle walking, and written back in the same format with the
 right check digit. As this is a permutation, equal values get equal pseudonyms in every document and
 different values different ones; who has the key can undo it.
 
+Numbers with check digits are tried at every group of digits beside them, so a date, a security code or a
+word next to them hides none. Card readings that overlap go to the usual layouts first, then to the longest;
+number lists would give a card in every other line, so parts of a run are read as a card only if all their groups
+but the last have four digits. A card that could be taken for another reading once it is changed is permuted on until it
+cannot; there alone, its pseudonym depends on the numbers beside it.
+
 Defined results: null stays null, texts without findings stay as they are; overlapping findings go to the one
-that begins first, then to the longer one; repeated rows are treated alike; other columns are kept;
-an empty table gives an empty result.
+that begins first, then to the longer one, and secrets go before IBANs, these before cards and addresses, and these
+before phone numbers, dates and plain numbers; repeated rows are treated alike; other columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,13 +125,16 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
-def _card(key: bytes, m: re.Match[str], back: bool) -> str | None:
+def _is_card(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return 12 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1]
+
+
+def _card(key: bytes, text: str, back: bool) -> str:
     """Issuer digit and length stay, the digits between are permuted, the check digit is set anew."""
-    digits = re.sub(r"\D", "", m[0])
-    if not 12 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1]:
-        return None
+    digits = re.sub(r"\D", "", text)
     body = digits[0] + _permute_symbols(key, "card" + digits[0], digits[1:-1], [_DIGITS] * (len(digits) - 2), back)
-    return _refill(m[0], body + luhn_digit(body))
+    return _refill(text, body + luhn_digit(body))
 
 
 def _account(key: bytes, m: re.Match[str], back: bool) -> str | None:
@@ -164,15 +173,21 @@ def _ssn(key: bytes, m: re.Match[str], back: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-def _iban(key: bytes, m: re.Match[str], back: bool) -> str | None:
+def _iban_rest(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def _is_iban(text: str) -> bool:
+    text = text.replace(" ", "")
+    return 15 <= len(text) <= 34 and _iban_rest(text) == 1
+
+
+def _iban(key: bytes, text: str, back: bool) -> str:
     """Country and the kinds of the characters stay; the two check digits are set anew."""
-    text = m[0].replace(" ", "")
-    value = lambda t: int("".join(str(int(c, 36)) for c in t))
-    if not 15 <= len(text) <= 34 or value(text[4:] + text[:4]) % 97 != 1:
-        return None
-    body = _by_class(key, "iban" + text[:2], text[4:], back)
-    check = 98 - value(body + text[:2] + "00") % 97
-    return _refill(m[0], f"{text[:2]}{check:02d}{body}", lambda c: c != " ")
+    plain = text.replace(" ", "")
+    body = _by_class(key, "iban" + plain[:2], plain[4:], back)
+    check = 98 - _iban_rest(plain[:2] + "00" + body)
+    return _refill(text, f"{plain[:2]}{check:02d}{body}", lambda c: c != " ")
 
 
 def _ip(key: bytes, m: re.Match[str], back: bool) -> str | None:
@@ -257,13 +272,11 @@ DETECTORS: list[tuple[str, re.Pattern[str], Change]] = [
     ("secret", re.compile(_FREE_LEFT + r"(?P<secret>AKIA[0-9A-Z]{16})" + _FREE_RIGHT), _secret),
     ("secret", re.compile(_FREE_LEFT + r"(?i:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<secret>[^\s\"']{6,})"), _secret),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{1,64})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
-    ("iban", re.compile(_FREE_LEFT + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _FREE_RIGHT), _iban),
-    ("card", re.compile(_FREE_LEFT + r"[0-9](?:[ -]?[0-9]){11,18}" + _FREE_RIGHT), _card),
     ("ssn", re.compile(_FREE_LEFT + r"([0-9]{3})-([0-9]{2})-([0-9]{4})" + _FREE_RIGHT), _ssn),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?P<code>\+?1[ .-]?)?(?P<rest>\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4})" + _FREE_RIGHT), _phone),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?P<code>\+[0-9]{1,3}[ .-]?)(?P<rest>\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3})" + _FREE_RIGHT), _phone),
     ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"), _ip),
-    ("date", re.compile(_FREE_LEFT + r"([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})" + _FREE_RIGHT), _iso_date),
+    ("date", re.compile(_FREE_LEFT + r"([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})(?:(?=[Tt][0-9]{2}:?[0-9]{2})|" + _FREE_RIGHT + ")"), _iso_date),
     ("date", re.compile(_FREE_LEFT + r"([0-9]{2})\.([0-9]{2})\.([0-9]{4})" + _FREE_RIGHT), _dotted_date),
     ("date", re.compile(_FREE_LEFT + r"([0-9]{2})/([0-9]{2})/([0-9]{4})" + _FREE_RIGHT), _slashed_date),
     ("account", re.compile(_FREE_LEFT + r"[0-9]{12,19}" + _FREE_RIGHT), _account),
@@ -272,22 +285,120 @@ DETECTORS: list[tuple[str, re.Pattern[str], Change]] = [
 _SIGNS = re.compile(r"[0-9@=:]")
 
 
+_CARD_SPAN = re.compile(_FREE_LEFT + r"[0-9](?:[ -]?[0-9]){11,18}" + _FREE_RIGHT)
+_CARD_RUN = re.compile(_FREE_LEFT + r"[0-9](?:[ -]?[0-9]){11,}" + _FREE_RIGHT)
+_CARD_LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+_IBAN_START = re.compile(_FREE_LEFT + r"[A-Z]{2}[0-9]{2}(?=[A-Z0-9 ])")
+_IBAN_SPAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _FREE_RIGHT)
+_GROUP_END = re.compile(r"[0-9A-Za-z](?![0-9A-Za-z])")
+
+
+def _card_spans(text: str) -> list[tuple[int, int]]:
+    """Spans that could be a card, the preferred ones first. The order depends on the layout only."""
+    ranked = {(m.start(), m.end()): 2 for m in _CARD_SPAN.finditer(text)}
+    for run in _CARD_RUN.finditer(text):
+        groups = [(run.start() + g.start(), run.start() + g.end()) for g in re.finditer("[0-9]+", run[0])]
+        for i, (begin, _) in enumerate(groups):
+            sizes = []
+            for a, b in groups[i:]:
+                sizes.append(b - a)
+                if sum(sizes) > 19:
+                    break
+                if sum(sizes) >= 12:
+                    usual = len(sizes) == 1 or tuple(sizes) in _CARD_LAYOUTS and len({*text[begin:b]} & {" ", "-"}) == 1
+                    ranked[begin, b] = 0 if usual else 1
+                if b - a < 4:
+                    break
+    digits = lambda span: sum(map(str.isdigit, text[slice(*span)]))
+    return sorted(ranked, key=lambda span: (ranked[span], -digits(span), span))
+
+
+def _iban_spans(text: str) -> list[tuple[int, int]]:
+    """Spans that could be an IBAN: at each start all ends behind a group, the longest first."""
+    spans = []
+    for start in _IBAN_START.finditer(text):
+        m = _IBAN_SPAN.match(text, start.start())
+        ends = [g.end() for g in _GROUP_END.finditer(text, start.end(), m.end())] if m else []
+        spans += [(start.start(), end) for end in reversed(ends) if _IBAN_SPAN.fullmatch(text, start.start(), end)]
+    return spans
+
+
+def _checked(
+    text: str, spans: list[tuple[int, int]], valid: Callable[[str], bool], change: Callable[[bytes, str, bool], str], key: bytes, back: bool
+) -> list[tuple[int, int, str]]:
+    """The first valid of the ``spans`` that overlap, with their pseudonyms.
+
+    A pseudonym that makes a span before it valid is permuted again, so the same spans are found in the result.
+    """
+    owner: dict[int, int] = {}  # place in the text: the chosen span there
+    chosen = []
+    for k, (a, b) in enumerate(spans):
+        if not any(i in owner for i in range(a, b)) and valid(text[a:b]):
+            chosen.append(k)
+            owner.update(dict.fromkeys(range(a, b), k))
+    rivals: dict[int, list[int]] = {k: [] for k in chosen}
+    for k, (a, b) in enumerate(spans if chosen else []):
+        over = {owner[i] for i in range(a, b) if i in owner}
+        if over and min(over) > k:
+            for other in over:
+                rivals[other].append(k)
+    chars = list(text) if chosen else []
+    made = []
+    for k in sorted(chosen, key=lambda k: spans[k], reverse=back):
+        a, b = spans[k]
+        while True:
+            chars[a:b] = change(key, "".join(chars[a:b]), back)
+            if not any(valid("".join(chars[c:d])) for c, d in (spans[r] for r in rivals[k])):
+                break
+        made.append((a, b, "".join(chars[a:b])))
+    return made
+
+
+def _matched(text: str, pattern: re.Pattern[str], change: Change, key: bytes, back: bool) -> list[tuple[int, int, str]]:
+    """Accepted matches; behind a refused one shorter ones and those that begin within it are tried."""
+    out, at = [], 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1
+        made = change(key, m, back)
+        ends = [g.end() for g in _GROUP_END.finditer(text, m.start(), m.end())][:-1] if made is None else []
+        while made is None and ends:
+            if shorter := pattern.match(text, m.start(), ends.pop()):
+                m, made = shorter, change(key, shorter, back)
+        if made is not None:
+            out.append((m.start(), m.end(), made))
+            at = max(at, m.end())
+    return out
+
+
 def find(text: str, key: bytes, back: bool = False) -> list[tuple[int, int, str, str]]:
     """Findings that do not overlap: begin, end, kind and pseudonym."""
     if not _SIGNS.search(text):
         return []
-    found = []
-    for rank, (kind, pattern, change) in enumerate(DETECTORS):
-        for m in pattern.finditer(text):
-            made = change(key, m, back)
-            if made is not None:
-                found.append((m.start(), -m.end(), rank, kind, made))
-    out, reached = [], 0
-    for begin, minus_end, _, kind, made in sorted(found):
-        if begin >= reached:
-            reached = -minus_end
-            out.append((begin, reached, kind, made))
-    return out
+
+    done: list[tuple[int, int, str, str]] = []
+
+    def settle(found: list[tuple[int, int, int, str, str]]) -> str:
+        """Keep what does not overlap; the text without it is searched further."""
+        reached = 0
+        for begin, minus_end, _, kind, made in sorted(found):
+            if begin >= reached:
+                reached = -minus_end
+                done.append((begin, reached, kind, made))
+        return replace(text, [(a, b, kind, "\0" * (b - a)) for a, b, kind, _ in sorted(done)])
+
+    def matched(rest: str, kinds: tuple[str, ...]) -> list[tuple[int, int, int, str, str]]:
+        return [
+            (a, -b, rank, kind, made)
+            for rank, (kind, pattern, change) in enumerate(DETECTORS) if kind in kinds
+            for a, b, made in _matched(rest, pattern, change, key, back)
+        ]
+
+    rest = settle(matched(text, ("secret",)))
+    rest = settle([(a, -b, 0, "iban", made) for a, b, made in _checked(rest, _iban_spans(rest), _is_iban, _iban, key, back)])
+    cards = [(a, -b, 0, "card", made) for a, b, made in _checked(rest, _card_spans(rest), _is_card, _card, key, back)]
+    rest = settle(matched(rest, ("email",)) + cards)
+    settle(matched(rest, ("ssn", "phone", "ip", "date", "account")))
+    return sorted(done)
 
 
 def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
