@@ -1,6 +1,6 @@
 """Toxicity of deobfuscated texts: a noisy channel before the classifier.
 
-1. A character language model (interpolated n-grams up to four bytes) is counted over all documents.
+1. A character language model (interpolated n-grams up to four bytes, all that occur) is counted over all documents.
 2. A token that may be disguised - digits or signs for letters (leetspeak), letters drawn out, or set apart by spaces
    or dots - is read as a lattice: each sign may stand for the letters it looks like, a run of letters for
    one or two, a separator for nothing. Viterbi decoding finds the path with the best sum of channel
@@ -35,7 +35,7 @@ LEAST_LOG_ODDS, LEAST_Z = 1.5, 3.5
 PREFIXES = (4, 5, 6, 7)
 
 _SPACE = 0x20
-_TABLE_BITS, _FEATURE_BITS = 18, 20
+_FEATURE_BITS = 20
 
 
 # --- plain form: lower case letters between single spaces -----------------------------
@@ -65,23 +65,26 @@ def plain(data: np.ndarray) -> np.ndarray:
 # --- language model -----------------------------------------------------------------
 
 
-def _cells(stream: np.ndarray) -> list[np.ndarray]:
-    """Table cells of all n-grams of a byte stream, for n = 1 to 4; longer ones are hashed."""
+def _grams(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all 4-grams of a byte stream, and of its last n-grams for n = 3, 2 and 1, which begin no 4-gram."""
     s = stream.astype(np.uint32)
-    two = (s[:-1] << np.uint32(8)) | s[1:]
-    three = (two[:-1] << np.uint32(8)) | s[2:]
-    four = (three[:-1] << np.uint32(8)) | s[3:]
-    return [s, two, _cell(three), _cell(four)]
+    four = (s[:-3] << np.uint32(24)) | (s[1:-2] << np.uint32(16)) | (s[2:-1] << np.uint32(8)) | s[3:]
+    last = (int(s[-3]) << 16) | (int(s[-2]) << 8) | int(s[-1])
+    return four, np.array([last, last & 0xFFFF, last & 0xFF], np.int64)
 
 
-def _cell(gram: np.ndarray) -> np.ndarray:
-    return (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS)
+def _summed(keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of ``seen``."""
+    order = np.argsort(keys, kind="stable")
+    keys, seen = keys[order], seen[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(seen, first) if len(keys) else seen
 
 
 def _model_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts of a task's texts, a row per table cell that is not empty."""
-    sizes = [1 << 8, 1 << 16, 1 << _TABLE_BITS, 1 << _TABLE_BITS]
-    total = [np.zeros(size, np.int64) for size in sizes]
+    """n-gram counts of a task's texts, a row per n-gram. Shorter ones are sums of those that begin with them."""
+    four = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    ends: list[np.ndarray] = []
     for batch in slices(batches):
         data, begin, end = arrays.flat(batch.column(0))
         stream = np.insert(plain(data), np.append(begin[end > begin], len(data)), _SPACE)
@@ -89,17 +92,35 @@ def _model_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keep[1:] = (stream[1:] != _SPACE) | (stream[:-1] != _SPACE)
         stream = stream[keep]
         if len(stream) >= 4:
-            for counts, cells, size in zip(total, _cells(stream), sizes, strict=True):
-                counts += np.bincount(cells, minlength=size)
-    for n, counts in enumerate(total, 1):
-        cell = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.full(len(cell), n, np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[cell])], ["n", "cell", "seen"])
+            grams, last = _grams(stream)
+            keys, seen = np.unique(grams, return_counts=True)
+            four.append((keys.astype(np.int64), seen))
+            ends.append(last)
+            if sum(len(k) for k, _ in four) > 4 * len(four[0][0]) + 1_000_000:
+                four = [_summed(*(np.concatenate(part) for part in zip(*four, strict=True)))]
+    keys, seen = _summed(*(np.concatenate(part) for part in zip(*four, strict=True)))
+    for n in (4, 3, 2, 1):
+        yield pa.record_batch([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys), pa.array(seen)], ["n", "gram", "seen"])
+        if n > 1:
+            more = np.array([e[4 - n] for e in ends], np.int64)
+            keys, seen = _summed(np.concatenate([keys >> 8, more]), np.concatenate([seen, np.ones(len(more), np.int64)]))
+
+
+class Grams(NamedTuple):
+    """Counts of the n-grams that occur, by their number in order."""
+
+    keys: np.ndarray
+    seen: np.ndarray
+
+    def __getitem__(self, number: int) -> int:
+        at = int(self.keys.searchsorted(np.uint32(number)))
+        return int(self.seen[at]) if at < len(self.keys) and self.keys[at] == number else 0
 
 
 class Language:
     """Interpolated n-gram probabilities of the next byte."""
 
-    def __init__(self, counts: list[np.ndarray]):
+    def __init__(self, counts: list[np.ndarray | Grams]):
         self.counts = counts
         self.known: dict[tuple[bytes, int], float] = {}
 
@@ -117,25 +138,25 @@ class Language:
         return found
 
     def _seen(self, gram: bytes) -> float:
-        number = int.from_bytes(gram, "big")
-        if len(gram) > 2:
-            number = (number * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _TABLE_BITS)
-        return float(self.counts[len(gram) - 1][number])
+        return float(self.counts[len(gram) - 1][int.from_bytes(gram, "big")])
 
 
 def language_model(docs: DataFrame) -> Language:
-    """Language model of all texts; its tables have a fixed size, whatever the number of documents."""
+    """Language model of all texts, with the exact count of every n-gram that occurs."""
     ship_functions(docs.sparkSession)
     counted = (
-        docs.select(column(docs, "text").alias("text")).mapInArrow(_model_counts, "n int, cell int, seen long")
-        .groupBy("n", "cell").agg(F.sum("seen").alias("seen")).toArrow()
+        docs.select(column(docs, "text").alias("text")).mapInArrow(_model_counts, "n int, gram long, seen long")
+        .groupBy("n", "gram").agg(F.sum("seen").alias("seen")).toArrow()
     )
-    n, cell, seen = (counted.column(c).to_numpy() for c in ("n", "cell", "seen"))
-    counts = []
-    for order, size in enumerate([1 << 8, 1 << 16, 1 << _TABLE_BITS, 1 << _TABLE_BITS], 1):
-        table = np.zeros(size, np.int64)
-        table[cell[n == order]] = seen[n == order]
+    n, gram, seen = (counted.column(c).to_numpy() for c in ("n", "gram", "seen"))
+    counts: list[np.ndarray | Grams] = []
+    for order in (1, 2):
+        table = np.zeros(1 << 8 * order, np.int64)
+        table[gram[n == order]] = seen[n == order]
         counts.append(table)
+    for order in (3, 4):
+        keys, sums = _summed(gram[n == order], seen[n == order])
+        counts.append(Grams(keys.astype(np.uint32), sums))
     return Language(counts)
 
 

@@ -1,5 +1,6 @@
 """Quality and toxicity: the model parts, and held-out accuracy on the sample tables."""
 
+import collections
 import os
 import random
 import zlib
@@ -104,6 +105,23 @@ def test_language_model_counts_all_text(spark):
     assert toxicity.Language(found).log_p(b" ", ord("a")) > toxicity.Language(found).log_p(b" ", ord("z"))
 
 
+def test_language_model_is_exact(spark):
+    """Against counts of all n-grams; no cell is shared, so nothing is likelier than its context."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéßжд ", k=rng.randrange(4000))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").coalesce(1)
+    stream = b" " + b" ".join(t.encode() for t in texts) + b" "
+    stream = b" " + b" ".join(stream.split()) + b" "
+    found = toxicity.language_model(docs)
+    for n in (1, 2, 3, 4):
+        want = collections.Counter(stream[i : i + n] for i in range(len(stream) - n + 1))
+        assert n < 4 or len(want) > 40_000
+        for gram in want:
+            assert found._seen(gram) == want[gram]
+        assert n < 4 or found._seen(b"\xff" * n) == 0
+        assert n == 1 or all(found._seen(g) <= found._seen(g[:-1]) for g in want)
+
+
 def test_clear_text_stays(language):
     restorer = toxicity.Restorer(language)
     texts = ["hello tree, the book. 12 of 30 apples!", "call +1 (446) 555-8962", "%%% the### of$$$", "", None, "É été ÉTÉ"]
