@@ -1,8 +1,8 @@
 """Toxicity of deobfuscated texts: a noisy channel before the classifier.
 
 1. A character language model (interpolated n-grams up to four bytes, all that occur) is counted over all documents.
-2. A token that may be disguised - digits or signs for letters (leetspeak), letters drawn out, or set apart by spaces
-   or dots - is read as a lattice: each sign may stand for the letters it looks like, a run of letters for
+2. A token that may be disguised - digits or signs for letters (leetspeak) anywhere beside a letter, letters drawn out or doubled
+   in a row in any case, or set apart by spaces, dots and the like - is read as a lattice: each sign may stand for the letters it looks like, a run of letters for
    one or two, a separator for nothing. Viterbi decoding finds the path with the best sum of channel
    costs and language model scores. All other tokens have a lattice of one path and stay as they are.
 3. A lexicon of words and word beginnings that mark label 1 is learned on one half of a bounded sample of
@@ -167,7 +167,7 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "2": "z",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "€": "e", "£": "l", "(": "c",
 }
-_SEPARATORS = " .-_*~'"
+_SEPARATORS = " .-_*~'/\\,:;"
 _SIGN_COST, _STAR_COST, _DROP_COST, _BREAK_COST = -1.0, -2.5, -0.3, -2.0
 _COLLAPSE_COST, _PAIR_COST, _DRAWN_COST = -0.5, -2.0, -6.0
 
@@ -224,11 +224,9 @@ def restore(token: str, language: Language) -> str:
 
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LOOKS_LIKE if ord(c) < 128]] = True
-_TAIL = np.zeros(256, bool)
-_TAIL[[ord(c) for c in "0123456789@$"]] = True
 _JOINER = np.zeros(256, bool)
-_JOINER[[ord(c) for c in ".-_*~"]] = True
-_LEAST_SPACED = 4
+_JOINER[[ord(c) for c in _SEPARATORS if c not in " '"]] = True
+_WIDE_SIGNS = [c.encode() for c in LOOKS_LIKE if ord(c) >= 128]
 
 
 def _count_in(flags: np.ndarray, found: arrays.Words) -> np.ndarray:
@@ -243,30 +241,42 @@ def disguised(data: np.ndarray, found: arrays.Words) -> tuple[np.ndarray, np.nda
         none = np.zeros(0, np.int64)
         return none, none, none
     letter, sign, joiner = _IS_LETTER[data], _SIGN[data], _JOINER[data]
-    next_letter = np.append(letter[1:], False)
-    first = np.zeros(n, bool)
-    first[found.begin] = True
-    before = np.concatenate([[False], letter[:-1] | sign[:-1]])
-    read_on = sign & next_letter & (first | before)  # h3llo, $illy
-    tail = np.concatenate([[False], letter[:-1]]) & _TAIL[data]  # a sign behind a letter, at the end or one before
-    tail &= np.isin(np.arange(n), np.concatenate([found.end - 1, found.end - 2])) if tail.any() else tail
-    drawn = np.zeros(n, bool)
+    for char in _WIDE_SIGNS:
+        place = np.flatnonzero(data == char[0])
+        for k, byte in enumerate(char):
+            place = place[place + k < n]
+            place = place[data[place + k] == byte]
+        for k in range(len(char)):
+            letter[place + k], sign[place + k] = False, True
+    folded = plain(data)
+    same = folded[1:] == folded[:-1]
+    beside = sign & np.append(letter[1:], False)  # h3llo, $illy
+    behind = np.append(letter[:-1] & sign[1:], False)  # shi+
+    drawn, doubled, set_apart = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
     if n > 2:
-        drawn[:-2] = letter[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
-    set_apart = np.zeros(n, bool)
+        drawn[:-2] = letter[:-2] & same[:-1] & same[1:]  # stUuUpid
+    if n > 3:
+        doubled[:-3] = letter[:-3] & letter[2:-1] & same[:-2] & same[2:]  # iiddiioott
     if n > 4:
         set_apart[:-4] = letter[:-4] & joiner[1:-3] & letter[2:-2] & joiner[3:-1] & letter[4:]
-    for marks, ahead in ((read_on, 1), (drawn, 2), (set_apart, 4)):  # what lies ahead must be in the same token
+    for marks, ahead in ((beside, 1), (behind, 1), (drawn, 2), (doubled, 3), (set_apart, 4)):  # what lies ahead must be in the same token
         for k in range(1, ahead + 1):
             place = found.end - k
             marks[place[place >= found.begin]] = False
-    some = _count_in(read_on | tail | drawn | set_apart, found) > 0
+    some = _count_in(beside | behind | drawn | doubled | set_apart, found) > 0
     some &= _count_in(letter, found) > 0
-    lone = (found.end - found.begin == 1) & (letter | sign)[found.begin]
-    same = lone[1:] & lone[:-1] & (found.doc[1:] == found.doc[:-1]) & (found.begin[1:] - found.end[:-1] == 1)
+    whole = (data & 0xC0) != 0x80  # first bytes of characters
+    letters, chars = _count_in(letter & whole, found), _count_in(whole, found)
+    marked = letter | sign
+    lone = marked[found.begin] & (letters <= 1) & (chars == 1)
+    last = letter[found.begin] & (letters == 1) & (_count_in(marked & whole, found) == 1)  # 't.' ends a run
+    near = found.doc[1:] == found.doc[:-1]
+    same = (lone[1:] | last[1:]) & lone[:-1] & near
     edge = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
     opens, closes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # tokens of a run: opens to closes
-    long = closes - opens + 1 >= _LEAST_SPACED
+    running = np.concatenate([[0], np.cumsum(letters)])
+    held, size = running[closes + 1] - running[opens], closes - opens + 1
+    long = (held >= 2) | (held >= 1) & (size >= 3) | (size >= 4)
     opens, closes = opens[long], closes[long]
     spaced = np.zeros(len(lone) + 1, np.int64)
     spaced[opens] += 1
@@ -288,7 +298,11 @@ class Restorer:
         if out is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            out = self.known[span] = restore(span.decode("utf-8", "replace"), self.language)
+            text = span.decode("utf-8", "replace")
+            out = restore(" ".join(text.split()), self.language)
+            if out == " ".join(plain(np.frombuffer(text.encode(), np.uint8)).tobytes().decode("utf-8", "replace").split()):
+                out = text  # nothing was disguised
+            self.known[span] = out
         return out
 
 

@@ -129,6 +129,25 @@ def test_clear_text_stays(language):
     assert toxicity.restored_texts(pa.array(["you 1d10t, s t u p i d tree"]), restorer)[0] == "you idiot stupid tree"
 
 
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("you i d i o t. tree", "idiot"), ("you s  t  u  p  i  d tree", "stupid"), ("you iiddiioott tree", "idiot"), ("you stUuUpid tree", "stupid"),
+        ("l/o/s/e/r", "loser"), ("£oser tree", "loser"),
+    ],
+)
+def test_all_disguises_reach_the_lattice(language, text, plain):
+    made = toxicity.restored_texts(pa.array([text]), toxicity.Restorer(language))[0]
+    assert plain in made.split()
+
+
+@pytest.mark.parametrize("span", ["a s s", "f u", "d a m n.", "i\td\n i", "shi+", "shi|.", "id!ot", "€vil", "bb££uu", "a$$.", "aAa", "b:a:d"])
+def test_gate_takes_the_span(span):
+    data, begin, end = arrays.flat(pa.array([f"so {span} ok"]))
+    doc, first, last = toxicity.disguised(data, arrays.words(data, begin, end))
+    assert [data[a:b].tobytes().decode() for a, b in zip(first, last, strict=True)] == [span]
+
+
 def test_restored_words(language):
     data, _, found = toxicity.restored_words(pa.array(["you 1d10t x", "ÉTÉ s t u p i d", None]), toxicity.Restorer(language))
     words = sorted((int(d), bytes(data[a:b]).decode()) for d, a, b in zip(*found, strict=True))
