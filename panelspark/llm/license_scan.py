@@ -95,6 +95,21 @@ _TEMPLATES = [
 ]
 _VERSION = "(?: licen[cs]e)?(?: (?:version|v))? v?%s(?: or (?:any )?later(?: version)?)?"
 
+# Names that are written in one word with their version (GPLv2, Apache2): label stem, name, versions.
+_GLUED = [
+    ("gpl", "gpl", ["1", "2", "2 0", "3", "3 0"]),
+    ("lgpl", "lgpl", ["2", "2 0", "2 1", "3", "3 0"]),
+    ("agpl", "agpl", ["1", "3", "3 0"]),
+    ("apache", "apache", ["1 0", "1 1", "2", "2 0"]),
+    ("mpl", "mpl", ["1 0", "1 1", "2", "2 0"]),
+    ("epl", "epl", ["1", "1 0", "2", "2 0"]),
+    ("eupl", "eupl", ["1 0", "1 1", "1 2"]),
+    ("gfdl", "gfdl", ["1 1", "1 2", "1 3"]),
+    ("cddl", "cddl", ["1", "1 0", "1 1"]),
+]
+_GRANT = "(?:licen[cs]ed?|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
+_GLUED_END = "(?: or (?:any )?later(?: version)?)?(?: licen[cs]e)?"
+
 # SPDX short identifiers, in the plain form, by label.
 _SPDX = (
     "apache 1 1,apache 2 0,mit,mit 0,isc,zlib,bsl 1 0,bsd 2 clause,bsd 3 clause,bsd 4 clause,0bsd,gpl 1 0,gpl 2 0,gpl 3 0,"
@@ -140,6 +155,12 @@ def rules() -> list[Rule]:
                 full = name + _VERSION % version
                 found.append(Rule(_label(stem, version), keyword, template % full, priority + 1, confidence))
             found.append(Rule(stem, keyword, template % name, priority, confidence))
+    for stem, name, versions in _GLUED:
+        for version in versions:
+            for glued in (f"{name}v{version}", f"{name}{version}"):
+                keyword, full = glued.split()[0], f"(?:gnu )?{glued}{_GLUED_END}"
+                found.append(Rule(_label(stem, version), keyword, _GRANT + full, 5, 0.95))
+                found.append(Rule(_label(stem, version), keyword, full, 3, 0.8))
     for part, name in zip(_CC_PARTS, _CC_NAMES, strict=True):
         for version in _CC_VERSIONS:
             label = _label("cc-" + part.replace(" ", "-"), version)
@@ -154,7 +175,8 @@ def rules() -> list[Rule]:
 
 
 # A text without any of these words cannot match a rule.
-_GATE = " (?:licen[cs]e[ds]?|cc|cc0|gnu|creative|copyright|rights|spdx|proprietary|permission|redistribut(?:e|ion)|public|terms|under) "
+_GATE = " (?:licen[cs]e[ds]?|cc|cc0|gnu|creative|copyright|rights|spdx|proprietary|permission|redistribut(?:e|ion)|public|terms|under"
+_GATE += "|(?:[al]?gpl|apache|mpl|eu?pl|gfdl|cddl)v?[1-3]) "
 
 
 def spaced_form(text: Column) -> Column:

@@ -164,6 +164,16 @@ def test_measures_match_brute_force(spark, odd_rows):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measures(texts[r.doc_id])
 
 
+def test_glued_licence_names(spark):
+    cases = {
+        "licensed under GPLv3": "gpl-3", "GPLv2+": "gpl-2", "LGPLv2.1": "lgpl-2.1", "code is Apache2": "apache-2", "under Apache2.0 here": "apache-2.0",
+        "AGPLv3 or later": "agpl-3", "released under the GNU GPL3 license": "gpl-3", "MPLv2.0": "mpl-2.0", "EUPLv1.2": "eupl-1.2", "gplv9 apache22": "",
+    }
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in enumerate(cases)], SCHEMA)
+    found = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert [found[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_fences_follow_the_group(spark):
     """What is usual in one source is out of line in another."""
     import random
