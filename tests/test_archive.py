@@ -2,7 +2,7 @@ import gzip
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from panelspark.sources import archive, tables
 

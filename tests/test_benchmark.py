@@ -6,7 +6,7 @@ import json
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from panelspark.functions import calendar as cal

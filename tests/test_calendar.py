@@ -2,7 +2,7 @@ import datetime as dt
 
 import pandas as pd
 import pytest
-from conftest import rows, utc
+from helpers import rows, utc
 from pyspark.sql import functions as F
 
 from panelspark.functions import calendar as cal

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import panel_of
+from helpers import panel_of
 from pyspark.sql import functions as F
 
 from panelspark.operators import evaluation as ev

@@ -4,7 +4,7 @@ from statistics import NormalDist, pstdev, stdev
 
 import pandas as pd
 import pytest
-from conftest import panel_of, rows
+from helpers import panel_of, rows
 from pyspark import cloudpickle
 
 from panelspark.operators import forecasting as fc

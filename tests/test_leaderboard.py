@@ -1,7 +1,7 @@
 import itertools
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from panelspark.operators import leaderboard as lb

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from conftest import rows
+from helpers import rows
 
 from panelspark.operators import quality
 
@@ -139,7 +139,7 @@ def test_period_files(spark, tmp_path):
 
 
 def test_partition_paths(spark):
-    from conftest import utc
+    from helpers import utc
     from pyspark.sql import functions as F
 
     from panelspark.functions import calendar as cal

@@ -1,7 +1,7 @@
 from types import SimpleNamespace
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from panelspark import session
 

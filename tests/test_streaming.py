@@ -1,7 +1,7 @@
 import gzip
 import json
 
-from conftest import rows, utc
+from helpers import rows, utc
 from pyspark.sql import functions as F
 
 from panelspark.operators import series

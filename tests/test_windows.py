@@ -3,7 +3,7 @@ import random
 import statistics
 
 import pytest
-from conftest import panel_of, rows
+from helpers import panel_of, rows
 
 from pyspark.sql import functions as F
 
