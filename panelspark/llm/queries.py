@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import (
     adaptive_rules,
+    decontamination,
     fingerprints,
     license_scan,
     mixing,
     near_dup,
+    periodic_runs,
     pieces,
     pseudonyms,
     quality_gam,
+    spelling,
     substring_dedup,
     toxicity,
 )
@@ -99,6 +102,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their form, root and number of words one edit away; one letter of some words is deleted first."""
+    return spelling.group_variants(spelling.count_words(_documents(spark, sf_dir), typo_every=97))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that stand in a window of a benchmark item."""
+    found = decontamination.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document; the tail of one in ten repeats."""
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.plant(_documents(spark, sf_dir))))
+
+
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 _CLASS = "greatest(length(bin({0})) - 6, 0) * 32 + floor({0} / pow(2.0, greatest(length(bin({0})) - 6, 0)))::INT"
@@ -231,6 +253,77 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
 FROM d LEFT JOIN gone USING (r)
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CRC_TABLE = """(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i)
+  FROM range(256) AS t(i))"""
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS steps),
+found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents
+),
+runs AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS digits
+  FROM (SELECT doc_id, run, count(*) AS n FROM found GROUP BY doc_id, run)
+),
+hashed AS (
+  SELECT run, n, xor(list_reduce(
+      list_transform(range(1, length(digits), 2), lambda k: ('0x' || substr(digits, k, 2))::BIGINT),
+      lambda h, b: xor(h >> 8, steps[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM runs, crc
+),
+spoilt AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spoilt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+skips AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+near AS (
+  SELECT x.word, y.word AS other FROM skips x JOIN skips y ON x.a = y.a AND x.b = y.b AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, w.word FROM skips x JOIN words w ON w.word = x.a || x.b
+  UNION SELECT w.word, x.word FROM skips x JOIN words w ON w.word = x.a || x.b
+),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(near.other ORDER BY o.n DESC, near.other) AS other, max(o.n) AS other_n
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word
+),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+    CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+chains AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT chains.word, forms.form FROM chains JOIN forms ON forms.word = chains.root WHERE forms.form IS NOT NULL
+)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN (
+  SELECT chains.word, chains.root FROM chains JOIN forms ON forms.word = chains.root WHERE forms.form IS NULL) USING (word)
+"""
+
+_ASCII_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP12_SQL = f"""
+WITH i AS (SELECT item_id, {_ASCII_WORDS} AS w FROM benchmark),
+listed AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[p:p + 9], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS p FROM i WHERE len(w) > 0)
+),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_ASCII_WORDS} AS w FROM documents),
+starts AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM listed)),
+met AS (
+  SELECT r, p, size, s FROM (SELECT r, p, size, array_to_string(w[p:p + size - 1], ' ') AS s FROM starts)
+  SEMI JOIN listed USING (size, s)
+),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS k FROM met) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM met JOIN listed USING (size, s) WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
 
 def all_queries() -> dict[str, Query]:
     """Queries by name."""
@@ -245,9 +338,18 @@ def all_queries() -> dict[str, Query]:
         "op8_adaptive_rules": op8_adaptive_rules,
         "op9_pseudonyms": op9_pseudonyms,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_decontamination": op12_decontamination,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def all_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op3_mixing": OP3_SQL, "op8_adaptive_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {
+        "op3_mixing": OP3_SQL,
+        "op8_adaptive_rules": OP8_SQL,
+        "op10_substring_dedup": OP10_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_decontamination": OP12_SQL,
+    }

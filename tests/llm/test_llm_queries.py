@@ -16,14 +16,15 @@ SQL = queries.all_sql()
 
 
 def test_one_query_per_operator():
-    assert [name.split("_")[0] for name in queries.all_queries()] == [f"op{k}" for k in range(1, 11)]
-    assert set(SQL) == {"op3_mixing", "op8_adaptive_rules", "op10_substring_dedup"}
+    assert [name.split("_")[0] for name in queries.all_queries()] == [f"op{k}" for k in range(1, 14)]
+    assert set(SQL) == {"op3_mixing", "op8_adaptive_rules", "op10_substring_dedup", "op11_spelling_variants", "op12_decontamination"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for name_of in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{SF_DIR}/{name_of}.parquet'")
     result = con.execute(SQL[name])
     names = [d[0] for d in result.description]
     plain = lambda row: tuple(round(v, 6) if isinstance(v, float) else v for v in row)
