@@ -27,7 +27,7 @@ from panelspark.operators import (
 )
 from panelspark.session import configure, settle
 from panelspark.sources import archive, tables
-from panelspark.streaming import hourly
+from panelspark.streaming import completeness, hourly
 
 HOUR_PARTS = list(archive.HOUR_PARTS)
 SERIES_PARTS = ["frequency", "ds_date"]
@@ -264,6 +264,34 @@ class Benchmark:
         )
         return status
 
+    def stream_series(self, freq: str, grace: str = "3 days") -> StreamingQuery:
+        """Build the periods that the hours read since the last run complete, then stop.
+
+        Hours are taken from the ledger as a stream; a keyed state per period decides. The status of periods,
+        also of those refused because their time is over, is appended to the layer ``gate``.
+        """
+        f, path = cal.frequency(freq), self.path("hours")
+
+        def write(batch: DataFrame, number: int) -> None:
+            status = settle(batch, "gate")
+            noted = status.withColumns({"frequency": F.lit(f.name), "batch": F.lit(number)})
+            noted.write.mode("overwrite").parquet(f"{self.path('gate')}/run={f.name}-{number}")
+            done = status.where("status = 'complete'").select(F.col("idx").alias("_i"))
+            if done.isEmpty():
+                return
+            self.build_hourly()
+            hours = self.stored_hours().select("hour")
+            hours = hours.join(done.distinct(), cal.period_index(F.col("hour"), f) == F.col("_i"), "left_semi")
+            self.build_series(f.name, touched=settle(hours, "gated-hours"))
+
+        ledger = self.spark.readStream.schema(HOURS_SCHEMA).parquet(path).where("num_rows IS NOT NULL").select("hour")
+        return (
+            completeness.gate_periods(ledger, f, grace).writeStream.foreachBatch(write)
+            .option("checkpointLocation", self.path(f"gate-state-{f.name}"))
+            .trigger(availableNow=True)
+            .start()
+        )
+
     def validate_series(self, freq: str, start: str, end: str) -> DataFrame:
         """Ledger of the stored periods of a range."""
         rows = tables.read_series(self.spark, self.path("series"), freq, start, end)

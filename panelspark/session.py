@@ -7,10 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# All timestamps are UTC. AQE splits skewed joins and merges small partitions.
+# All timestamps are UTC. AQE splits skewed joins and merges small partitions. Keyed state of streams is kept in RocksDB,
+# outside the heap; timers need it as well.
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -28,20 +28,30 @@ def stream_archive(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return archive.project_events(archive.parse_lines(lines))
 
 
-def windowed_counts(events: DataFrame, watermark: str = "2 hours", time: str = "ts") -> DataFrame:
-    """Live hourly counts per entity in update mode.
+def windowed_counts(
+    events: DataFrame, watermark: str = "2 hours", time: str = "ts", event_id: str = "event_id"
+) -> DataFrame:
+    """Live hourly counts per entity; an event that is sent again counts once.
 
-    The watermark bounds the state, so events later than it are not counted here;
-    :func:`stream_hourly` keeps the complete counts.
+    The watermark bounds all state: ids are remembered and hours stay open for that long after the latest event.
+    Events that come later are not counted here; :func:`stream_hourly` keeps the complete counts.
     """
     kept = events.where(F.col("event_type").isin(*KEEP_EVENT_TYPES) & F.col("repo_id").isNotNull())
-    hour = F.window(time, "1 hour")
-    counts = kept.withWatermark(time, watermark).groupBy("repo_id", hour).agg(
-        *metric_counts(), F.count("*").alias("n_events")
-    )
+    once = kept.withWatermark(time, watermark).dropDuplicatesWithinWatermark([event_id])
+    counts = once.groupBy("repo_id", F.window(time, "1 hour")).agg(*metric_counts(), F.count("*").alias("n_events"))
     return counts.select("repo_id", F.col("window.start").alias("event_hour"), *METRICS, "n_events")
 
 
+def stream_live(
+    events: DataFrame, out: str, checkpoint: str, watermark: str = "2 hours", time: str = "ts"
+) -> StreamingQuery:
+    """Append the counts of closed hours to a table, each once, for all events that are available now."""
+    return (
+        windowed_counts(events, watermark, time).writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    )
+
+
 def stream_hourly(
     events: DataFrame,
     out: str,
