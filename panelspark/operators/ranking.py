@@ -14,23 +14,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import settle
 
 
-def count_percent_rank(values: DataFrame, value: str, rank: str) -> DataFrame:
-    """``percent_rank`` per distinct value of a histogram ``(value, n)``.
+def running_total(df: DataFrame, order: str, amount: str, name: str) -> tuple[DataFrame, int]:
+    """``df`` with the sum of ``amount`` over the rows with a smaller ``order`` as ``name``, and the sum over all rows.
 
-    The running total is over distinct values in one task. Use it for positive
-    whole-number counts: ``k`` distinct counts sum to at least ``k²/2``, so ``e``
-    events allow at most ``sqrt(2e)`` rows here, 1.4 million for 10¹² events.
+    Two phases: the rows are cut into ranges of ``order``, each range is added up on its own, and then every row adds the
+    rows before it in its range to the total of the ranges before. Only one number per range goes through the driver.
+    ``order`` must not repeat.
     """
-    ordered = Window.orderBy(value)
-    below = F.coalesce(
-        F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    total = F.sum("n").over(Window.partitionBy())
-    return values.select(
-        "*", F.when(total > 1, below / (total - 1)).otherwise(F.lit(0.0)).alias(rank)
-    )
+    ranged = settle(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("n")).collect()
+    offsets, total = [], 0
+    for r in sorted(totals, key=lambda r: r["_range"]):
+        offsets.append((r["_range"], total))
+        total += r.n
+    table = df.sparkSession.createDataFrame(offsets, "_range INT, _offset BIGINT")
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(amount).over(inside), F.lit(0).cast("long"))
+    placed = ranged.withColumn("_within", within).join(table, "_range")
+    return placed.select(*df.columns, (F.col("_offset") + F.col("_within")).alias(name)), total
+
+
+def count_percent_rank(values: DataFrame, value: str, rank: str) -> DataFrame:
+    """``percent_rank`` per distinct value of a histogram ``(value, n)``, of any size."""
+    placed, total = running_total(values, value, "n", "_below")
+    share = F.col("_below") / (total - 1) if total > 1 else F.lit(0.0)
+    return placed.select(*values.columns, share.alias(rank))
 
 
 def top_per_group(

@@ -1,7 +1,11 @@
 """History windows, actuals and rolling statistics for many cutoffs at once.
 
-A panel has the columns ``unique_id, ds, y`` and one row per series and period. Cutoffs are a frame with a ``cutoff`` column, or a list of
-cutoff values, which also bounds the scan of the panel.
+A panel has the columns ``unique_id, ds, y`` and one row per series and period. Cutoffs are
+
+* a list of values, or a frame with a ``cutoff`` column: they hold for all series. They are points of the frequency's grid,
+  so a frame of them has a row for each period at most and is read as a list. Lists bound the scan of the panel,
+  and each row picks its own cutoffs without a join;
+* a frame ``unique_id, cutoff`` of any size: each series has its own. Histories, actuals and statistics join it by series.
 """
 
 from __future__ import annotations
@@ -28,13 +32,31 @@ def listed_cutoffs(cutoffs: Iterable[str | dt.datetime], freq: str | cal.Frequen
     return values
 
 
+def own_cutoffs(cutoffs: Cutoffs) -> bool:
+    """True for a frame that has cutoffs for each series."""
+    return isinstance(cutoffs, DataFrame) and "unique_id" in cutoffs.columns
+
+
+def _shared(cutoffs: Cutoffs) -> Cutoffs:
+    """Cutoffs of all series as a list; those of each series stay a frame."""
+    if own_cutoffs(cutoffs):
+        return cutoffs
+    if isinstance(cutoffs, DataFrame):
+        keys = cutoffs.select(F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("key")).distinct()
+        return [cal.cutoff_value(r.key) for r in keys.toLocalIterator()]
+    return list(cutoffs)
+
+
+def _checked(cutoff: Column, freq: cal.Frequency) -> Column:
+    text = F.concat(F.lit(f"cutoffs not on the {freq.name} grid: "), cutoff.cast("string"))
+    return F.when(cal.on_grid(cutoff, freq), cutoff).otherwise(F.raise_error(text).cast("timestamp"))
+
+
 def cutoff_frame(spark: SparkSession, cutoffs: Cutoffs, freq: str | cal.Frequency) -> DataFrame:
     """Cutoffs as ``cutoff, cutoff_idx``. One that is not on the frequency's grid is an error, listed or in a frame."""
     f = cal.frequency(freq)
     if isinstance(cutoffs, DataFrame):
-        text = F.concat(F.lit(f"cutoffs not on the {f.name} grid: "), F.col("cutoff").cast("string"))
-        checked = F.when(cal.on_grid(F.col("cutoff"), f), F.col("cutoff")).otherwise(F.raise_error(text).cast("timestamp"))
-        frame = cutoffs.select("cutoff").distinct().select(checked.alias("cutoff"))
+        frame = cutoffs.select("cutoff").distinct().select(_checked(F.col("cutoff"), f).alias("cutoff"))
     else:
         points = F.array(*[F.lit(v) for v in listed_cutoffs(cutoffs, f)])
         frame = spark.range(1, numPartitions=1).select(F.explode(points).alias("cutoff"))
@@ -65,26 +87,37 @@ def _bounded(panel: DataFrame, cutoffs: Cutoffs, freq: cal.Frequency, back: int,
     return panel.where(F.col("ds").between(F.lit(low), F.lit(high)))
 
 
+def _within(low: Column, high: Column, width: int, listed: list[dt.datetime], freq: cal.Frequency) -> Column:
+    """Array of the period indices of listed cutoffs between two indices at most ``width`` apart."""
+    points = F.array(*[cal.period_index(F.lit(v), freq) for v in listed])
+    if len(listed) <= width:
+        return F.filter(points, lambda i: i.between(low, high))
+    return F.filter(F.when(low <= high, F.sequence(low, high)), lambda i: F.array_contains(points, i))
+
+
 def _window_join(
     panel: DataFrame, cutoffs: Cutoffs, freq: cal.Frequency, first: int, last: int
 ) -> DataFrame:
     """Panel rows whose period is ``first`` to ``last`` periods from a cutoff.
 
-    Listed cutoffs are literals: each row picks its own, without a join. Those of a frame list their
-    periods, which makes the range condition an equality.
+    With cutoffs of each series, both sides are cut into blocks as long as the window: a window meets two blocks of its series
+    at most, so the join is an equality of series and block, and the range is checked within.
     """
+    cutoffs = _shared(cutoffs)
     rows = _bounded(panel, cutoffs, freq, -first, last)
     rows = rows.withColumn("idx", cal.period_index(F.col("ds"), freq))
     if not isinstance(cutoffs, DataFrame):
-        listed = F.array(*[F.lit(v) for v in listed_cutoffs(cutoffs, freq)])
-        ahead = F.transform(listed, lambda c: F.struct(c.alias("cutoff"), cal.period_index(c, freq).alias("i")))
-        near = F.filter(ahead, lambda c: F.col("idx").between(c["i"] + first, c["i"] + last))
-        return rows.withColumn("c", F.explode(near)).withColumn("cutoff", F.col("c.cutoff")).drop("c")
-    frame = cutoff_frame(panel.sparkSession, cutoffs, freq)
-    cells = frame.select(
-        "cutoff", F.explode(F.sequence(F.col("cutoff_idx") + first, F.col("cutoff_idx") + last)).alias("idx")
+        # A cutoff at i holds the rows from i + first to i + last.
+        met = _within(F.col("idx") - last, F.col("idx") - first, last - first + 1, listed_cutoffs(cutoffs, freq), freq)
+        return rows.withColumn("i", F.explode(met)).withColumn("cutoff", cal.period_label(F.col("i"), freq)).drop("i")
+    block = lambda i: F.floor(i / (last - first + 1))
+    own = cutoffs.select("unique_id", _checked(F.col("cutoff"), freq).alias("cutoff")).distinct()
+    own = own.withColumn("i", cal.period_index(F.col("cutoff"), freq))
+    own = own.withColumn("block", F.explode(F.sequence(block(F.col("i") + first), block(F.col("i") + last))))
+    return (
+        rows.withColumn("block", block(F.col("idx"))).join(own, ["unique_id", "block"])
+        .where(F.col("idx").between(F.col("i") + first, F.col("i") + last)).drop("i", "block")
     )
-    return rows.join(cells, "idx")
 
 
 def history(
@@ -92,7 +125,6 @@ def history(
 ) -> DataFrame:
     """``cutoff, unique_id, ds, y`` of the last ``window`` periods up to each cutoff."""
     f = cal.frequency(freq)
-    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
     rows = _window_join(panel, cutoffs, f, 1 - (window or f.window), 0)
     return rows.select("cutoff", "unique_id", "ds", "y")
 
@@ -102,11 +134,16 @@ def actuals(
 ) -> DataFrame:
     """``cutoff, unique_id, ds, y`` of the ``h`` periods after each cutoff."""
     f = cal.frequency(freq)
-    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
     rows = _window_join(panel, cutoffs, f, 1, h or f.h)
     return rows.select("cutoff", "unique_id", "ds", "y")
 
 
+def _for_all(cutoffs: Cutoffs) -> Cutoffs:
+    if own_cutoffs(cutoffs):
+        raise ValueError("cutoffs of single series are not for checks of the whole panel")
+    return _shared(cutoffs)
+
+
 def window_presence(
     panel: DataFrame,
     cutoffs: Cutoffs,
@@ -117,7 +154,7 @@ def window_presence(
     """Per cutoff: how many of its ``window`` past and ``h`` next periods the panel has."""
     f = cal.frequency(freq)
     w = window or f.window
-    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
+    cutoffs = _for_all(cutoffs)
     frame = cutoff_frame(panel.sparkSession, cutoffs, f)
     rows = _bounded(panel, cutoffs, f, w, h)
     present = rows.select(cal.period_index(F.col("ds"), f).alias("idx")).distinct()
@@ -136,9 +173,9 @@ def window_presence(
 
 def require_window(presence: DataFrame) -> None:
     """Raise if a cutoff misses a period of its history."""
-    missing = presence.where(~F.col("window_ok")).select("cutoff").limit(10).collect()
-    if missing:
-        raise FileNotFoundError(f"Missing history periods for cutoffs {[r.cutoff for r in missing]}")
+    row = presence.where(~F.col("window_ok")).agg(F.count("*").alias("n"), F.min("cutoff").alias("first")).first()
+    if row.n:
+        raise FileNotFoundError(f"Missing history periods for {row.n} cutoffs, the first of them {row.first}")
 
 
 def _exact_square(value: Column) -> Column:
@@ -158,7 +195,8 @@ def rolling_stats(
 
     With whole-number ``y`` every window sum is the difference of two running sums, so the cost is linear
     in the panel and does not grow with the window or the number of cutoffs, and sums are exact.
-    Differences of running sums of fractions would lose digits; there each window is summed on its own.
+    Differences of running sums of fractions would lose digits; there the periods are cut into blocks as long as the window, which is
+    then the end of one block and the beginning of the next, and only values inside the window are added: linear as well.
     Either way there is one shuffle by series. ``tail`` holds the last ``season`` values.
 
     Differences use the previous rows of the series; windows with missing periods
@@ -168,14 +206,19 @@ def rolling_stats(
     w, s = window or f.window, season or f.season
     if m >= w:
         raise ValueError("window must be longer than the seasonality")
-    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
+    cutoffs = _shared(cutoffs)
     whole = panel.schema["y"].dataType.typeName() in ("byte", "short", "integer", "long")
     rows = _bounded(panel, cutoffs, f, w + s, 0).select(
         "unique_id", cal.period_index(F.col("ds"), f).alias("idx"), F.col("y").cast("long" if whole else "double").alias("y")
     )
-    frame = cutoff_frame(panel.sparkSession, cutoffs, f)
     stats = (_whole_stats if whole else _fraction_stats)(rows, w, m, s)
-    return stats.join(frame.withColumnRenamed("cutoff_idx", "idx"), "idx").select("cutoff", *[c for c in stats.columns if c != "idx"])
+    if isinstance(cutoffs, DataFrame):
+        own = cutoffs.select("unique_id", _checked(F.col("cutoff"), f).alias("cutoff")).distinct()
+        found = stats.join(own.withColumn("idx", cal.period_index(F.col("cutoff"), f)), ["unique_id", "idx"])
+    else:
+        met = _within(F.col("idx"), F.col("idx"), 1, listed_cutoffs(cutoffs, f), f)
+        found = stats.where(F.size(met) > 0).withColumn("cutoff", cal.period_label(F.col("idx"), f))
+    return found.select("cutoff", *[c for c in stats.columns if c != "idx"])
 
 
 def _with_differences(rows: DataFrame, m: int, s: int) -> DataFrame:
@@ -232,23 +275,72 @@ def _whole_stats(rows: DataFrame, w: int, m: int, s: int) -> DataFrame:
     )
 
 
+# Count, mean and sum of squared deviations of values; two of them merge without loss of digits.
+_Moments = tuple[Column, Column, Column]
+
+
+def _merged(a: _Moments, b: _Moments) -> _Moments:
+    n = a[0] + b[0]
+    mean_a, mean_b = F.coalesce(a[1], F.lit(0.0)), F.coalesce(b[1], F.lit(0.0))
+    between = (mean_a - mean_b) * (mean_a - mean_b) * a[0] * b[0] / n
+    mean = F.when(n > 0, (mean_a * a[0] + mean_b * b[0]) / n)
+    return n, mean, F.coalesce(a[2], F.lit(0.0)) + F.coalesce(b[2], F.lit(0.0)) + F.coalesce(between, F.lit(0.0))
+
+
+def _block_windows(rows: DataFrame, length: int, values: dict[str, Column]) -> DataFrame:
+    """Moments of the last ``length`` periods at each row, as ``n_<name>, mean_<name>, m2_<name>``.
+
+    Every row also stands ``length`` periods later, in the next block. A window that ends at ``i`` holds the rows of its own block up
+    to ``i``, and those of the block before that stand behind ``i``; both grow row by row and are never taken apart.
+    """
+    both = rows.select(
+        "*", F.explode(F.array(
+            F.struct(F.col("idx").alias("_key"), F.lit(True).alias("_own")),
+            F.struct((F.col("idx") + length).alias("_key"), F.lit(False).alias("_own")),
+        )).alias("_at"),
+    ).select(*rows.columns, "_at._key", "_at._own").withColumn("_block", F.floor(F.col("_key") / length))
+    block = Window.partitionBy("unique_id", "_block")
+    own = block.orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
+    before = block.orderBy(F.desc("_key")).rangeBetween(Window.unboundedPreceding, -1)
+
+    def moments(value: Column, over) -> _Moments:
+        n = F.count(value).over(over)
+        return n, F.avg(value).over(over), F.var_pop(value).over(over) * n
+
+    parts = {}
+    for name, value in values.items():
+        for side, test, over in (("a", F.col("_own"), own), ("b", ~F.col("_own"), before)):
+            found = moments(F.when(test, value).cast("double"), over)
+            parts |= {f"_{side}{k}_{name}": column for k, column in enumerate(found)}
+    wide = both.select(*rows.columns, "_own", *[c.alias(n) for n, c in parts.items()]).where("_own")
+    sums = {}
+    for name in values:
+        a, b = (tuple(F.col(f"_{side}{k}_{name}") for k in range(3)) for side in "ab")
+        sums |= dict(zip((f"n_{name}", f"mean_{name}", f"m2_{name}"), _merged(a, b)))
+    return wide.select(*rows.columns, *[c.alias(n) for n, c in sums.items()])
+
+
 def _fraction_stats(rows: DataFrame, w: int, m: int, s: int) -> DataFrame:
-    """Statistics of fractions at every period, each window on its own."""
-    series = Window.partitionBy("unique_id").orderBy("idx")
-    inside = lambda skipped: series.rangeBetween(-(w - 1 - skipped), 0)
+    """Statistics of fractions at every period, from sums over blocks."""
     y, season = F.col("y"), min(s, w)
-    square = F.avg(F.col("_sd") * F.col("_sd")).over(inside(season)) if season < w else F.lit(None).cast("double")
-    n_obs = F.count(F.lit(1)).over(inside(0))
-    return _with_differences(rows, m, s).select(
+    found = _with_differences(rows, m, s).withColumn("_tail", _tail(s))
+    found = _block_windows(found, w, {"y": y, "abs": F.abs(y)})
+    found = _block_windows(found, w - m, {"d": F.col("_d")})
+    square = F.lit(None).cast("double")
+    if season < w:
+        found = _block_windows(found, w - season, {"sd": F.col("_sd") * F.col("_sd")})
+        square = F.col("mean_sd")
+    n = F.col("n_y")
+    return found.select(
         "idx",
         "unique_id",
-        n_obs.alias("n_obs"),
-        F.avg(y).over(inside(0)).alias("mean_y"),
-        F.avg(F.abs(y)).over(inside(0)).alias("mean_abs_y"),
-        F.when(n_obs > 1, F.stddev_samp(y).over(inside(0))).otherwise(F.lit(0.0)).alias("sd_y"),
-        F.avg("_d").over(inside(m)).alias("mean_abs_diff"),
+        n.alias("n_obs"),
+        F.col("mean_y"),
+        F.col("mean_abs").alias("mean_abs_y"),
+        F.when(n > 1, F.sqrt(F.col("m2_y") / (n - 1))).otherwise(F.lit(0.0)).alias("sd_y"),
+        F.col("mean_d").alias("mean_abs_diff"),
         F.coalesce(F.sqrt(square), F.lit(0.0)).alias("sd_season"),
-        F.when(n_obs >= s, _tail(s)).alias("tail"),
+        F.when(n >= s, F.col("_tail")).alias("tail"),
     )
 
 
@@ -262,17 +354,15 @@ def alignment(
     """
     f = cal.frequency(freq)
     w = window or f.window
-    cutoffs = cutoffs if isinstance(cutoffs, DataFrame) else list(cutoffs)
+    cutoffs = _for_all(cutoffs)
     rows = _bounded(panel, cutoffs, f, w, 0).select(
         "unique_id", cal.period_index(F.col("ds"), f).alias("last_idx")
     )
     following = F.lead("last_idx").over(Window.partitionBy("unique_id").orderBy("last_idx"))
-    until = F.least(following - 1, F.col("last_idx") + w - 1)
-    reach = rows.withColumn("_until", until).withColumn(
-        "cutoff_idx", F.explode(F.sequence("last_idx", "_until"))
-    )
-    frame = cutoff_frame(panel.sparkSession, cutoffs, f)
-    last = reach.join(frame, "cutoff_idx")
+    until = F.coalesce(F.least(following - 1, F.col("last_idx") + w - 1), F.col("last_idx") + w - 1)
+    reach = rows.withColumn("_until", until)
+    met = _within(F.col("last_idx"), F.col("_until"), w, listed_cutoffs(cutoffs, f), f)
+    last = reach.withColumn("cutoff_idx", F.explode(met)).withColumn("cutoff", cal.period_label(F.col("cutoff_idx"), f))
     late = F.col("last_idx") != F.col("cutoff_idx")
     return last.groupBy("cutoff").agg(
         F.count("*").alias("n_series"),
