@@ -152,10 +152,13 @@ def forecast_native(
     )
 
 
-def _run_batches(
-    model: Model, freq: cal.Frequency, h: int, levels: Sequence[int]
+def _run_series(
+    model: Model, freq: cal.Frequency, h: int, levels: Sequence[int], window: int, shared: list[tuple[int, int]]
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Function that runs a pandas model on batches of packed series."""
+    """Function that runs a pandas model on sorted series: keeps one series and cuts the windows of all its cutoffs.
+
+    ``shared`` has the cutoffs of all series as ``(micros, idx)``; rows with ``is_cutoff`` are cutoffs of their own series.
+    """
     fn, freq_name = model.fn, freq.name
     head = {"model": model.name, "model_alias": model.alias, "frequency": freq_name}
     quantiles = [q / 100 for q in levels]
@@ -176,17 +179,43 @@ def _run_batches(
             found["ds"] = np.array(["NaT"], dtype="datetime64[ns]")
             return found, 1, f"{type(problem).__name__}: {problem}"
 
+    def windows_of(parts: list[pd.DataFrame]) -> Iterator[tuple]:
+        rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+        uid, own = rows["unique_id"].iloc[0], rows["is_cutoff"].to_numpy()
+        micros, idx, y = (rows[c].to_numpy() for c in ("micros", "idx", "y"))
+        cuts = {*shared, *zip(micros[own].tolist(), idx[own].tolist())}
+        micros, idx, y = micros[~own], idx[~own], y[~own]
+        for cutoff, last in sorted(cuts):
+            begin, end = np.searchsorted(idx, [last - window + 1, last + 1])
+            if end > begin:
+                yield cutoff, uid, *one(micros[begin:end], y[begin:end])
+
+    def frame(results: list[tuple]) -> pd.DataFrame:
+        sizes = [n for *_, n, _ in results]
+        data = {c: np.concatenate([found[c] for _, _, found, _, _ in results]) for c in columns}
+        cutoff = np.array([r[0] for r in results]).astype("datetime64[us]").astype("datetime64[ns]")
+        data |= {"cutoff": np.repeat(cutoff, sizes), "unique_id": np.repeat(np.array([r[1] for r in results], dtype=object), sizes)}
+        errors = np.repeat(np.array([r[4] for r in results], dtype=object), sizes)
+        out = pd.DataFrame(data).assign(**head, error=errors)
+        return out[["model", "model_alias", "frequency", "cutoff", "unique_id", *columns, "error"]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the series whose end was not seen yet
         for batch in batches:
-            results = [one(np.asarray(t), np.asarray(y)) for t, y in zip(batch["micros"], batch["y"])]
-            if not results:
+            if batch.empty:
                 continue
-            sizes = [n for _, n, _ in results]
-            data = {c: np.concatenate([found[c] for found, _, _ in results]) for c in columns}
-            data = {k: batch[k].repeat(sizes).to_numpy() for k in ("cutoff", "unique_id")} | data
-            errors = np.repeat(np.array([e for _, _, e in results], dtype=object), sizes)
-            out = pd.DataFrame(data).assign(**head, error=errors)
-            yield out[["model", "model_alias", "frequency", "cutoff", "unique_id", *columns, "error"]]
+            ids = batch["unique_id"].to_numpy()
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(batch)]
+            results: list[tuple] = []
+            for begin, end in zip(edges, edges[1:]):
+                if held and held[0]["unique_id"].iloc[0] != ids[begin]:
+                    results += windows_of(held)
+                    held = []
+                held.append(batch.iloc[begin:end])
+            if results:
+                yield frame(results)
+        if held and (results := list(windows_of(held))):
+            yield frame(results)
 
     return run
 
@@ -202,19 +231,30 @@ def forecast_pandas(
 ) -> DataFrame:
     """Forecasts of one pandas model with an ``error`` column.
 
-    Each series' window, at most ``window`` values, is packed into one row, so a
-    task receives many series per Arrow batch and calls the model once for each.
-    Fitting costs time and not bytes, so the number of tasks is set here and not
-    merged by size.
+    The panel is shuffled and sorted once by series; a task keeps one series and cuts the windows of all its
+    cutoffs from it, so no row is copied per cutoff. Fitting costs time and not bytes, so the number of tasks is set here
+    and not merged by size.
     """
     f = cal.frequency(freq)
-    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    past = windows.history(panel, cutoffs, f, window).repartition(tasks, "cutoff", "unique_id")
-    values = F.array_sort(F.collect_list(F.struct(F.unix_micros("ds").alias("micros"), "y")))
-    packed = past.groupBy("cutoff", "unique_id").agg(values.alias("_past"))
-    packed = packed.select("cutoff", "unique_id", F.col("_past.micros"), F.col("_past.y"))
-    run = _run_batches(get_model(model), f, h or f.h, levels)
-    return packed.mapInPandas(run, forecast_schema(levels) + ", error STRING")
+    w = window or f.window
+    spark = panel.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared: list[tuple[int, int]] = []
+    rows = windows.reachable(panel, cutoffs, f, w).select(
+        "unique_id", cal.period_index(F.col("ds"), f).alias("idx"), F.unix_micros("ds").alias("micros"), "y",
+        F.lit(False).alias("is_cutoff"),
+    )
+    if windows.own_cutoffs(cutoffs):
+        own = windows.checked_own(cutoffs, f)
+        rows = rows.unionByName(own.select(
+            "unique_id", "idx", F.unix_micros("cutoff").alias("micros"), F.lit(0).alias("y"), F.lit(True).alias("is_cutoff"),
+        ))
+    else:
+        frame = windows.cutoff_frame(spark, cutoffs, f).select(F.unix_micros("cutoff").alias("micros"), "cutoff_idx")
+        shared = [(r.micros, r.cutoff_idx) for r in frame.toLocalIterator()]
+    ordered = rows.repartition(tasks, "unique_id").sortWithinPartitions("unique_id", "idx")
+    run = _run_series(get_model(model), f, h or f.h, levels, w, shared)
+    return ordered.mapInPandas(run, forecast_schema(levels) + ", error STRING")
 
 
 def forecast(

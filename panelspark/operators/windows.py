@@ -87,6 +87,19 @@ def _bounded(panel: DataFrame, cutoffs: Cutoffs, freq: cal.Frequency, back: int,
     return panel.where(F.col("ds").between(F.lit(low), F.lit(high)))
 
 
+def checked_own(cutoffs: DataFrame, freq: cal.Frequency) -> DataFrame:
+    """Cutoffs of each series as ``unique_id, cutoff, idx``."""
+    own = cutoffs.select("unique_id", _checked(F.col("cutoff"), freq).alias("cutoff")).distinct()
+    return own.withColumn("idx", cal.period_index(F.col("cutoff"), freq))
+
+
+def reachable(panel: DataFrame, cutoffs: Cutoffs, freq: str | cal.Frequency, window: int) -> DataFrame:
+    """Panel rows that may lie in the window of a cutoff; prunes the scan for listed ones."""
+    f = cal.frequency(freq)
+    rows = _bounded(panel, _shared(cutoffs), f, window, 0)
+    return rows.join(cutoffs.select("unique_id").distinct(), "unique_id", "left_semi") if own_cutoffs(cutoffs) else rows
+
+
 def _within(low: Column, high: Column, width: int, listed: list[dt.datetime], freq: cal.Frequency) -> Column:
     """Array of the period indices of listed cutoffs between two indices at most ``width`` apart."""
     points = F.array(*[cal.period_index(F.lit(v), freq) for v in listed])
@@ -111,8 +124,7 @@ def _window_join(
         met = _within(F.col("idx") - last, F.col("idx") - first, last - first + 1, listed_cutoffs(cutoffs, freq), freq)
         return rows.withColumn("i", F.explode(met)).withColumn("cutoff", cal.period_label(F.col("i"), freq)).drop("i")
     block = lambda i: F.floor(i / (last - first + 1))
-    own = cutoffs.select("unique_id", _checked(F.col("cutoff"), freq).alias("cutoff")).distinct()
-    own = own.withColumn("i", cal.period_index(F.col("cutoff"), freq))
+    own = checked_own(cutoffs, freq).withColumnRenamed("idx", "i")
     own = own.withColumn("block", F.explode(F.sequence(block(F.col("i") + first), block(F.col("i") + last))))
     return (
         rows.withColumn("block", block(F.col("idx"))).join(own, ["unique_id", "block"])
@@ -213,8 +225,7 @@ def rolling_stats(
     )
     stats = (_whole_stats if whole else _fraction_stats)(rows, w, m, s)
     if isinstance(cutoffs, DataFrame):
-        own = cutoffs.select("unique_id", _checked(F.col("cutoff"), f).alias("cutoff")).distinct()
-        found = stats.join(own.withColumn("idx", cal.period_index(F.col("cutoff"), f)), ["unique_id", "idx"])
+        found = stats.join(checked_own(cutoffs, f), ["unique_id", "idx"])
     else:
         met = _within(F.col("idx"), F.col("idx"), 1, listed_cutoffs(cutoffs, f), f)
         found = stats.where(F.size(met) > 0).withColumn("cutoff", cal.period_label(F.col("idx"), f))

@@ -11,7 +11,7 @@ import datetime as dt
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import calendar as cal
@@ -42,6 +42,9 @@ WEEKLY_CUTOFFS = ("2024-01-14", "2024-01-21")
 WEEKLY_WINDOW = 2
 MONTHLY_CUTOFFS = ("2001-05-01", "2001-06-01")
 MONTHLY_WINDOW = 24
+HOURLY_WINDOW = 168
+HOURLY_STATS_WINDOW = 168
+OWN_STEP = 5
 SELECTION = {
     "year": 2024,
     "unit": "week",
@@ -416,6 +419,49 @@ def rolling_stats(s: Sample) -> DataFrame:
     return stats.drop("tail")
 
 
+def _own_cutoffs(s: Sample) -> DataFrame:
+    """A cutoff every ``OWN_STEP`` days of each series, from its own first day on."""
+    span = s.panel("daily").groupBy("unique_id").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
+    points = F.sequence("first", "last", F.expr(f"INTERVAL {OWN_STEP} DAY"))
+    return span.select("unique_id", F.explode(points).alias("cutoff"))
+
+
+@_query
+def own_cutoff_history(s: Sample) -> DataFrame:
+    return windows.history(s.panel("daily"), _own_cutoffs(s), "daily", DAILY_WINDOW)
+
+
+@_query
+def own_cutoff_actuals(s: Sample) -> DataFrame:
+    return windows.actuals(s.panel("daily"), _own_cutoffs(s), "daily")
+
+
+@_query
+def own_cutoff_stats(s: Sample) -> DataFrame:
+    return windows.rolling_stats(s.panel("daily"), _own_cutoffs(s), "daily", DAILY_WINDOW).drop("tail")
+
+
+@_query
+def hourly_fraction_stats(s: Sample) -> DataFrame:
+    """Window statistics of hourly shares: each series' part of the entity's events of the hour, windows of 168 hours."""
+    whole = F.sum("y").over(Window.partitionBy("repo_id", "ds"))
+    share = F.when(whole > 0, F.col("y") / whole).otherwise(F.lit(0.0))
+    panel = settle(s.series("hourly").select("unique_id", "ds", share.alias("y")), "shares")
+    stats = windows.rolling_stats(panel, DAILY_CUTOFFS, "hourly", HOURLY_STATS_WINDOW, season=24)
+    return stats.drop("tail")
+
+
+@_query
+def hourly_backtest(s: Sample) -> DataFrame:
+    """Hourly forecasts of 24 steps from one season of history."""
+    return forecasting.forecast_native(s.panel("hourly"), DAILY_CUTOFFS, "hourly", window=HOURLY_WINDOW)
+
+
+@_query
+def hourly_metrics(s: Sample) -> DataFrame:
+    return s.evaluated("hourly", DAILY_CUTOFFS, HOURLY_WINDOW)[0]
+
+
 @_query
 def guard_window(s: Sample) -> DataFrame:
     return windows.window_presence(s.panel("daily"), EDGE_CUTOFFS, "daily", DAILY_WINDOW, h=7)

@@ -86,20 +86,20 @@ RELATIONS["monthly"] = """
   SELECT g.unique_id, CAST(g.ds AS TIMESTAMP) AS ds, coalesce(m.y, 0) AS y
   FROM order_grid g LEFT JOIN order_months m USING (unique_id, ds)"""
 
-_UNIT = {"daily": "DAY", "weekly": "WEEK", "monthly": "MONTH"}
-_SEASON = {"daily": 7, "weekly": 1, "monthly": 12}
-_H = {"daily": 7, "weekly": 1, "monthly": 1}
+_UNIT = {"hourly": "HOUR", "daily": "DAY", "weekly": "WEEK", "monthly": "MONTH"}
+_SEASON = {"hourly": 24, "daily": 7, "weekly": 1, "monthly": 12}
+_H = {"hourly": 24, "daily": 7, "weekly": 1, "monthly": 1}
 
 
 def _stamps(values) -> str:
     return ", ".join(f"TIMESTAMP '{v} 00:00:00'" for v in values)
 
 
-def _history(freq: str, cutoffs, window: int) -> str:
+def _history(freq: str, cutoffs, window: int, unit: str = "") -> str:
     return f"""
   SELECT c.cutoff, p.unique_id, p.ds, p.y
   FROM (SELECT unnest([{_stamps(cutoffs)}]) AS cutoff) c
-  JOIN {freq} p ON p.ds > c.cutoff - INTERVAL {window} {_UNIT[freq]} AND p.ds <= c.cutoff"""
+  JOIN {freq} p ON p.ds > c.cutoff - INTERVAL {window} {unit or _UNIT[freq]} AND p.ds <= c.cutoff"""
 
 
 def _actuals(freq: str, cutoffs) -> str:
@@ -174,8 +174,20 @@ def _add_backtest(prefix: str, freq: str, cutoffs, window: int, models=q.forecas
 _add_backtest("d", "daily", q.DAILY_CUTOFFS, q.DAILY_WINDOW)
 _add_backtest("w", "weekly", q.WEEKLY_CUTOFFS, q.WEEKLY_WINDOW)
 _add_backtest("m", "monthly", q.MONTHLY_CUTOFFS, q.MONTHLY_WINDOW)
+_add_backtest("h", "hourly", q.DAILY_CUTOFFS, q.HOURLY_WINDOW)
 _add_backtest("e", "daily", q.EARLY_CUTOFFS, q.EARLY_WINDOW, ("zero_model", "historic_average"))
 
+RELATIONS["own_cuts"] = f"""
+  SELECT unique_id, unnest(generate_series(min(ds), max(ds), INTERVAL {q.OWN_STEP} DAY)) AS cutoff FROM daily GROUP BY unique_id"""
+RELATIONS["own_hist"] = f"""
+  SELECT c.cutoff, unique_id, p.ds, p.y FROM own_cuts c JOIN daily p USING (unique_id)
+  WHERE p.ds > c.cutoff - INTERVAL {q.DAILY_WINDOW} DAY AND p.ds <= c.cutoff"""
+RELATIONS["own_stats"] = _stats("own_hist", 7)
+RELATIONS["shares"] = """
+  SELECT unique_id, ds, CASE WHEN sum(y) OVER same > 0 THEN y / sum(y) OVER same ELSE 0.0 END AS y
+  FROM hourly WINDOW same AS (PARTITION BY repo_id, ds)"""
+RELATIONS["share_hist"] = _history("shares", q.DAILY_CUTOFFS, q.HOURLY_STATS_WINDOW, "HOUR")
+RELATIONS["share_stats"] = _stats("share_hist", 24)
 RELATIONS["joined"] = """
   SELECT f.*, a.y FROM d_fc f JOIN d_act a USING (cutoff, unique_id, ds)"""
 RELATIONS["flat_joined"] = """
@@ -375,6 +387,14 @@ def _bodies() -> dict[str, str]:
     b["rolling_stats"] = _round(
         "cutoff, unique_id, n_obs", "d_stats", "mean_y, mean_abs_y, sd_y, mean_abs_diff, sd_season"
     )
+    measures = "mean_y, mean_abs_y, sd_y, mean_abs_diff, sd_season"
+    b["own_cutoff_history"] = "SELECT cutoff, unique_id, ds, y FROM own_hist"
+    b["own_cutoff_actuals"] = """SELECT c.cutoff, unique_id, p.ds, p.y FROM own_cuts c JOIN daily p USING (unique_id)
+      WHERE p.ds > c.cutoff AND p.ds <= c.cutoff + INTERVAL 7 DAY"""
+    b["own_cutoff_stats"] = _round("cutoff, unique_id, n_obs", "own_stats", measures)
+    b["hourly_fraction_stats"] = _round("cutoff, unique_id, n_obs", "share_stats", measures)
+    b["hourly_backtest"] = _round(_FC, "h_fc", f"yhat, {_Q}")
+    b["hourly_metrics"] = _round("unique_id, model, model_alias, cutoff, frequency, subdataset", "h_scores", "mase, scaled_crps")
     b["guard_window"] = f"""SELECT c.cutoff, count(DISTINCT CASE WHEN d.ds <= c.cutoff THEN d.ds END) AS found_periods,
         {q.DAILY_WINDOW}::BIGINT AS expected_periods,
         count(DISTINCT CASE WHEN d.ds > c.cutoff THEN d.ds END) AS found_actuals,
