@@ -27,10 +27,15 @@ def write_partitions(
     split a partition that is too large for one task and merge small ones. Rows
     that already lie together by partition, such as archive hours read file by
     file, are written without that shuffle.
+
+    Partitions are replaced first and dropped afterwards. A run that dies in between leaves old rows of dropped keys; the next
+    write that wants these keys drops them.
     """
     spark, stale = df.sparkSession, None
     if wanted is not None and table_exists(spark, path):
-        stale = settle(_files(spark, path, wanted, partition_by), "old-files")
+        wanted = settle(wanted.select(*partition_by).distinct(), "wanted-keys")
+        stale = settle(partition_files(spark, path, wanted, partition_by), "old-files")
+        stale = None if stale.isEmpty() else stale
     rows = df.hint("rebalance", *partition_by) if gather else df
     (
         rows.write.mode("overwrite")
@@ -39,25 +44,34 @@ def write_partitions(
         .partitionBy(*partition_by)
         .parquet(path)
     )
-    if stale is not None and not stale.isEmpty():
-        left = _files(spark, path, wanted, partition_by).join(stale, "file", "left_semi")
+    if stale is not None:
+        left = partition_files(spark, path, wanted, partition_by).join(stale, "file", "left_semi")
         folders = left.select(F.regexp_extract("file", "(.*)/[^/]*", 1).alias("folder")).distinct()
         for row in folders.toLocalIterator():  # keys that lost all their rows
             _delete(spark, row.folder)
 
 
-def _files(spark: SparkSession, path: str, keys: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Files of the partitions of ``keys`` in a table."""
-    table = spark.read.parquet(path)
-    names = table.select(*partition_by, F.col("_metadata.file_path").alias("file")).distinct()
-    as_stored = [F.col(c).cast(table.schema[c].dataType).alias(c) for c in partition_by]
-    return names.join(keys.select(*as_stored).distinct(), list(partition_by), "left_semi").select("file")
+def partition_files(spark: SparkSession, path: str, keys: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Files (``file``) of the partitions of ``keys``; no file is opened.
+
+    The span of the keys goes into the partition filters as literals, so only folders inside it are looked at.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    as_stored = keys.select(*[F.col(c).cast(files.schema[c].dataType).alias(c) for c in partition_by]).distinct()
+    # As texts, which have no time zone; a partition column takes them as its own type.
+    ends = [f(c).cast("string").alias(f"{n}_{c}") for c in partition_by for n, f in (("low", F.min), ("high", F.max))]
+    span = as_stored.agg(*ends).first()
+    for c in partition_by:
+        low, high = span[f"low_{c}"], span[f"high_{c}"]
+        if low is not None:
+            kind = files.schema[c].dataType
+            files = files.where(F.col(c).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
+    return files.join(as_stored, list(partition_by), "left_semi").select(F.col("path").alias("file"))
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    """Delete a folder in whatever store the session reaches; ``folder`` is a URI with escapes, as file metadata gives it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+    """Delete a folder in whatever store the session reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 

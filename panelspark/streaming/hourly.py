@@ -29,25 +29,26 @@ def stream_archive(spark: SparkSession, path: str, files_per_batch: int = 1000)
 
 
 def windowed_counts(
-    events: DataFrame, watermark: str = "2 hours", time: str = "ts", event_id: str = "event_id"
+    events: DataFrame, watermark: str = "2 hours", time: str = "ts", event_id: str | None = None
 ) -> DataFrame:
-    """Live hourly counts per entity; an event that is sent again counts once.
+    """Live hourly counts per entity; with ``event_id``, an event that is sent again counts once.
 
     The watermark bounds all state: ids are remembered and hours stay open for that long after the latest event.
     Events that come later are not counted here; :func:`stream_hourly` keeps the complete counts.
     """
     kept = events.where(F.col("event_type").isin(*KEEP_EVENT_TYPES) & F.col("repo_id").isNotNull())
-    once = kept.withWatermark(time, watermark).dropDuplicatesWithinWatermark([event_id])
+    timed = kept.withWatermark(time, watermark)
+    once = timed.dropDuplicatesWithinWatermark([event_id]) if event_id else timed
     counts = once.groupBy("repo_id", F.window(time, "1 hour")).agg(*metric_counts(), F.count("*").alias("n_events"))
     return counts.select("repo_id", F.col("window.start").alias("event_hour"), *METRICS, "n_events")
 
 
 def stream_live(
-    events: DataFrame, out: str, checkpoint: str, watermark: str = "2 hours", time: str = "ts"
+    events: DataFrame, out: str, checkpoint: str, watermark: str = "2 hours", time: str = "ts", event_id: str = "event_id"
 ) -> StreamingQuery:
     """Append the counts of closed hours to a table, each once, for all events that are available now."""
     return (
-        windowed_counts(events, watermark, time).writeStream.outputMode("append").format("parquet")
+        windowed_counts(events, watermark, time, event_id).writeStream.outputMode("append").format("parquet")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     )
 
