@@ -3,7 +3,8 @@
 import pytest
 
 from panelspark.llm import (
-    adaptive_rules, fingerprints, license_scan, mixing, near_dup, pieces, pseudonyms, quality_gam, substring_dedup, toxicity,
+    adaptive_rules, decontamination, fingerprints, license_scan, mixing, near_dup, periodic_runs, pieces, pseudonyms, quality_gam,
+    substring_dedup, toxicity,
 )
 from pyspark.sql import functions as F
 
@@ -31,13 +32,18 @@ OPERATORS = {
     "pieces": lambda d, m: pieces.round_trip(d),
     "rules": lambda d, m: adaptive_rules.judge(d),
     "pseudonyms": lambda d, m: pseudonyms.with_findings(d),
+    "leaks": lambda d, m: decontamination.find_leaks(d, m["items"]),
+    "leaks_without_items": lambda d, m: decontamination.find_leaks(d, m["items"].limit(0)),
+    "periodic_runs": lambda d, m: periodic_runs.digest(periodic_runs.find_runs(periodic_runs.plant(d))),
     "substrings": lambda d, m: substring_dedup.remove_repeats(d),
 }
 
 
 @pytest.fixture(scope="session")
-def models(gam, toxic):
-    return {"gam": gam, "toxic": toxic}
+def models(gam, toxic, odd, spark):
+    words = odd.where("doc_id = 1").first().text.split()
+    items = [(1, " ".join(words[5:30])), (1, "same line"), (2, None), (3, " "), (None, "two"), (4, "no such words here")]
+    return {"gam": gam, "toxic": toxic, "items": spark.createDataFrame(items, "item_id BIGINT, text STRING")}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
