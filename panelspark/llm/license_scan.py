@@ -125,7 +125,8 @@ _NOTICES = [
     Rule("public-domain", "public", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 3, 0.9),
     Rule("public-domain", "public", "public domain", 1, 0.6),
     Rule("reserved", "rights", "all rights reserved", 1, 0.5),
-    Rule("reserved", "rights", "(?:no|some) rights reserved", 1, 0.4),
+    Rule("no-rights-reserved", "rights", "no rights reserved", 1, 0.5),
+    Rule("some-rights-reserved", "rights", "some rights reserved", 1, 0.5),
     Rule("proprietary", "proprietary", "proprietary (?:and confidential|licen[cs]e|software)", 3, 0.9),
     Rule("proprietary", "confidential", "confidential and proprietary", 3, 0.9),
     Rule("proprietary", "permission", "without (?:the )?(?:prior )?(?:written|express) permission", 2, 0.7),

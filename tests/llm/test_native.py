@@ -82,11 +82,42 @@ def plain_words(text):
     return _WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
+def shortest(pattern):
+    """A text that the pattern matches: first choices, least repeats."""
+    from re import _constants as kind, _parser
+
+    def spell(tokens):
+        out = ""
+        for what, value in tokens:
+            if what is kind.LITERAL:
+                out += chr(value)
+            elif what is kind.SUBPATTERN:
+                out += spell(value[-1])
+            elif what is kind.BRANCH:
+                out += spell(value[1][0])
+            elif what is kind.MAX_REPEAT:
+                out += spell(value[2]) * value[0]
+            elif what is kind.IN:
+                out += chr(value[0][1] if value[0][0] is kind.LITERAL else value[0][1][0])
+            else:
+                raise AssertionError(what)
+        return out
+
+    return spell(_parser.parse(pattern))
+
+
 def test_rules_are_many_and_distinct():
     found = license_scan.rules()
     assert len(found) > 300 and len({(r.label, r.pattern) for r in found}) == len(found)
     for r in found:
-        assert re.search(license_scan._GATE.strip(), r.keyword + " " + r.pattern) and re.compile(r.pattern)
+        text = f" {shortest(r.pattern)} "
+        assert re.search(r.pattern, text) and f" {r.keyword} " in text
+        assert re.search(license_scan._GATE, text), text
+
+
+def test_rights_statements(spark):
+    cases = {"No rights reserved.": "no-rights-reserved", "some rights reserved": "some-rights-reserved", "All Rights Reserved": "reserved"}
+    assert [r.labels for r in scan(spark, *cases)] == list(cases.values())
 
 
 def scan(spark, *texts):
@@ -180,12 +211,14 @@ def test_fences_follow_the_group(spark):
 
     rng = random.Random(7)
     rows = [(k, sentence(rng, 50), "en", "prose", None) for k in range(200)]
-    rows += [(1000 + k, sentence(rng, 25) + " " + " ".join(["#"] * 25), "en", "code", None) for k in range(200)]
-    rows += [(5000, sentence(rng, 25) + " " + " ".join(["#"] * 25), "en", "prose", None), (5001, sentence(rng, 25) + " " + "#" * 400, "en", "code", None)]
+    code = lambda: " ".join(f"##{rng.randrange(400):02d}" for _ in range(50))
+    rows += [(1000 + k, code(), "en", "code", None) for k in range(200)]
+    rows += [(5000, code(), "en", "prose", None), (5001, " ".join("#" * 12 + f"{rng.randrange(400)}" for _ in range(50)), "en", "code", None)]
     found = {r.doc_id: r for r in adaptive_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(found[k].kept for k in [*range(200), *range(1000, 1200)])
-    assert found[5000].reasons == ["symbol_share"] or "symbol_share" in found[5000].reasons
-    assert "symbol_share" in found[5001].reasons and not found[5000].kept
+    assert not any(found[k].base_failed for k in found)
+    assert "symbol_share" in found[5000].reasons and not found[5000].kept
+    assert "symbol_share" in found[5001].reasons and not found[5001].kept
 
 
 def test_sketches_merge(spark, odd):
