@@ -268,6 +268,47 @@ RELATIONS["ledger"] = """
   FROM hours h LEFT JOIN purchase_hours p USING (hour)"""
 
 
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (
+    11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261,
+)
+_ALL = 1 << 64
+
+
+def _times(value: str, factor: int) -> str:
+    """Product modulo 2**64; factors of 64 bits fit the wide integer."""
+    return f"(({value}) * {factor}::UHUGEINT % {_ALL}::UHUGEINT)"
+
+
+def _turned(value: str, by: int) -> str:
+    """Bits rotated to the left; the one-element list names the value once."""
+    return f"list_transform([{value}], lambda v: v * {1 << by}::UHUGEINT % {_ALL}::UHUGEINT + v // {1 << (64 - by)}::UHUGEINT)[1]"
+
+
+def _folded(value: str, by: int) -> str:
+    return f"list_transform([{value}], lambda v: xor(v, v // {1 << by}::UHUGEINT))[1]"
+
+
+def _xxh64(relation: str, text: str) -> str:
+    """``relation`` with the XXH64 (seed 0) of a text of fewer than 32 bytes as ``h``."""
+    number = lambda at, size: (
+        f"('0x' || array_to_string(list_transform(range({size} - 1, -1, -1), lambda k: substr(digits, 2 * ({at} + k) + 1, 2)), ''))::UBIGINT::UHUGEINT"
+    )
+    eight = _times(_turned(f"xor(h, {_times(_turned(_times('x', _P2), 31), _P1)})", 27), _P1)
+    four = _times(_turned(f"xor(h, {_times('x', _P1)})", 23), _P2)
+    one = _times(_turned(f"xor(h, {_times('x', _P5)})", 11), _P1)
+    return f"""(
+  SELECT * EXCLUDE (digits, size, lanes, words, bytes, h2, h3), {_folded(_times(_folded(_times(_folded("h3", 33), _P2), 29), _P3), 32)} AS h
+  FROM (SELECT *, list_reduce(bytes, lambda h, x: {one}, h2) AS h3 FROM (
+    SELECT * EXCLUDE (h1), list_reduce(words, lambda h, x: ({four} + {_P3}::UHUGEINT) % {_ALL}::UHUGEINT, h1) AS h2 FROM (
+      SELECT *, list_reduce(lanes, lambda h, x: ({eight} + {_P4}::UHUGEINT) % {_ALL}::UHUGEINT,
+          {_P5}::UHUGEINT + size::UHUGEINT) AS h1 FROM (
+        SELECT *, list_transform(range(0, size // 8), lambda i: {number("8 * i", 8)}) AS lanes,
+          list_transform(range(0, size % 8 // 4), lambda i: {number("size // 8 * 8", 4)}) AS words,
+          list_transform(range(size // 4 * 4, size), lambda i: {number("i", 1)}) AS bytes
+        FROM (SELECT *, hex(encode({text})) AS digits, length(hex(encode({text}))) // 2 AS size FROM {relation}))))))"""
+
+
 def _with(body: str) -> str:
     """Prefix a statement with the relations it uses, directly or not."""
     import re
@@ -364,6 +405,13 @@ def _bodies() -> dict[str, str]:
         "star_prank_all, star_prank_upper",
         f"WHERE {limits}",
     )
+    b["entity_sample_xxh64"] = _round(
+        f"{_ENTITY}, size_bucket, active_units",
+        f"""(SELECT *, row_number() OVER (PARTITION BY size_bucket
+          ORDER BY h, repo_id) AS rn FROM {_xxh64("ranked", "repo_id || ':v0.1.0'")} WHERE size_bucket IS NOT NULL)""",
+        "star_prank_all, star_prank_upper",
+        f"WHERE {limits}",
+    )
     b["first_events"] = """SELECT repo_id, min(event_hour) AS first_hour
       FROM raw JOIN eligible USING (repo_id) GROUP BY repo_id"""
     b["hourly_counts_sparse"] = """SELECT repo_id, metric, repo_id || ':' || metric AS unique_id,
