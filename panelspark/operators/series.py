@@ -7,7 +7,7 @@ aggregation reduces even a very active entity to one row per hour and task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.constants import COMPLETENESS, DEFAULT_COMPLETENESS, KEEP_EVENT_TYPES, METRICS
@@ -83,6 +83,48 @@ def _bounds(df: DataFrame, column: str) -> tuple[Column, Column]:
     return df.select(F.min(column)).scalar(), df.select(F.max(column)).scalar()
 
 
+def unique_entities(entities: DataFrame) -> DataFrame:
+    """``repo_id, repo_name``; an entity that is listed twice is an error, as its counts would be added twice.
+
+    The check is in the join key, so it is not pruned with unused columns.
+    """
+    known = entities.groupBy("repo_id").agg(F.max("repo_name").alias("repo_name"), F.count("*").alias("_n"))
+    text = F.concat(F.lit("repeated entity: "), F.coalesce(F.col("repo_id").cast("string"), F.lit("null")))
+    checked = F.when(F.col("_n") == 1, F.col("repo_id")).otherwise(F.raise_error(text).cast("long"))
+    return known.select(checked.alias("repo_id"), "repo_name")
+
+
+def name_history(raw: DataFrame) -> DataFrame:
+    """Names of entities over time, ``repo_id, repo_name, since, until``; ``until`` is null for the last one.
+
+    The name of an hour is that of its last event, so an entity adds one row an hour at most before its hours are put in order.
+    """
+    events = with_event_hour(raw).where(F.col("repo_id").isNotNull() & F.col("repo_name").isNotNull())
+    hourly = events.groupBy("repo_id", "event_hour").agg(
+        F.max_by("repo_name", F.struct("created_at", "repo_name")).alias("repo_name")
+    )
+    order = Window.partitionBy("repo_id").orderBy("event_hour")
+    before = F.lag("repo_name").over(order)
+    changes = hourly.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col("repo_name")))
+    return changes.select(
+        "repo_id", "repo_name", F.col("event_hour").alias("since"), F.lead("event_hour").over(order).alias("until")
+    )
+
+
+def with_names(panel: DataFrame, names: DataFrame, freq: str | cal.Frequency) -> DataFrame:
+    """``panel`` with the name each entity had in the last hour of the period (an as-of join).
+
+    A period before the first known name keeps the panel's own. Names take part in no grouping, so a rename does not split a period.
+    """
+    f = cal.frequency(freq)
+    at = cal.period_last_hour(cal.period_index(F.col("ds"), f), f)
+    valid = names.select(F.col("repo_id").alias("_id"), F.col("repo_name").alias("_name"), "since", "until")
+    inside = (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until")))
+    joined = panel.withColumn("_at", at).join(valid, (F.col("repo_id") == F.col("_id")) & inside, "left")
+    name = F.coalesce("_name", "repo_name").alias("repo_name")
+    return joined.select(*[name if c == "repo_name" else F.col(c) for c in panel.columns])
+
+
 def hourly_series(
     activity: DataFrame, entities: DataFrame, first: DataFrame, hours: DataFrame
 ) -> DataFrame:
@@ -94,7 +136,7 @@ def hourly_series(
     low, high = _bounds(hours, "hour")
     start = F.greatest(F.col("first_hour"), low)
     spine = (
-        entities.select("repo_id", "repo_name")
+        unique_entities(entities)
         .join(first, "repo_id")
         .withColumn("last_hour", high)
         .where(start <= F.col("last_hour"))
@@ -182,7 +224,7 @@ def period_series(
     f = cal.frequency(freq)
     periods = completeness(hours, f, thresholds).where("is_complete").select("idx", "ds", "last_found")
     low, high = _bounds(periods, "idx")
-    known = entities.select("repo_id", "repo_name").join(first, "repo_id")
+    known = unique_entities(entities).join(first, "repo_id")
 
     start = F.greatest(cal.period_index(F.col("first_hour"), f), low)
     spine = (

@@ -45,6 +45,7 @@ MONTHLY_WINDOW = 24
 HOURLY_WINDOW = 168
 HOURLY_STATS_WINDOW = 168
 OWN_STEP = 5
+RENAMED_AT = "2024-01-16-06"
 SELECTION = {
     "year": 2024,
     "unit": "week",
@@ -362,6 +363,22 @@ def monthly_series(s: Sample) -> DataFrame:
     return sample.monthly_orders(s.spark, s.sf_dir)
 
 
+@_query
+def renamed_series(s: Sample) -> DataFrame:
+    """Entities with an even id get a new name in the middle of a day; each day has the name of its last hour."""
+    moved = (F.col("repo_id") % 2 == 0) & (archive.hour_of_parts() >= F.lit(cal.cutoff_value(RENAMED_AT)))
+    name = F.when(moved, F.concat(F.lit("moved/"), F.col("repo_id"))).otherwise(F.col("repo_name"))
+    events = s.all_events().where(archive.kept_events()).withColumn("repo_name", name)
+    return series.with_names(s.series("daily"), series.name_history(events), "daily")
+
+
+@_query
+def repeated_entities(s: Sample) -> DataFrame:
+    """Entities listed under two names."""
+    renamed = s.entities().where("repo_id % 3 = 0").withColumn("repo_name", F.concat(F.lit("moved/"), F.col("repo_id")))
+    return ent.duplicate_entities(s.entities().unionByName(renamed))
+
+
 @_query
 def rollup_series(s: Sample) -> DataFrame:
     return series.rollup_series(s.series("hourly"), s.hours(), "daily")

@@ -435,6 +435,12 @@ def _bodies() -> dict[str, str]:
     b["rolling_stats"] = _round(
         "cutoff, unique_id, n_obs", "d_stats", "mean_y, mean_abs_y, sd_y, mean_abs_diff, sd_season"
     )
+    day, hour = q.RENAMED_AT[:10], q.RENAMED_AT[11:]
+    b["renamed_series"] = f"""SELECT repo_id, CASE WHEN d.repo_id % 2 = 0 AND EXISTS (
+          SELECT 1 FROM kept k WHERE k.repo_id = d.repo_id AND k.event_hour >= TIMESTAMP '{day} {hour}:00:00'
+            AND k.event_hour < d.ds + INTERVAL 1 DAY) THEN 'moved/' || repo_id ELSE repo_name END AS repo_name,
+        metric, unique_id, ds, y FROM daily d"""
+    b["repeated_entities"] = "SELECT repo_id, 2::BIGINT AS n FROM entities WHERE repo_id % 3 = 0"
     measures = "mean_y, mean_abs_y, sd_y, mean_abs_diff, sd_season"
     b["own_cutoff_history"] = "SELECT cutoff, unique_id, ds, y FROM own_hist"
     b["own_cutoff_actuals"] = """SELECT c.cutoff, unique_id, p.ds, p.y FROM own_cuts c JOIN daily p USING (unique_id)

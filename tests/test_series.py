@@ -116,3 +116,20 @@ def test_empty_ledger(spark, busy):
     none = hours.where("false")
     assert series.hourly_series(activity, ents, first, none).count() == 0
     assert series.period_series(activity, ents, first, none, "daily").count() == 0
+
+
+def test_a_repeated_entity_is_refused(spark):
+    ents = spark.createDataFrame([(1, "a/b"), (1, "a/c"), (2, "x/y")], "repo_id BIGINT, repo_name STRING")
+    with pytest.raises(Exception, match="repeated entity: 1"):
+        series.unique_entities(ents).select("repo_id").collect()
+    assert rows(series.unique_entities(ents.where("repo_name <> 'a/c'"))) == [(1, "a/b"), (2, "x/y")]
+
+
+def test_names_as_of_the_last_hour(spark):
+    data = [(1, "old", "2026-01-01T05:00:00", 1), (1, "new", "2026-01-02T20:10:00", 2), (1, "old", "2026-01-02T20:05:00", 2), (2, "x", "2026-01-03T00:00:00", 3)]
+    raw = spark.createDataFrame([(i, n, t, 2026, 1, d, int(t[11:13])) for i, n, t, d in data], "repo_id BIGINT, repo_name STRING, created_at STRING, year INT, month INT, day INT, hour INT")
+    names = series.name_history(raw)
+    assert rows(names.select("repo_id", "repo_name", F.hour("since"), F.hour("until")), "repo_id", "repo_name") == [(1, "new", 20, None), (1, "old", 5, 20), (2, "x", 0, None)]
+    panel = spark.createDataFrame([(i, "first", utc(f"2026-01-0{d}")) for i in (1, 2) for d in (1, 2, 3)], "repo_id BIGINT, repo_name STRING, ds TIMESTAMP")
+    found = rows(series.with_names(panel, names, "daily").select("repo_id", F.dayofmonth("ds"), "repo_name"))
+    assert found == [(1, 1, "old"), (1, 2, "new"), (1, 3, "new"), (2, 1, "first"), (2, 2, "first"), (2, 3, "x")]
