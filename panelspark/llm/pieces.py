@@ -35,9 +35,11 @@ from panelspark.llm.tasks import column, ship_functions
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
-# Units remembered by a task, and characters sent through the automaton at once.
-_REMEMBERED = 1_000_000
-_AT_ONCE = 1 << 20
+# Bytes of units that a task remembers, about so many for each besides its text and pieces, and characters sent through
+# the automaton at once.
+_REMEMBERED_BYTES = 24 << 20
+_ENTRY_BYTES = 160
+_AT_ONCE = 1 << 18
 _BYTE_PENALTY = 10.0
 
 
@@ -216,19 +218,21 @@ class Encoder:
     def __init__(self, machine: Automaton):
         self.machine = machine
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [_UNITS.findall(" " + t) if t else [] for t in texts]
         units = set(chain.from_iterable(split))
+        if self.size > _REMEMBERED_BYTES:
+            self.known, self.size = {}, 0
         new = list(units.difference(self.known))
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known = {}
-            new = list(units)
         begin, size = 0, 0
         for end, unit in enumerate(new, 1):
             size += len(unit)
             if size >= _AT_ONCE or end == len(new):
-                self.known.update(zip(new[begin:end], segment(self.machine, new[begin:end]), strict=True))
+                found = segment(self.machine, new[begin:end])
+                self.known.update(zip(new[begin:end], found, strict=True))
+                self.size += size + sum(map(len, found)) + _ENTRY_BYTES * (end - begin)
                 begin, size = end, 0
         of = self.known.__getitem__
         return [np.frombuffer(b"".join(map(of, units)), np.int32) for units in split]

@@ -11,8 +11,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text that numpy code works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
-_BATCH_BYTES = 16 << 20
+SLICE_BYTES = 1 << 19
+_BATCH_BYTES = 4 << 20
+# Rows of a slice, so that a row's number in it has 16 bits.
+_SLICE_ROWS = 1 << 16
 
 
 def ship_functions(spark: SparkSession) -> None:
@@ -27,14 +29,14 @@ def ship_functions(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows with about ``SLICE_BYTES`` of text in ``column``."""
+    """Cut batches into runs of rows with about ``SLICE_BYTES`` of text in ``column``, ``_SLICE_ROWS`` at most."""
     for batch in batches:
         sizes = batch.column(column).cast(pa.large_binary())
         begin, total = 0, 0
         ends = _ends(sizes)
         for row in range(batch.num_rows):
             total = ends[row + 1] - ends[begin]
-            if total >= SLICE_BYTES:
+            if total >= SLICE_BYTES or row + 1 - begin == _SLICE_ROWS:
                 yield batch.slice(begin, row + 1 - begin)
                 begin = row + 1
         if begin < batch.num_rows:

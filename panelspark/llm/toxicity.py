@@ -117,6 +117,11 @@ class Grams(NamedTuple):
         return int(self.seen[at]) if at < len(self.keys) and self.keys[at] == number else 0
 
 
+# Probabilities remembered by a model, and bytes of readings remembered by a task with those of each entry.
+_REMEMBERED = 1 << 17
+_REMEMBERED_BYTES, _ENTRY_BYTES = 16 << 20, 180
+
+
 class Language:
     """Interpolated n-gram probabilities of the next byte."""
 
@@ -134,6 +139,8 @@ class Language:
                     break
                 gram = context[len(context) - n :] + bytes([byte])
                 p = (self._seen(gram) + 4 * p) / (self._seen(gram[:-1]) + 4)
+            if len(self.known) >= _REMEMBERED:
+                self.known.clear()
             found = self.known[context, byte] = math.log(p)
         return found
 
@@ -191,14 +198,25 @@ def _edges(text: str, i: int) -> list[tuple[int, str, float]]:
     return [*out, (1, " ", _BREAK_COST if out else 0.0)]
 
 
+# Characters read between two looks for a place that all readings go through.
+_PART = 256
+
+
 def restore(token: str, language: Language) -> str:
-    """Most likely plain reading of a token, by Viterbi over the lattice; states are the last three bytes."""
+    """Most likely plain reading of a token, by Viterbi over the lattice; states are the last three bytes.
+
+    Readings of a long token soon agree on its beginning, which is then fixed and its lattice given up.
+    """
     text = token.lower()
-    at: list[dict[bytes, tuple[float, int, bytes, str]]] = [{} for _ in range(len(text) + 1)]
-    at[0][b" "] = (0.0, -1, b"", "")
+    at: dict[int, dict[bytes, tuple[float, int, bytes, str]]] = {0: {b" ": (0.0, -1, b"", "")}}
+    done: list[str] = []
+    fixed, look = 0, _PART  # all readings go through the one state at ``fixed``
     for i in range(len(text)):
-        if not at[i]:
+        if i not in at:
             continue
+        if i >= look:
+            fixed = _fix(at, i, fixed, done)
+            look = i + max(_PART, i - fixed)
         edges = _edges(text, i)
         for state, (score, *_) in at[i].items():
             for used, letters, cost in edges:
@@ -208,18 +226,44 @@ def restore(token: str, language: Language) -> str:
                         continue
                     total += language.log_p(context, byte)
                     context = (context + bytes([byte]))[-3:]
-                known = at[i + used].get(context)
+                ahead = at.setdefault(i + used, {})
+                known = ahead.get(context)
                 if known is None or total > known[0]:
-                    at[i + used][context] = (total, i, state, letters)
+                    ahead[context] = (total, i, state, letters)
     last = at[len(text)]
     end = lambda c: 0.0 if c[-1:] == b" " else language.log_p(c, _SPACE)
     state = max(last, key=lambda c: (last[c][0] + end(c), c))
-    parts, i = [], len(text)
-    while i:
+    done += _read_back(at, len(text), state, fixed)
+    return " ".join("".join(done).split())
+
+
+def _read_back(at: dict, i: int, state: bytes, stop: int) -> list[str]:
+    """Letters of the best reading from position ``stop`` to a state at ``i``."""
+    parts = []
+    while i > stop:
         _, before, previous, letters = at[i][state]
         parts.append(letters)
         i, state = before, previous
-    return " ".join("".join(reversed(parts)).split())
+    return parts[::-1]
+
+
+def _fix(at: dict, i: int, fixed: int, done: list[str]) -> int:
+    """Move ``fixed`` on to the last state that the readings of all states from ``i`` on go through."""
+    open_ = {k: set(states) for k, states in at.items() if k >= i}
+    for k in range(max(open_), fixed, -1):
+        states = open_.pop(k, None)
+        if not states:
+            continue
+        if len(states) == 1 and not open_:
+            state = states.pop()
+            done += _read_back(at, k, state, fixed)
+            for before in [p for p in at if p < k]:
+                del at[before]
+            return k
+        for state in states:
+            _, before, previous, _ = at[k][state]
+            open_.setdefault(before, set()).add(previous)
+    return fixed
 
 
 _SIGN = np.zeros(256, bool)
@@ -292,12 +336,15 @@ class Restorer:
     def __init__(self, language: Language):
         self.language = language
         self.known: dict[bytes, str] = {}
+        self.size = 0
 
     def __call__(self, span: bytes) -> str:
         out = self.known.get(span)
         if out is None:
-            if len(self.known) > 200_000:
+            if self.size > _REMEMBERED_BYTES:
                 self.known.clear()
+                self.size = 0
+            self.size += 2 * len(span) + _ENTRY_BYTES
             text = span.decode("utf-8", "replace")
             out = restore(" ".join(text.split()), self.language)
             if out == " ".join(plain(np.frombuffer(text.encode(), np.uint8)).tobytes().decode("utf-8", "replace").split()):
