@@ -151,16 +151,33 @@ def leaderboard(
     frequencies: Iterable[str] = LEADERBOARD_FREQUENCIES,
     dataset: str = DATASET,
 ) -> DataFrame:
-    """The complete, unsorted leaderboard.
+    """The complete, unsorted leaderboard."""
+    scored = settle(stratum_scores(metrics, sparsity, zero_model, floor, frequencies, dataset), "scaled")
+    return from_strata(scored, zero_model, dataset)
 
-    The long scores and the stratum results are staged: the grid's dimensions,
-    the scores and the denominators are then read from tables of a few rows per
-    stratum and not recomputed from the metrics. Every stratum with a denominator
-    has zero-model rows, which carry it.
+
+def stratum_scores(
+    metrics: DataFrame,
+    sparsity: DataFrame,
+    zero_model: str = ZERO_MODEL,
+    floor: float = DENOM_FLOOR,
+    frequencies: Iterable[str] = LEADERBOARD_FREQUENCIES,
+    dataset: str = DATASET,
+) -> DataFrame:
+    """Scaled score of every stratum and model. Those of one frequency and cutoff depend on its own metrics only.
+
+    The long scores are staged, as medians and denominators read them.
     """
     long = settle(raw_long(metrics, sparsity, frequencies, dataset), "long-scores")
-    denominators = zero_denominators(long, zero_model, floor)
-    scored = settle(scaled_scores(stratum_medians(long), denominators), "scaled")
+    return scaled_scores(stratum_medians(long), zero_denominators(long, zero_model, floor))
+
+
+def from_strata(scored: DataFrame, zero_model: str = ZERO_MODEL, dataset: str = DATASET) -> DataFrame:
+    """Leaderboard of stored stratum scores, which have a few rows per stratum.
+
+    The grid's dimensions, the scores and the denominators all come from them; every stratum with a denominator has
+    zero-model rows, which carry it.
+    """
     stored = scored.where(F.col("model") == zero_model)
     stored = stored.select(*STRATUM, "median_zero", "pct_z", "denom").distinct()
     return complete_grid(full_grid(scored, dataset), scored, stored)

@@ -396,8 +396,57 @@ class Benchmark:
         key = cal.hour_key(F.col("cutoff").cast("timestamp"))
         return self.table("metrics").withColumn("cutoff", key).select(*evaluation.METRIC_COLUMNS)
 
+    def _metric_files(self) -> DataFrame:
+        """Per frequency and cutoff of the metrics: a checksum of the names of its files, which change with every write."""
+        files = self.spark.read.format("binaryFile").load(self.path("metrics"))
+        name = F.hash(F.regexp_extract("path", "([^/]*/[^/]*)$", 1)).cast("long")
+        return files.groupBy("frequency", F.col("cutoff").cast("timestamp").alias("cutoff")).agg(
+            F.sum(name).alias("files"), F.count("*").alias("n_files")
+        )
+
+    def changed_strata(self) -> DataFrame:
+        """Frequencies and cutoffs whose metrics were written or dropped since the leaderboard was last built.
+
+        With another sparsity table it is all of them.
+        """
+        now = self._metric_files()
+        schema = "frequency STRING, cutoff TIMESTAMP, files BIGINT, n_files BIGINT"
+        before = tables.read_table(self.spark, self.path("leaderboard_state/keys"), schema)
+        keys = ["frequency", "cutoff"]
+        digest = tables.read_table(self.spark, self.path("leaderboard_state/sparsity"), "digest BIGINT")
+        same = digest.join(self._sparsity_digest(), "digest", "left_semi").count()
+        if not same:
+            return now.select(*keys).unionAll(before.select(*keys)).distinct()
+        kept = now.join(before, now.columns, "left_semi").select(*keys)
+        return now.select(*keys).unionAll(before.select(*keys)).distinct().join(kept, keys, "left_anti")
+
+    def _sparsity_digest(self) -> DataFrame:
+        rows = self.table("sparsity").select(F.xxhash64("unique_id", "sparsity_level").alias("h"))
+        return rows.agg(F.coalesce(F.bit_xor("h"), F.lit(0).cast("long")).bitwiseXOR(F.count("*")).alias("digest"))
+
     def build_leaderboard(self) -> DataFrame:
-        """Store the sorted leaderboard; returns its gap counts."""
-        result = board.leaderboard(self.metrics(), self.table("sparsity"))
+        """Store the sorted leaderboard; returns its gap counts.
+
+        Only the strata of changed cutoffs are computed, from metrics pruned to them; the others are read from the last
+        build. The grid spans the names of all strata, so a new model also shows in the old cutoffs.
+        """
+        changed = settle(self.changed_strata(), "changed-strata")
+        state = settle(self._metric_files(), "leaderboard-state")
+        by_frequency: dict[str, list] = {}
+        for r in changed.select("frequency", cal.hour_key(F.col("cutoff")).alias("key")).toLocalIterator():
+            by_frequency.setdefault(r.frequency, []).append(cal.cutoff_value(r.key))
+        if by_frequency:
+            wanted = F.lit(False)
+            for name, cutoffs in by_frequency.items():  # literals on partition columns
+                wanted |= (F.col("frequency") == name) & F.col("cutoff").cast("timestamp").isin(cutoffs)
+            key = cal.hour_key(F.col("cutoff").cast("timestamp"))
+            metrics = self.table("metrics").where(wanted).withColumn("cutoff", key)
+            scored = board.stratum_scores(metrics.select(*evaluation.METRIC_COLUMNS), self.table("sparsity"))
+            scored = scored.withColumn("cutoff", cal.parse_cutoff(F.col("cutoff")))
+            tables.write_partitions(scored, self.path("strata"), ["frequency", "cutoff"], wanted=changed)
+            tables.write_table(state, self.path("leaderboard_state/keys"))
+            tables.write_table(self._sparsity_digest(), self.path("leaderboard_state/sparsity"))
+        key = cal.hour_key(F.col("cutoff").cast("timestamp"))
+        result = board.from_strata(settle(self.table("strata").withColumn("cutoff", key), "strata"))
         tables.write_sorted(result, self.path("leaderboard"), board.SORT_KEYS)
         return board.leaderboard_gaps(self.table("leaderboard"))

@@ -542,6 +542,7 @@ def _bodies() -> dict[str, str]:
     monthly = lambda panel, cutoffs, window: _history("monthly", cutoffs, window).replace("JOIN monthly p", f"JOIN {panel} p")
     b |= stored.bodies(METRIC_CASE, _stats, _round, monthly)
     b["stored_forecasts"] = b["forecast_backtest"]
+    b["incremental_leaderboard"] = b["leaderboard"]
     model, cutoff = stored.RESCORED
     b["rescored_metrics"] = f"SELECT * FROM ({b['evaluate_metrics']}) WHERE NOT (model = '{model}' AND cutoff = '{cutoff}-00')"
     return b
