@@ -8,6 +8,7 @@ joins per cutoff, percentiles and tiles are the built-in functions.
 from __future__ import annotations
 
 from panelspark.constants import LEVELS, z_score
+from panelspark.plans import layer_queries as layers
 from panelspark.plans import sample_queries as q
 from panelspark.plans import stored_queries as stored
 
@@ -542,6 +543,7 @@ def _bodies() -> dict[str, str]:
     monthly = lambda panel, cutoffs, window: _history("monthly", cutoffs, window).replace("JOIN monthly p", f"JOIN {panel} p")
     b |= stored.bodies(METRIC_CASE, _stats, _round, monthly)
     b["stored_forecasts"] = b["forecast_backtest"]
+    b |= layers.bodies()
     b["incremental_leaderboard"] = b["leaderboard"]
     model, cutoff = stored.RESCORED
     b["rescored_metrics"] = f"SELECT * FROM ({b['evaluate_metrics']}) WHERE NOT (model = '{model}' AND cutoff = '{cutoff}-00')"

@@ -149,7 +149,8 @@ def stored_hours(s: q.Sample) -> DataFrame:
     source = scratch_path(s.spark, "archive")
     _write_archive(s, source)
     bench = _benchmark(s)
-    bench.refresh_raw(source, "2024-01-05-00", "2024-01-09-23")
+    row = s.hours().agg(cal.hour_key(F.min("hour")).alias("low"), cal.hour_key(F.max("hour")).alias("high")).first()
+    bench.refresh_raw(source, row.low, row.high)
     return bench.stored_hours()
 
 
@@ -261,13 +262,15 @@ def file_ledger(s: q.Sample) -> DataFrame:
     days = q.settle(days.withColumns(parts).withColumn("k", F.dayofmonth("date") % 4), "days")
     full = s.activity().select(F.to_date("event_hour").alias("date"), "repo_id").join(days.where("k = 0"), "date")
     full.select("repo_id", *parts).repartition(1).write.partitionBy(*parts).parquet(root)
+    for row in days.where("k = 1").select(cal.partition_path(F.col("date").cast("timestamp"), "daily").alias("folder")).toLocalIterator():
+        s.spark.createDataFrame([], "repo_id BIGINT").coalesce(1).write.parquet(f"{root}/{row.folder}")
     odd = days.where("k = 2").select(F.lit("not parquet").alias("value"), *parts)
     odd.repartition(1).write.mode("append").partitionBy(*parts).text(root)
     found = s.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     date = F.make_date(*[F.regexp_extract("path", f"{p}=(\\d+)", 1).cast("int") for p in ("year", "month", "day")])
     uri = root if ":" in root else f"file:{root}"
     absent = F.concat(F.lit(f"{uri}/"), F.col("date").cast("string"), F.lit("/none.parquet"))
-    files = days.where("k <> 1").join(found.select(date.alias("date"), "path"), "date", "left")
+    files = days.join(found.select(date.alias("date"), "path"), "date", "left")
     files = files.select(F.col("date").cast("string").alias("key"), F.coalesce("path", absent).alias("path"))
     return quality.validate_files(files).select("key", "status", "num_rows")
 
@@ -329,7 +332,7 @@ def bodies(metric_case: str, stats, rounded, history) -> dict[str, str]:
     b["replaced_hour_series"] = _series(f"SELECT * FROM kept WHERE hour <> {REPLACED_HOUR} OR event_hour NOT IN (SELECT event_hour FROM raw WHERE event_type = 'ErrorEvent')").format(case=metric_case)
     b["stored_hours"] = """SELECT event_hour AS hour,
         count_if(event_type IN ('WatchEvent', 'PullRequestEvent', 'IssuesEvent', 'PushEvent'))::BIGINT AS num_rows
-      FROM raw WHERE event_hour >= TIMESTAMP '2024-01-05' AND event_hour < TIMESTAMP '2024-01-10' GROUP BY 1"""
+      FROM raw WHERE event_hour BETWEEN (SELECT min(hour) FROM hours) AND (SELECT max(hour) FROM hours) GROUP BY 1"""
     b["refused_forecasts"] = f"""SELECT model, cutoff,
         CASE WHEN found = {q.DAILY_WINDOW} THEN 'ok' ELSE 'missing_history' END AS status
       FROM (SELECT unnest(['zero_model', 'historic_average']) AS model) CROSS JOIN (
@@ -349,9 +352,8 @@ def bodies(metric_case: str, stats, rounded, history) -> dict[str, str]:
         CASE n WHEN 4 THEN NULL WHEN 5 THEN 3 WHEN 6 THEN 1 ELSE 2 END::INTEGER AS push_distinct_size FROM raw)
       WHERE n NOT IN (0, 3, 7, 8)"""
     b["file_ledger"] = """SELECT strftime(day, '%Y-%m-%d') AS key,
-        CASE WHEN k = 0 AND n > 0 THEN 'ok' WHEN k = 2 THEN 'unreadable' ELSE 'missing' END AS status,
+        CASE WHEN k = 0 AND n > 0 THEN 'ok' WHEN k = 1 THEN 'empty' WHEN k = 2 THEN 'unreadable' ELSE 'missing' END AS status,
         CASE WHEN k = 0 THEN coalesce(n, 0) ELSE 0 END::BIGINT AS num_rows
       FROM (SELECT DISTINCT CAST(hour AS DATE) AS day, day(CAST(hour AS DATE)) % 4 AS k FROM hours)
-      LEFT JOIN (SELECT CAST(event_hour AS DATE) AS day, count(DISTINCT (repo_id, event_hour)) AS n FROM kept GROUP BY 1) USING (day)
-      WHERE k <> 1"""
+      LEFT JOIN (SELECT CAST(event_hour AS DATE) AS day, count(DISTINCT (repo_id, event_hour)) AS n FROM kept GROUP BY 1) USING (day)"""
     return b
