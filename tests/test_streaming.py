@@ -5,7 +5,7 @@ from helpers import rows, utc
 from pyspark.sql import functions as F
 
 from panelspark.operators import series
-from panelspark.streaming import hourly
+from panelspark.streaming import completeness, hourly
 
 
 def event(i, repo=1, kind="PushEvent"):
@@ -65,3 +65,43 @@ def test_entity_filter_and_windows(spark, tmp_path):
     found = hourly.read_streamed(spark, str(tmp_path / "out"))
     batch = series.hourly_activity(df.withColumn("event_hour", F.date_trunc("hour", "ts")), only)
     assert rows(found) == rows(batch) != []
+
+
+def test_events_sent_again_count_once(spark, tmp_path):
+    schema = "event_id STRING, repo_id BIGINT, event_type STRING, action STRING, ts TIMESTAMP"
+    src, out, state = (str(tmp_path / name) for name in ("live-src", "live-out", "live-state"))
+
+    def send(*events):
+        data = [(i, 1, "PushEvent", None, utc(f"2024-01-0{d}T{h:02d}:{m:02d}:00")) for i, d, h, m in events]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        hourly.stream_live(stream, out, state).awaitTermination()
+        return rows(spark.read.parquet(out).select(F.hour("event_hour"), "pushes", "n_events"))
+
+    assert send(("a", 1, 0, 5), ("a", 1, 0, 5), ("b", 1, 0, 50), ("c", 1, 4, 0)) == [(0, 2, 2)]
+    # Sent again within the watermark, and too late to count.
+    assert send(("c", 1, 4, 0), ("d", 1, 4, 10), ("late", 1, 0, 1), ("e", 1, 9, 0)) == [(0, 2, 2), (4, 2, 2)]
+
+
+def test_periods_are_gated_by_their_hours(spark, tmp_path):
+    src = str(tmp_path / "hours")
+
+    def send(*hours):
+        data = [(utc(f"2024-01-{d:02d}T{h:02d}:00:00"),) for d, h in hours]
+        spark.createDataFrame(data, "hour TIMESTAMP").coalesce(1).write.mode("append").parquet(src)
+        found = []
+
+        def keep(batch, number):
+            found.extend((r.day, r.found_hours, r.status) for r in batch.select(F.dayofmonth(F.date_from_unix_date(F.col("idx").cast("int"))).alias("day"), "found_hours", "status").collect())
+
+        (
+            completeness.gate_periods(spark.readStream.schema("hour TIMESTAMP").parquet(src), "daily", grace="1 day").writeStream
+            .foreachBatch(keep).option("checkpointLocation", str(tmp_path / "gate")).trigger(availableNow=True).start().awaitTermination()
+        )
+        return sorted(found)
+
+    day = lambda d, n: [(d, h) for h in range(n)]
+    assert send(*day(1, 21), *day(2, 22)) == [(2, 22, "complete")]  # 90 % of 24 hours are 22
+    assert send((1, 22), (1, 22), *day(3, 20)) == [(1, 22, "complete")]
+    assert send((3, 20), *day(5, 3)) == [(3, 21, "refused")]  # the watermark passes the end of the third day
+    assert send((4, 5), *day(6, 24)) == [(4, 1, "refused"), (6, 24, "complete")]
