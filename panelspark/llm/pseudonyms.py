@@ -300,7 +300,8 @@ def _card_spans(text: str) -> list[tuple[int, int]]:
         groups = [(run.start() + g.start(), run.start() + g.end()) for g in re.finditer("[0-9]+", run[0])]
         for i, (begin, _) in enumerate(groups):
             sizes = []
-            for a, b in groups[i:]:
+            for j in range(i, len(groups)):
+                a, b = groups[j]
                 sizes.append(b - a)
                 if sum(sizes) > 19:
                     break

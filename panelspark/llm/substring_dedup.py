@@ -272,11 +272,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     The last two list the maximal repeats by word, begin included and end not.
     """
     ship_functions(docs.sparkSession)
-    # Whether a seed, run or window repeats holds for all rows, so rows that share a key (repeated or
-    # null ids) only see longer lists.
+    # Whether a seed, run or window repeats holds for all rows, so rows that share a key would only see longer lists. Rows
+    # without an id, or with a repeated one, differ by their text; equal rows have the same lists anyway.
     base = docs.select(
         column(docs, "text").alias("text"),
-        F.xxhash64(column(docs, "doc_id")).alias("row_key"),
+        F.xxhash64(column(docs, "doc_id"), column(docs, "text")).alias("row_key"),
         column(docs, "doc_id").cast("long").alias("doc_id"),
     )
     scan = base.select("text", "row_key")

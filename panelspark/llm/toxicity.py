@@ -500,13 +500,16 @@ def _hits(text: Column, language: Language, weights: np.ndarray, kind: str, use)
     return quality_gam.by_text(text, kind, run)
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the probability that a text is toxic."""
+def score(docs: DataFrame, model: Model) -> Column:
+    """Probability that a text of ``docs`` is toxic, as a column."""
     ship_functions(docs.sparkSession)
     hits = model.hits
-    return docs.withColumn(
-        name, _hits(column(docs, "text"), model.language, model.weights, "double", lambda x: quality_gam.score(hits, x))
-    )
+    return _hits(column(docs, "text"), model.language, model.weights, "double", lambda x: quality_gam.score(hits, x))
+
+
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the probability that a text is toxic."""
+    return docs.withColumn(name, score(docs, model))
 
 
 def with_restored(docs: DataFrame, language: Language, name: str = "restored") -> DataFrame:

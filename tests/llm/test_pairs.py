@@ -190,3 +190,14 @@ def test_words_and_shingles():
     ]
     one = arrays.shingles(pa.array(["x a b c d e", "", "a b c d e y"]), 5)[1]
     assert one[1] == one[2] and len({*one.tolist()}) == 3
+
+
+def test_many_rows_without_id(spark):
+    """5,000 rows without id do not share their lists of seeds."""
+    rng = random.Random(8)
+    passage = sentence(rng, 40)
+    docs = [(None, f"{sentence(rng, 20)} {passage if k % 3 == 0 else sentence(rng, 40)} end{k}", "en", "a", None) for k in range(5_000)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert len(found) == 5_000 and all(r.doc_id is None for r in found)
+    gone = [r.n_removed for r in found if r.n_removed]
+    assert len(gone) == len(range(0, 5_000, 3)) and min(gone) == 40

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -144,6 +145,15 @@ def test_long_number_lists_take_linear_time():
     text = " ".join(str(k) for k in range(1000, 9000)) + " " + "AB12 " * 8000
     assert undo(pseudonym(text)) == text
 
+    def seconds(n):
+        long = " ".join(str(1000 + k % 9000) for k in range(n))
+        start = time.perf_counter()
+        pseudonym(long)
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    assert min(seconds(40_000) for _ in range(2)) < 6 * min(seconds(10_000) for _ in range(3))
+
 
 def test_dates_are_linked_over_formats():
     days = [dt.date(1999, 1, 1) + dt.timedelta(k) for k in range(400)]
