@@ -2,6 +2,10 @@
 
 Each stage is written as a table in the shared folder and read again by the next one, so a lost executor costs no
 earlier stage. Every stage works on all rows its predecessor kept.
+
+Defined results: null and empty texts are not toxic and are near duplicates of each other, so one of them stays, has no
+pieces, and is in the result if the mix takes it. Repeated rows are near duplicates, and one of them stays. Without labels nothing is rejected.
+Other columns go through all stages but the last, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; without labels it rejects none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, quality_gam.folds(F.col("doc_id"), 5) != 0)
-    return toxicity.with_score(docs, model, "__toxic").where("__toxic <= 0.5").drop("__toxic")
+    return docs.where(toxicity.score(docs, model) <= 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
