@@ -284,9 +284,10 @@ def evaluate(
     status = key_status(scores, expected, on_unmatched)
     status = settle(status, "key-status")
     if strict:
-        failed = status.where("status <> 'ok'").select("model", "cutoff", "status").limit(10).collect()
-        if failed:
-            raise ValueError(f"Evaluation failed for {[tuple(r) for r in failed]}")
+        bad = status.where("status <> 'ok'")
+        row = bad.agg(F.count("*").alias("n"), F.min(F.struct("cutoff", "model", "status")).alias("first")).first()
+        if row.n:
+            raise ValueError(f"Evaluation failed for {row.n} keys, the first of them {tuple(row.first)}")
     passed = status.where("status = 'ok'").select(*KEY)
     metrics = scores.where("n_matched > 0").join(passed, KEY, "left_semi").select(
         "unique_id",

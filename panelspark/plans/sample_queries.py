@@ -45,6 +45,7 @@ MONTHLY_WINDOW = 24
 HOURLY_WINDOW = 168
 HOURLY_STATS_WINDOW = 168
 OWN_STEP = 5
+GUARD_CUTOFFS = (*EDGE_CUTOFFS, "2024-01-30")
 RENAMED_AT = "2024-01-16-06"
 SELECTION = {
     "year": 2024,
@@ -641,6 +642,27 @@ def _early(s: Sample) -> tuple[DataFrame, DataFrame]:
     return evaluation.evaluate(rows, s.panel("daily"), EARLY_CUTOFFS, "daily", EARLY_WINDOW)
 
 
+@_query
+def guard_status(s: Sample) -> DataFrame:
+    """Status of keys whose forecasts are spoilt in different ways, and of cutoffs at the ends of the data."""
+    rows = s.backtest("daily", GUARD_CUTOFFS, DAILY_WINDOW)
+    day = F.expr("INTERVAL 1 DAY")
+    key = lambda model, cutoff: (F.col("model") == model) & (cal.hour_key(F.col("cutoff")) == f"{cutoff}-00")
+    first, second = DAILY_CUTOFFS
+    next_day = F.col("ds") == F.col("cutoff") + day
+    lost = F.col("unique_id") == rows.select(F.min("unique_id")).scalar()
+    rows = rows.where(~(key("historic_average", second) & lost))
+    changes = {"ds": F.when(key("zero_model", first) & next_day, F.col("cutoff") - day).otherwise(F.col("ds"))}
+    for level in scoring.quantile_levels(rows.columns):
+        name = scoring.quantile_column(level)
+        gone = key("historic_average", first)
+        if level == 50:
+            gone |= next_day & (key("seasonal_naive", first) | (key("seasonal_naive", second) & lost))
+        changes[name] = F.when(~gone, F.col(name))
+    _, status = evaluation.evaluate(rows.withColumns(changes), s.panel("daily"), GUARD_CUTOFFS, "daily", DAILY_WINDOW)
+    return status.select("model", "cutoff", "status")
+
+
 @_query
 def guard_nulls(s: Sample) -> DataFrame:
     _, status = _early(s)

@@ -176,6 +176,7 @@ _add_backtest("d", "daily", q.DAILY_CUTOFFS, q.DAILY_WINDOW)
 _add_backtest("w", "weekly", q.WEEKLY_CUTOFFS, q.WEEKLY_WINDOW)
 _add_backtest("m", "monthly", q.MONTHLY_CUTOFFS, q.MONTHLY_WINDOW)
 _add_backtest("h", "hourly", q.DAILY_CUTOFFS, q.HOURLY_WINDOW)
+_add_backtest("g", "daily", q.GUARD_CUTOFFS, q.DAILY_WINDOW)
 _add_backtest("e", "daily", q.EARLY_CUTOFFS, q.EARLY_WINDOW, ("zero_model", "historic_average"))
 
 RELATIONS["own_cuts"] = f"""
@@ -506,6 +507,27 @@ def _bodies() -> dict[str, str]:
     b["evaluate_metrics"] = _round(metric, "d_scores", "mase, scaled_crps")
     b["guard_leakage"] = """SELECT model, model_alias, cutoff, min(ds) AS min_ds, min(ds) < cutoff AS leaks
       FROM d_fc GROUP BY model, model_alias, cutoff"""
+    first, second = (f"TIMESTAMP '{c} 00:00:00'" for c in q.DAILY_CUTOFFS)
+    gone = f"model = 'historic_average' AND cutoff = {first}"
+    some = f"""ds = cutoff + INTERVAL 1 DAY AND model = 'seasonal_naive'
+          AND (cutoff = {first} OR cutoff = {second} AND unique_id = (SELECT min(unique_id) FROM daily))"""
+    spoilt = ", ".join(f"CASE WHEN {gone}{f' OR {some}' if p == 50 else ''} THEN NULL ELSE q_{p} END AS q_{p}" for p in LEVELS)
+    nulls = " OR ".join(f"q_{p} IS NULL" for p in LEVELS)
+    b["guard_status"] = f"""SELECT model, cutoff, CASE WHEN min_ds < cutoff THEN 'leakage' WHEN n_past < {q.DAILY_WINDOW} THEN 'missing_history'
+        WHEN n_actual = 0 THEN 'no_actuals' WHEN n_next < 7 THEN 'missing_actuals' WHEN n_quantiled = 0 THEN 'no_quantiles'
+        WHEN n_matched < n_actual OR n_fill > 0 AND n_fill >= 0.05 * (n_rows + n_actual - n_matched) THEN 'null_values' ELSE 'ok' END AS status
+      FROM (
+        SELECT model, f.cutoff, min(f.ds) AS min_ds, count(a.y) AS n_matched, count(a.y) AS n_rows,
+          count_if(coalesce({", ".join(f"q_{p}" for p in LEVELS)}) IS NOT NULL) AS n_quantiled,
+          count_if(a.y IS NOT NULL AND yhat IS NOT NULL AND ({nulls})) AS n_fill
+        FROM (SELECT * REPLACE (CASE WHEN model = 'zero_model' AND cutoff = {first} AND ds = cutoff + INTERVAL 1 DAY
+              THEN cutoff - INTERVAL 1 DAY ELSE ds END AS ds, {spoilt}) FROM g_fc
+            WHERE NOT (model = 'historic_average' AND cutoff = {second} AND unique_id = (SELECT min(unique_id) FROM daily))) f
+        LEFT JOIN g_act a ON a.cutoff = f.cutoff AND a.unique_id = f.unique_id AND a.ds = f.ds GROUP BY ALL)
+      JOIN (SELECT c.cutoff, count(DISTINCT CASE WHEN d.ds <= c.cutoff THEN d.ds END) AS n_past,
+          count(DISTINCT CASE WHEN d.ds > c.cutoff THEN d.ds END) AS n_next, count_if(d.ds > c.cutoff) AS n_actual
+        FROM (SELECT unnest([{_stamps(q.GUARD_CUTOFFS)}]) AS cutoff) c
+        LEFT JOIN daily d ON d.ds > c.cutoff - INTERVAL {q.DAILY_WINDOW} DAY AND d.ds <= c.cutoff + INTERVAL 7 DAY GROUP BY 1) USING (cutoff)"""
     b["guard_nulls"] = """SELECT model, a.cutoff, count(*) AS n_actual, count(f.yhat) AS n_matched,
         count(*) - count(f.yhat) AS n_unmatched,
         CASE WHEN count(*) > count(f.yhat) THEN 'null_values'
