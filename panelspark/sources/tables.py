@@ -112,9 +112,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Read a table; without one, an empty frame if a schema is given, else an error."""
+    """Read a table; without one, an empty frame if a schema is given, else an error.
+
+    With a schema no footer is read to infer one.
+    """
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as error:
         if schema is None:
             raise FileNotFoundError(f"No table at {path}") from error

@@ -125,6 +125,22 @@ def test_pandas_models(panel, models):
     assert spread.q_90 == pytest.approx(sum(A) / 14 + NormalDist().inv_cdf(0.9) * pstdev(A))
 
 
+def test_one_shuffle_for_all_cutoffs(panel, models):
+    """Windows are cut in the task: the plan is the same for one cutoff and for ten."""
+    days = [f"2026-01-{d:02d}" for d in range(5, 15)]
+    plans = [fc.forecast_pandas(panel, c, "daily", "point", window=3)._jdf.queryExecution().executedPlan().toString() for c in (days[:1], days)]
+    assert all(p.count("Exchange") == 1 and "Generate" not in p and "Join" not in p for p in plans)
+    found = {(r.unique_id, r.cutoff.day): r.yhat for r in fc.forecast_pandas(panel, days, "daily", "point", window=3).collect()}
+    assert found == {("a:x", d): A[d - 1] for d in range(5, 15)} | {("b:x", d): B[d - 1] for d in range(11, 15)}
+
+
+def test_pandas_model_on_cutoffs_of_each_series(spark, panel, models):
+    own = [("a:x", dt.datetime(2026, 1, 7, tzinfo=dt.timezone.utc)), ("b:x", dt.datetime(2026, 1, 13, tzinfo=dt.timezone.utc)), ("c:x", dt.datetime(2026, 1, 13, tzinfo=dt.timezone.utc))]
+    cutoffs = spark.createDataFrame(own, "unique_id STRING, cutoff TIMESTAMP")
+    found = fc.forecast_pandas(panel, cutoffs, "daily", "point", h=2, window=14).collect()
+    assert sorted((r.unique_id, r.cutoff.day, r.ds.day, r.yhat) for r in found) == [("a:x", 7, 8, 9.0), ("a:x", 7, 9, 9.0), ("b:x", 13, 14, 7.0), ("b:x", 13, 15, 7.0)]
+
+
 def test_model_file(panel):
     df = fc.forecast_native(panel, CUTOFF, "daily", ["zero_model", "historic_average"], window=14)
     wide = fc.to_model_file(df, "historic_average")

@@ -18,6 +18,23 @@ def test_percent_rank(spark):
     assert ranking.count_percent_rank(one, "stars", "r").first().r == 0.0
 
 
+def test_running_total_over_ranges(spark):
+    """No task sees all rows, and every range starts where the one before ended."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(3 * k, k % 5) for k in range(1000)], "v BIGINT, n BIGINT").repartition(3)
+        placed, total = ranking.running_total(df, "v", "n", "below")
+        assert total == sum(k % 5 for k in range(1000))
+        found = {r.v: r.below for r in placed.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert found == {3 * k: sum(j % 5 for j in range(k)) for k in range(1000)}
+    assert "SinglePartition" not in placed._jdf.queryExecution().executedPlan().toString()
+    nothing, total = ranking.running_total(df.limit(0), "v", "n", "below")
+    assert nothing.collect() == [] and total == 0
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 500])
 def test_ntile(spark, size):
     rng = random.Random(size)

@@ -79,6 +79,53 @@ def test_rolling_stats_of_fractions(spark):
         assert all(found["b"][n] == pytest.approx(same[n]) for n in ("mean_y", "sd_y", "mean_abs_diff", "sd_season"))
 
 
+def test_fractions_beside_large_numbers_and_gaps(spark):
+    """Sums over blocks lose no digits to values outside the window, and gaps leave periods out."""
+    rng = random.Random(4)
+    day = dt.datetime(2026, 1, 1, tzinfo=cal.UTC)
+    days = sorted(rng.sample(range(200), 120))
+    values = {d: (1e15 if d < 60 else 1e6) + rng.random() for d in days}
+    panel = spark.createDataFrame([("a", day + dt.timedelta(d), y) for d, y in values.items()], "unique_id STRING, ds TIMESTAMP, y DOUBLE")
+    at = [d for d in days if d >= 90][::5]
+    for w in (2, 7, 30):
+        stats = windows.rolling_stats(panel, [day + dt.timedelta(d) for d in at], "daily", w, 1, 3).collect()
+        found = {(r.cutoff.date() - day.date()).days: r for r in stats}
+        for d in at:
+            inside = [values[k] for k in days if d - w < k <= d]
+            assert found[d].n_obs == len(inside)
+            assert found[d].mean_y == pytest.approx(statistics.mean(inside), rel=1e-12)
+            spread = statistics.stdev(inside) if len(inside) > 1 else 0.0
+            assert found[d].sd_y == pytest.approx(spread, rel=1e-6, abs=1e-9)
+
+
+def test_fraction_plan_does_not_grow_with_the_window(spark, fortnight):
+    """One shuffle by series, and frames that only grow."""
+    panel = fortnight.withColumn("y", F.col("y") / 3)
+    plans = [windows.rolling_stats(panel, ["2026-01-10"], "daily", w)._jdf.queryExecution().executedPlan().toString() for w in (8, 500)]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1]
+    assert all("RangeFrame, -" not in p for p in plans)
+
+
+def test_cutoffs_of_each_series(spark, fortnight):
+    """A frame by series gives what lists give for its series."""
+    mine = {"repo_a:stars": ["2026-01-05", "2026-01-10"], "repo_b:stars": ["2026-01-10", "2026-01-14"]}
+    ids = {r.unique_id for r in fortnight.select("unique_id").distinct().collect()}
+    mine = {k: v for k, v in zip(sorted(ids), mine.values())}
+    data = [(uid, cal.cutoff_value(c)) for uid, cutoffs in mine.items() for c in cutoffs]
+    own = spark.createDataFrame(data, "unique_id STRING, cutoff TIMESTAMP")
+    for run in (
+        lambda c: windows.history(fortnight, c, "daily", 7),
+        lambda c: windows.actuals(fortnight, c, "daily", 3),
+        lambda c: windows.rolling_stats(fortnight, c, "daily", 5).drop("tail"),
+    ):
+        expected = [r for uid, cutoffs in mine.items() for r in rows(run(cutoffs).where(F.col("unique_id") == uid))]
+        assert sorted(rows(run(own)), key=repr) == sorted(expected, key=repr) != []
+    plan = windows.history(fortnight, own, "daily", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError, match="single series"):
+        windows.alignment(fortnight, own, "daily", 7)
+
+
 def brute(values, w, m, s):
     """Window statistics of the last ``w`` of a list of observations."""
     ys = values[-w:]
