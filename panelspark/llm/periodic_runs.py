@@ -38,9 +38,10 @@ from panelspark.llm.tasks import column, ship_functions, slices
 
 LEAST_POWER = 4
 LEAST_WORDS = 6
-# Prime of the transform and a generator of its units; 2**23 divides PRIME - 1, so blocks may have 2**22 words.
+# Prime of the transform and a generator of its units; 2**23 divides PRIME - 1, so one transform takes blocks of 2**22 words.
 PRIME = 998_244_353
 _GENERATOR = 3
+_WIDEST = 1 << 22
 _DIRECT = 16
 # Numbers that one transform holds at once.
 _AT_ONCE = 1 << 19
@@ -107,6 +108,21 @@ def mismatches(blocks: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return (own + other + 2 * (p - product)) % p
 
 
+def _block_mismatches(ids: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Sums of squared differences of blocks with the words ``size`` to ``2 * size - 1`` behind them.
+
+    Blocks wider than a transform are summed over parts, each at all distances.
+    """
+    part = min(size, _WIDEST)
+    out = np.zeros((len(first), size), np.uint64)
+    for begin in range(0, size, part):
+        blocks = ids[(first + begin)[:, None] + np.arange(part)]
+        for offset in range(0, size, part):
+            windows = ids[(first + begin + size + offset)[:, None] + np.arange(2 * part)]
+            out[:, offset : offset + part] += mismatches(blocks, windows)
+    return out % np.uint64(PRIME)
+
+
 def _zeros(ids: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Blocks (by place in ``first``) and distances in ``[size, 2 * size)`` without a mismatch."""
     span = np.arange(size)
@@ -119,11 +135,9 @@ def _zeros(ids: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, n
             distance.append(np.full(len(hit), d))
         return np.concatenate(block), np.concatenate(distance)
     block, distance = [], []
-    wide, rows = np.arange(2 * size), max(_AT_ONCE // (2 * size), 1)
+    rows = max(_AT_ONCE // (2 * size), 1)
     for k in range(0, len(first), rows):
-        some = first[k : k + rows, None]
-        zero = mismatches(ids[some + span], ids[some + size + wide]) == 0
-        b, d = np.nonzero(zero)
+        b, d = np.nonzero(_block_mismatches(ids, first[k : k + rows], size) == 0)
         block.append(b + k)
         distance.append(d + size)
     none = np.zeros(0, np.int64)

@@ -180,10 +180,11 @@ def repeating(rng):
     return words
 
 
-@pytest.mark.parametrize("direct", [2, 16])
-def test_runs_match_brute_force(monkeypatch, direct):
-    """With the transform at nearly all scales, and with short blocks compared as they are."""
+@pytest.mark.parametrize("direct, widest", [(2, 1 << 22), (16, 1 << 22), (2, 8)])
+def test_runs_match_brute_force(monkeypatch, direct, widest):
+    """With the transform at nearly all scales, with short blocks compared as they are, and with blocks in parts."""
     monkeypatch.setattr(periodic_runs, "_DIRECT", direct)
+    monkeypatch.setattr(periodic_runs, "_WIDEST", widest)
     rng = random.Random(direct)
     for _ in range(30):
         docs = [repeating(rng) for _ in range(6)]
