@@ -144,8 +144,7 @@ class Benchmark:
         freqs = list(freqs)
 
         def write(batch: DataFrame, number: int) -> None:
-            good, bad = archive.split_bad_hours(batch)
-            files = batch.select(F.col("archive_hour").alias("hour")).distinct()
+            good, bad, files = archive.stage_hours(batch)  # a batch is computed anew at each use, so it is used once
             hours = self._store_hours(archive.with_hour_parts(good), files, bad)
             if not self.has("entities") or hours.isEmpty():
                 return

@@ -150,10 +150,23 @@ def split_bad_hours(
     projected: DataFrame, keep: Iterable[str] = KEEP_EVENT_TYPES
 ) -> tuple[DataFrame, DataFrame]:
     """Kept events of the good hours, and the hours with an unreadable line as ``hour, n_bad``."""
-    staged = settle(projected.where(F.col("bad") | kept_events(keep)), "flat-events")
+    return stage_hours(projected, keep)[:2]
+
+
+def stage_hours(
+    projected: DataFrame, keep: Iterable[str] = KEEP_EVENT_TYPES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kept events of the good hours, the bad hours as ``hour, n_bad``, and all hours with a line as ``hour``.
+
+    The lines are read and parsed once. Events that are not kept are staged without their fields, which takes next to no
+    space and still tells their hour, also of files without any kept event.
+    """
+    event = F.when(~F.col("bad") & kept_events(keep), F.struct(*RAW_COLUMNS)).alias("event")
+    staged = settle(projected.select("archive_hour", "bad", event), "flat-events")
     bad = staged.where("bad").groupBy("archive_hour").agg(F.count("*").alias("n_bad"))
-    good = staged.where(~F.col("bad")).drop("bad").join(bad, "archive_hour", "left_anti")
-    return good, bad.withColumnRenamed("archive_hour", "hour")
+    good = staged.where("event IS NOT NULL").join(bad, "archive_hour", "left_anti").select("archive_hour", "event.*")
+    hours = staged.select(F.col("archive_hour").alias("hour")).distinct()
+    return good, bad.withColumnRenamed("archive_hour", "hour"), hours
 
 
 def with_hour_parts(events: DataFrame) -> DataFrame:

@@ -74,8 +74,8 @@ def stream_hourly(
     def write(batch: DataFrame, number: int) -> None:
         rows = batch
         if archive_input:
-            good, bad = archive.split_bad_hours(batch, keep)
-            hours = batch.select(F.col("archive_hour").alias("hour")).distinct().join(bad, "hour", "left_anti")
+            good, bad, read = archive.stage_hours(batch, keep)  # a batch is computed anew at each use, so it is used once
+            hours = read.join(bad, "hour", "left_anti")
             hours.write.mode("overwrite").parquet(f"{out}/hours/batch={number}")
             rows = archive.with_hour_parts(good)
         counts = hourly_activity(with_event_hour(rows), entities)
