@@ -201,3 +201,29 @@ def test_many_rows_without_id(spark):
     assert len(found) == 5_000 and all(r.doc_id is None for r in found)
     gone = [r.n_removed for r in found if r.n_removed]
     assert len(gone) == len(range(0, 5_000, 3)) and min(gone) == 40
+
+
+def test_recall_against_all_pairs(spark):
+    """Queries are the ids divisible by 50, against all rows: links of 0.8 and more, and those of 0.80 to 0.85 on their own."""
+    rng = random.Random(50)
+    docs = {}
+    for k in range(1_500):
+        if k % 50 == 0:
+            base = sentence(rng, 150, 3_000).split()
+        elif k % 50 <= 12:
+            at, edits = rng.randrange(5, 130), k % 50  # so many words in a row are others: 0.93 to 0.80
+            docs[k] = " ".join([*base[:at], *(f"edit{k}x{j}" for j in range(edits)), *base[at + edits :]])
+            continue
+        docs[k] = " ".join(base) if k % 50 == 0 else sentence(rng, 150, 3_000)
+    classes = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame([(k, t, "en", "a", None) for k, t in docs.items()], SCHEMA)).collect()}
+    counts = {k: shingle_counts(t) for k, t in docs.items()}
+    links = []
+    for a in range(0, 1_500, 50):
+        for b in docs:
+            both = sum((counts[a] & counts[b]).values())
+            similar = both / (sum(counts[a].values()) + sum(counts[b].values()) - both)
+            if a != b and similar >= 0.8:
+                links.append((similar, classes[a] == classes[b]))
+    low = [found for similar, found in links if similar <= 0.85]
+    assert len(links) >= 300 and len(low) >= 100
+    assert sum(found for _, found in links) >= 0.99 * len(links) and sum(low) >= 0.98 * len(low)
