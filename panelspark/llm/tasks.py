@@ -11,8 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text that numpy code works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 19
-_BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 18
+_BATCH_BYTES = 2 << 20
 # Rows of a slice, so that a row's number in it has 16 bits.
 _SLICE_ROWS = 1 << 16
 
