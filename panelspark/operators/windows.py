@@ -209,7 +209,8 @@ def rolling_stats(
     in the panel and does not grow with the window or the number of cutoffs, and sums are exact.
     Differences of running sums of fractions would lose digits; there the periods are cut into blocks as long as the window, which is
     then the end of one block and the beginning of the next, and only values inside the window are added: linear as well.
-    Either way there is one shuffle by series. ``tail`` holds the last ``season`` values.
+    Either way there is one shuffle by series. ``tail`` holds the last ``season`` values. Listed cutoffs whose windows hold
+    a row few times are added up directly, one group for each of them and series.
 
     Differences use the previous rows of the series; windows with missing periods
     are for :func:`window_presence` to refuse.
@@ -223,11 +224,16 @@ def rolling_stats(
     rows = _bounded(panel, cutoffs, f, w + s, 0).select(
         "unique_id", cal.period_index(F.col("ds"), f).alias("idx"), F.col("y").cast("long" if whole else "double").alias("y")
     )
+    if not isinstance(cutoffs, DataFrame):
+        listed = listed_cutoffs(cutoffs, f)
+        reach = (listed[-1] - listed[0]).days / _DAYS[f.name] + w
+        if len(listed) * w <= _MOST_COPIES * reach:
+            return _listed_stats(rows, w, m, s, listed, f, whole, reach + s)
     stats = (_whole_stats if whole else _fraction_stats)(rows, w, m, s)
     if isinstance(cutoffs, DataFrame):
         found = stats.join(checked_own(cutoffs, f), ["unique_id", "idx"])
     else:
-        met = _within(F.col("idx"), F.col("idx"), 1, listed_cutoffs(cutoffs, f), f)
+        met = _within(F.col("idx"), F.col("idx"), 1, listed, f)
         found = stats.where(F.size(met) > 0).withColumn("cutoff", cal.period_label(F.col("idx"), f))
     return found.select("cutoff", *[c for c in stats.columns if c != "idx"])
 
@@ -243,6 +249,69 @@ def _tail(s: int) -> Column:
     return F.array(*[F.lag("y", s - 1 - j).over(series) for j in range(s)])
 
 
+# Windows that a row may be copied to, on average.
+_MOST_COPIES = 4
+# Periods from which on a series is long: its rows shrink so much in a shuffle that partitions merged by size would be large.
+_LONG = 100
+
+
+def _listed_stats(
+    rows: DataFrame, w: int, m: int, s: int, listed: list[dt.datetime], freq: cal.Frequency, whole: bool, periods: float
+) -> DataFrame:
+    """Statistics at listed cutoffs: the rows of each window, added up by series and cutoff.
+
+    Only the differences take a window function. A row is among the last ``s`` rows of a cutoff if the row ``s`` rows later
+    lies behind it; such rows have different numbers modulo ``s``, which are their places in the tail.
+    """
+    if periods >= _LONG:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unique_id")
+    series = Window.partitionBy("unique_id").orderBy("idx")
+    numbered = _with_differences(rows, m, s)
+    numbered = numbered.withColumn("_rn", F.row_number().over(series)).withColumn("_later", F.lead("idx", s).over(series))
+    idx, y, at = F.col("idx"), F.col("y"), F.col("_at")
+    cells = numbered.withColumn("_at", F.explode(_within(idx, idx + (w - 1), w, listed, freq)))
+
+    zero, long = F.lit(0).cast("long"), "long"
+    inside = lambda value, skipped: F.when(idx > at - (w - skipped), value)
+    last = F.col("_later").isNull() | (F.col("_later") > at)
+    slots = [F.max(F.when(last & (F.col("_rn") % s == j), y)).alias(f"_y{j}") for j in range(s)]
+    d, sd, season = inside(F.col("_d"), m), inside(F.col("_sd"), min(s, w)), min(s, w)
+    if whole:
+        sums = {
+            "n_obs": F.count("*"),
+            "sum_y": F.coalesce(F.sum(y), zero),
+            "sum_abs_y": F.coalesce(F.sum(F.abs(y)), zero),
+            "sum_y2": F.coalesce(F.sum(_exact_square(y)), zero),
+            "n_diff": F.count(d),
+            "sum_abs_diff": F.coalesce(F.sum(d), zero),
+            "n_sdiff": F.count(sd),
+            "sum_sdiff2": F.coalesce(F.sum(_exact_square(sd)), zero),
+        }
+    else:
+        spread, square = F.coalesce(F.stddev_samp(y), F.lit(0.0)), F.lit(None).cast("double")
+        sums = {
+            "n_obs": F.count(y),
+            "mean_y": F.avg(y),
+            "mean_abs_y": F.avg(F.abs(y)),
+            "sd_y": F.when(F.count(y) > 1, spread).otherwise(F.lit(0.0)),
+            "mean_abs_diff": F.avg(d),
+            "sd_season": F.coalesce(F.sqrt(F.avg(sd * sd) if season < w else square), F.lit(0.0)),
+        }
+    found = cells.groupBy("unique_id", "_at").agg(
+        *[c.alias(n) for n, c in sums.items()],
+        *slots,
+        F.max("_rn").alias("_last"),
+        F.count_if(idx == at).alias("_rows"),
+    )
+    # A series without a row at the cutoff has no window there; one with repeated rows has as many.
+    found = found.where("_rows > 0").withColumn("_row", F.explode(F.sequence(F.lit(1).cast(long), F.col("_rows"))))
+    places = F.array(*[F.col(f"_y{j}") for j in range(s)])
+    tail = F.array(*[F.get(places, F.pmod(F.col("_last") + (j + 1), F.lit(s)).cast("int")) for j in range(s)])
+    found = found.withColumn("_tail", tail)
+    columns = _whole_columns(s) if whole else [*sums, F.when(F.col("n_obs") >= s, F.col("_tail")).alias("tail")]
+    return found.select(cal.period_label(at, freq).alias("cutoff"), "unique_id", *columns)
+
+
 def _whole_stats(rows: DataFrame, w: int, m: int, s: int) -> DataFrame:
     """Statistics of whole numbers at every period, from running sums."""
     series = Window.partitionBy("unique_id").orderBy("idx")
@@ -266,12 +335,15 @@ def _whole_stats(rows: DataFrame, w: int, m: int, s: int) -> DataFrame:
         in_window(_exact_square(F.col("_sd")), min(s, w)).alias("sum_sdiff2"),
         _tail(s).alias("_tail"),
     )
+    return stats.select("idx", "unique_id", *_whole_columns(s))
+
+
+def _whole_columns(s: int) -> list[Column]:
+    """Statistics from exact counts and sums."""
     n = F.col("n_obs").cast("decimal(20,0)")
     spread = (n * F.col("sum_y2") - F.col("sum_y").cast("decimal(19,0)") * F.col("sum_y")).cast("double")
-    return stats.select(
-        "idx",
-        "unique_id",
-        "n_obs",
+    return [
+        F.col("n_obs"),
         (F.col("sum_y") / F.col("n_obs")).alias("mean_y"),
         (F.col("sum_abs_y") / F.col("n_obs")).alias("mean_abs_y"),
         F.when(
@@ -283,7 +355,7 @@ def _whole_stats(rows: DataFrame, w: int, m: int, s: int) -> DataFrame:
             F.col("n_sdiff") > 0, F.sqrt(F.col("sum_sdiff2").cast("double") / F.col("n_sdiff"))
         ).otherwise(F.lit(0.0)).alias("sd_season"),
         F.when(F.col("n_obs") >= s, F.col("_tail")).alias("tail"),
-    )
+    ]
 
 
 # Count, mean and sum of squared deviations of values; two of them merge without loss of digits.

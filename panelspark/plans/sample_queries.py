@@ -464,7 +464,7 @@ def hourly_fraction_stats(s: Sample) -> DataFrame:
     """Window statistics of hourly shares: each series' part of the entity's events of the hour, windows of 168 hours."""
     whole = F.sum("y").over(Window.partitionBy("repo_id", "ds"))
     share = F.when(whole > 0, F.col("y") / whole).otherwise(F.lit(0.0))
-    panel = settle(s.series("hourly").select("unique_id", "ds", share.alias("y")), "shares")
+    panel = s.series("hourly").select("unique_id", "ds", share.alias("y"))
     stats = windows.rolling_stats(panel, DAILY_CUTOFFS, "hourly", HOURLY_STATS_WINDOW, season=24)
     return stats.drop("tail")
 

@@ -195,3 +195,38 @@ def test_listed_cutoffs_bound_the_scan(spark, fortnight, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "panel"))
     plan = windows.history(stored, ["2026-01-10"], "daily", 7)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ds,2026-01-04" in plan
+
+
+def _stats_by_both_ways(panel, cutoffs, freq, w, **more):
+    """Statistics of few listed cutoffs, and of the same as cutoffs of each series, which take running sums."""
+    few = windows.rolling_stats(panel, cutoffs, freq, w, **more)
+    frame = panel.select("unique_id").distinct().crossJoin(windows.cutoff_frame(panel.sparkSession, cutoffs, freq).select("cutoff"))
+    return few, windows.rolling_stats(panel, frame, freq, w, **more)
+
+
+@pytest.mark.parametrize("fractions", [False, True])
+@pytest.mark.parametrize("w, season", [(6, 3), (4, 4), (3, 7)])
+def test_listed_windows_are_added_up(spark, fractions, w, season):
+    """Series with gaps, with nulls, with one row and without one at the cutoff; season shorter and longer than the window."""
+    chance = random.Random(w)
+    data = {f"s{k}": [chance.randint(0, 9) if chance.random() < 0.8 else None for _ in range(30)] for k in range(8)}
+    panel = panel_of(spark, data | {"one": [None] * 14 + [5], "flat": [0] * 30})
+    panel = panel.withColumn("y", F.when(F.dayofmonth("ds") % 11 != 0, F.col("y") / 7 if fractions else F.col("y")))
+    few, all_rows = _stats_by_both_ways(panel, ["2026-01-15", "2026-01-22"], "daily", w, season=season)
+    assert few.columns == all_rows.columns
+    found, expected = rows(few), rows(all_rows)
+    assert len(found) == len(expected) > 8
+    for a, b in zip(found, expected):
+        assert a[:2] == b[:2]
+        for x, y in zip(a[2:], b[2:]):
+            assert x == (y if y is None or isinstance(y, list) else pytest.approx(y, abs=1e-9))
+
+
+def test_listed_windows_take_no_frames(spark, fortnight):
+    """Few listed cutoffs need differences only: no sums over frames of every row, no rows copied to the next block."""
+    for y in ("y", "y / 7"):
+        panel = fortnight.selectExpr("unique_id", "ds", f"{y} AS y")
+        plan = windows.rolling_stats(panel, ["2026-01-10", "2026-01-13"], "daily", 7)._jdf.queryExecution().executedPlan().toString()
+        assert "RangeFrame" not in plan and plan.count("Exchange hashpartitioning(unique_id") == 1
+    many = [f"2026-01-{d:02d}" for d in range(2, 15)]
+    assert "RangeFrame" in windows.rolling_stats(fortnight, many, "daily", 7)._jdf.queryExecution().executedPlan().toString()
