@@ -68,8 +68,9 @@ def unique_id() -> Column:
 
 
 def to_long(wide: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per metric, in one pass over the counts."""
-    return wide.unpivot(keys, list(METRICS), "metric", "y")
+    """One row per metric, in one pass over the counts; rows stay in their partition, which an unpivot does not promise."""
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("y")) for m in METRICS])
+    return wide.select(*keys, F.inline(cells))
 
 
 def hourly_counts(raw: DataFrame) -> DataFrame:
@@ -130,30 +131,38 @@ def hourly_series(
 ) -> DataFrame:
     """Dense hourly series: every entity, metric and given hour from the entity's first hour.
 
-    Each entity unrolls its own hour sequence, so the zero fill never pairs
-    entities with hours they do not reach.
+    Each entity unrolls its own hour sequence, so the zero fill never pairs entities with hours they do not reach.
+    Sparse counts are packed by entity and joined before that: only they are shuffled, and the dense rows stay where
+    their entity is. A few packed bytes become many rows, so the number of tasks is set here and not merged by size.
     """
     low, high = _bounds(hours, "hour")
     start = F.greatest(F.col("first_hour"), low)
-    spine = (
+    tasks = int(activity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = (
         unique_entities(entities)
         .join(first, "repo_id")
         .withColumn("last_hour", high)
         .where(start <= F.col("last_hour"))
-        .select(
-            "repo_id",
-            "repo_name",
-            F.explode(F.sequence(start, "last_hour", F.expr("INTERVAL 1 HOUR"))).alias("event_hour"),
-        )
-    )
-    spine = spine.join(hours.select(F.col("hour").alias("event_hour")), "event_hour", "left_semi")
-    filled = spine.join(activity, ["repo_id", "event_hour"], "left").select(
-        "repo_id",
-        "repo_name",
-        F.col("event_hour").alias("ds"),
-        *[F.coalesce(m, F.lit(0).cast("long")).alias(m) for m in METRICS],
+        .select("repo_id", "repo_name", start.alias("start"), "last_hour")
     )
-    return _series_columns(to_long(filled, ["repo_id", "repo_name", "ds"]))
+    zero = F.lit(0).cast("long")
+    counts = F.struct(F.col("event_hour").alias("ds"), *[F.coalesce(m, zero).alias(m) for m in METRICS])
+    sparse = activity.where("repo_id IS NOT NULL AND event_hour IS NOT NULL").repartition(tasks, "repo_id")
+    packed = sparse.groupBy("repo_id").agg(F.collect_list(counts).alias("_counts"))
+    joined = known.join(packed, "repo_id", "left")
+
+    step = F.expr("INTERVAL 1 HOUR")
+    on_step = lambda c: (F.unix_micros(c.ds) - F.unix_micros("start")) % 3_600_000_000 == 0
+    found = F.filter("_counts", lambda c: c.ds.between(F.col("start"), F.col("last_hour")) & on_step(c))
+    empty = F.array_except(F.sequence("start", "last_hour", step), F.coalesce("_counts.ds", F.array().cast("array<timestamp>")))
+    zeros = F.transform(empty, lambda h: F.struct(h.alias("ds"), *[zero.alias(m) for m in METRICS]))
+    dense = joined.select("repo_id", "repo_name", F.inline(F.concat(F.coalesce(found, F.array().cast(_COUNTS)), zeros)))
+    dense = dense.join(F.broadcast(hours.select(F.col("hour").alias("ds"))), "ds", "left_semi")
+    return _series_columns(to_long(dense, ["repo_id", "repo_name", "ds"]))
+
+
+# Packed hours of an entity.
+_COUNTS = f"array<struct<ds: timestamp, {', '.join(f'{m}: bigint' for m in METRICS)}>>"
 
 
 def _series_columns(long: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from helpers import rows, utc
@@ -133,3 +134,35 @@ def test_names_as_of_the_last_hour(spark):
     panel = spark.createDataFrame([(i, "first", utc(f"2026-01-0{d}")) for i in (1, 2) for d in (1, 2, 3)], "repo_id BIGINT, repo_name STRING, ds TIMESTAMP")
     found = rows(series.with_names(panel, names, "daily").select("repo_id", F.dayofmonth("ds"), "repo_name"))
     assert found == [(1, 1, "old"), (1, 2, "new"), (1, 3, "new"), (2, 1, "first"), (2, 2, "first"), (2, 3, "x")]
+
+
+def test_dense_rows_stay_with_their_entity(spark, tmp_path):
+    """Sparse counts are shuffled by entity; dense hours and their period sums are not shuffled again."""
+    raw = raw_events(spark, [(i % 5, "PushEvent", None, T + (7 * i % 48) * H) for i in range(60)])
+    hours = cal.hours_between(spark, "2025-01-01-00", "2025-01-02-23").where(F.hour("hour") != 3)
+    path = str(tmp_path / "activity")
+    series.hourly_activity(raw).write.parquet(path)
+    activity = spark.read.parquet(path)
+    dense = series.hourly_series(activity, entities(spark, *range(5)), series.first_activity(activity), hours)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = series.rollup_series(dense, hours, "daily")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(repo_id#\d+L?, \d+\)", plan)
+    assert not re.search(r"hashpartitioning\([^)]*repo_id#\d+L?, [a-z]|hashpartitioning\([a-z]+#\d+L?, repo_id", plan)
+    assert dense.count() == dense.select("unique_id", "ds").distinct().count() == dense.where("hour(ds) <> 3").count()
+    kept = activity.where("hour(event_hour) <> 3").agg(F.sum("pushes")).first()[0]
+    assert dense.agg(F.sum("y")).first()[0] == kept
+
+
+def test_hours_off_the_grid_of_an_entity(spark):
+    """Repeated hours stay repeated, hours before the first one and of other entities do not count, null hours neither."""
+    counts = "repo_id BIGINT, event_hour TIMESTAMP, stars BIGINT, prs_opened BIGINT, issues_opened BIGINT, pushes BIGINT"
+    at = lambda h: utc(f"2025-01-01T{h:02d}:00")
+    seen = [(1, at(0), 9, 0, 0, 0), (1, at(2), 1, 0, 0, 0), (1, at(2), 2, 0, 0, 0), (1, None, 5, 0, 0, 0), (3, at(2), 7, 0, 0, 0), (None, at(2), 8, 0, 0, 0)]
+    hours = cal.hours_between(spark, "2025-01-01-00", "2025-01-01-03")
+    first = firsts(spark, [(1, at(1)), (2, at(2)), (4, utc("2025-01-01T01:30"))])
+    dense = series.hourly_series(spark.createDataFrame(seen, counts), entities(spark, 1, 2, 4), first, hours)
+    stars = sorted((r.repo_id, r.ds.hour, r.y) for r in dense.where("metric = 'stars'").collect())
+    assert stars == [(1, 1, 0), (1, 2, 1), (1, 2, 2), (1, 3, 0), (2, 2, 0), (2, 3, 0)]
