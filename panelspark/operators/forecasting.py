@@ -23,7 +23,7 @@ from panelspark.session import settle
 
 KEYS = ("model", "model_alias", "frequency", "cutoff", "unique_id", "ds")
 
-PandasModel = Callable[..., pd.DataFrame]
+PandasModel = Callable[..., pd.DataFrame | dict[str, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,8 @@ class Model:
     ``native(freq)`` returns ``(yhat, sigma)`` over the columns of
     :func:`windows.rolling_stats` and the step ``k`` (1 for the first period).
     ``fn(history, h, freq, quantiles)`` gets one series' history ``ds, y`` and
-    returns ``ds, yhat`` and ``q_<level>`` columns; a function that cannot give
+    returns ``ds, yhat`` and ``q_<level>`` columns as a frame, or as a dict of arrays,
+    which is built much faster; a function that cannot give
     quantiles raises ``ValueError`` or ``TypeError`` and is called without them.
     """
 
@@ -165,28 +166,32 @@ def _run_series(
     columns = ["ds", "yhat", *(scoring.quantile_column(q) for q in levels)]
 
     def one(micros: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], int, str | None]:
-        past = pd.DataFrame({"ds": micros.astype("datetime64[us]").astype("datetime64[ns]"), "y": y})
+        past = pd.DataFrame({"ds": micros.view("datetime64[us]").astype("datetime64[ns]"), "y": y})
         try:
             try:
                 out = fn(past, h, freq_name, quantiles)
             except (ValueError, TypeError):
                 out = fn(past, h, freq_name)
-            missing = np.full(len(out), np.nan)
-            found = {c: out[c].to_numpy() if c in out else missing for c in columns}
-            return found, len(out), None
+            n = len(out["ds"])
+            missing = np.full(n, np.nan)
+            found = {c: np.asarray(out[c]) if c in out else missing for c in columns}
+            if any(len(values) != n for values in found.values()):
+                raise ValueError("columns of different lengths")
+            return found, n, None
         except Exception as problem:  # the failure is reported as a row
             found = {c: np.array([np.nan]) for c in columns[1:]}
             found["ds"] = np.array(["NaT"], dtype="datetime64[ns]")
             return found, 1, f"{type(problem).__name__}: {problem}"
 
-    def windows_of(parts: list[pd.DataFrame]) -> Iterator[tuple]:
-        rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-        uid, own = rows["unique_id"].iloc[0], rows["is_cutoff"].to_numpy()
-        micros, idx, y = (rows[c].to_numpy() for c in ("micros", "idx", "y"))
-        cuts = {*shared, *zip(micros[own].tolist(), idx[own].tolist())}
-        micros, idx, y = micros[~own], idx[~own], y[~own]
-        for cutoff, last in sorted(cuts):
-            begin, end = np.searchsorted(idx, [last - window + 1, last + 1])
+    def windows_of(uid: str, parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
+        micros, idx, y, own = (np.concatenate(p) for p in zip(*parts)) if len(parts) > 1 else parts[0]
+        cuts = shared
+        if own.any():
+            cuts = sorted({*shared, *zip(micros[own].tolist(), idx[own].tolist())})
+            micros, idx, y = micros[~own], idx[~own], y[~own]
+        lasts = np.array([last for _, last in cuts])
+        begins, ends = np.searchsorted(idx, lasts - (window - 1)), np.searchsorted(idx, lasts + 1)
+        for (cutoff, _), begin, end in zip(cuts, begins.tolist(), ends.tolist()):
             if end > begin:
                 yield cutoff, uid, *one(micros[begin:end], y[begin:end])
 
@@ -200,21 +205,23 @@ def _run_series(
         return out[["model", "model_alias", "frequency", "cutoff", "unique_id", *columns, "error"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # the series whose end was not seen yet
+        held: list[tuple[np.ndarray, ...]] = []  # the series whose end was not seen yet
+        uid = None
         for batch in batches:
             if batch.empty:
                 continue
-            ids = batch["unique_id"].to_numpy()
+            ids, *values = (batch[c].to_numpy() for c in ("unique_id", "micros", "idx", "y", "is_cutoff"))
             edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(batch)]
             results: list[tuple] = []
             for begin, end in zip(edges, edges[1:]):
-                if held and held[0]["unique_id"].iloc[0] != ids[begin]:
-                    results += windows_of(held)
+                if held and uid != ids[begin]:
+                    results += windows_of(uid, held)
                     held = []
-                held.append(batch.iloc[begin:end])
+                uid = ids[begin]
+                held.append(tuple(v[begin:end] for v in values))
             if results:
                 yield frame(results)
-        if held and (results := list(windows_of(held))):
+        if held and (results := list(windows_of(uid, held))):
             yield frame(results)
 
     return run
@@ -251,7 +258,7 @@ def forecast_pandas(
         ))
     else:
         frame = windows.cutoff_frame(spark, cutoffs, f).select(F.unix_micros("cutoff").alias("micros"), "cutoff_idx")
-        shared = [(r.micros, r.cutoff_idx) for r in frame.toLocalIterator()]
+        shared = sorted((r.micros, r.cutoff_idx) for r in frame.toLocalIterator())
     ordered = rows.repartition(tasks, "unique_id").sortWithinPartitions("unique_id", "idx")
     run = _run_series(get_model(model), f, h or f.h, levels, w, shared)
     return ordered.mapInPandas(run, forecast_schema(levels) + ", error STRING")

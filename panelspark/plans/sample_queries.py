@@ -529,19 +529,22 @@ def forecast_monthly(s: Sample) -> DataFrame:
 def _sample_models() -> dict:
     """Sample pandas models; local functions travel to the tasks without this package."""
 
-    def steps(past, h):
-        import pandas as pd
+    import numpy as np
 
-        return pd.DataFrame({"ds": past["ds"].iloc[-1] + pd.to_timedelta(range(1, h + 1), unit="D")})
+    def steps(past, h):
+        return past["ds"].to_numpy()[-1] + np.arange(1, h + 1).astype("timedelta64[D]")
 
     def window_median(past, h, freq, quantiles):
         """Median and empirical quantiles of the history."""
-        levels = {f"q_{round(q * 100)}": v for q, v in past["y"].quantile(quantiles).items()}
-        return steps(past, h).assign(yhat=float(past["y"].median()), **levels)
+        y = past["y"].to_numpy().astype("float64")
+        y = y[~np.isnan(y)]
+        names = ["yhat", *(f"q_{round(q * 100)}" for q in quantiles)]
+        values = np.percentile(y, [50.0, *(q * 100 for q in quantiles)]) if len(y) else np.full(len(names), np.nan)
+        return {"ds": steps(past, h)} | {name: np.full(h, v) for name, v in zip(names, values)}
 
     def last_value(past, h, freq):
         """Point forecasts only."""
-        return steps(past, h).assign(yhat=float(past["y"].iloc[-1]))
+        return {"ds": steps(past, h), "yhat": np.full(h, float(past["y"].iloc[-1]))}
 
     return {"WindowMedian": window_median, "LastValue": last_value}
 

@@ -7,6 +7,7 @@ import pytest
 from helpers import panel_of, rows
 from pyspark import cloudpickle
 
+from panelspark.functions import calendar as cal
 from panelspark.operators import forecasting as fc
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -158,3 +159,19 @@ def test_alignment_check(spark, panel):
         fc.check_alignment(panel, ["2026-01-20"], "daily", 14)
     with pytest.raises(ValueError):
         fc.check_alignment(panel_of(spark, {"a:x": A, "b:x": A[:10]}), CUTOFF, "daily", 14)
+
+
+def test_model_returns_arrays():
+    """A function may return a dict of arrays; columns of different lengths are its failure."""
+    import numpy as np
+    import pandas as pd
+
+    def arrays(past, h, freq):
+        ds = past["ds"].to_numpy()[-1] + np.arange(1, h + 1).astype("timedelta64[D]")
+        return {"ds": ds, "yhat": np.full(h if len(past) == 3 else h + 1, 4.0)}
+
+    rows = pd.DataFrame({"unique_id": ["a"] * 3 + ["b"] * 2, "micros": [k * 86_400_000_000 for k in (0, 1, 2, 1, 2)], "idx": [0, 1, 2, 1, 2], "y": range(5), "is_cutoff": False})
+    run = fc._run_series(fc.Model("arrays", "Arrays", fn=arrays), cal.frequency("daily"), 2, [50], 3, [(2 * 86_400_000_000, 2)])
+    out = pd.concat(run(iter([rows.iloc[:2], rows.iloc[2:]])))
+    assert out["unique_id"].tolist() == ["a", "a", "b"] and out["yhat"].tolist()[:2] == [4.0, 4.0]
+    assert out["error"].tolist() == [None, None, "ValueError: columns of different lengths"]
