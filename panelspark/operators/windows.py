@@ -195,6 +195,17 @@ def _exact_square(value: Column) -> Column:
     return (whole * whole).cast("decimal(38,0)")
 
 
+def _sum_of_squares(value: Column) -> Column:
+    """Exact sum of squares of whole numbers. Those of 31 bits are added up in two longs, halves of 32 bits, the rest as decimals."""
+    small = F.abs(value) < 2**31
+    square = F.when(small, value * value)
+    high, low = F.sum(F.shiftright(square, 32)), F.sum(square.bitwiseAND(F.lit(2**32 - 1)))
+    rest = F.sum(F.when(~small, _exact_square(value)))
+    none = F.lit(0).cast("decimal(19,0)")
+    parts = [F.coalesce(part.cast("decimal(19,0)"), none) for part in (high, low)]
+    return (parts[0] * F.lit(2**32).cast("decimal(11,0)") + parts[1] + F.coalesce(rest, none)).cast("decimal(38,0)")
+
+
 def rolling_stats(
     panel: DataFrame,
     cutoffs: Cutoffs,
@@ -281,11 +292,11 @@ def _listed_stats(
             "n_obs": F.count("*"),
             "sum_y": F.coalesce(F.sum(y), zero),
             "sum_abs_y": F.coalesce(F.sum(F.abs(y)), zero),
-            "sum_y2": F.coalesce(F.sum(_exact_square(y)), zero),
+            "sum_y2": _sum_of_squares(y),
             "n_diff": F.count(d),
             "sum_abs_diff": F.coalesce(F.sum(d), zero),
             "n_sdiff": F.count(sd),
-            "sum_sdiff2": F.coalesce(F.sum(_exact_square(sd)), zero),
+            "sum_sdiff2": _sum_of_squares(sd),
         }
     else:
         spread, square = F.coalesce(F.stddev_samp(y), F.lit(0.0)), F.lit(None).cast("double")

@@ -230,3 +230,10 @@ def test_listed_windows_take_no_frames(spark, fortnight):
         assert "RangeFrame" not in plan and plan.count("Exchange hashpartitioning(unique_id") == 1
     many = [f"2026-01-{d:02d}" for d in range(2, 15)]
     assert "RangeFrame" in windows.rolling_stats(fortnight, many, "daily", 7)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_squares_of_large_numbers(spark):
+    """Sums of squares beyond a long are exact."""
+    panel = panel_of(spark, {"s": [2**40 + k if k % 3 else (-1) ** k * (2**31 - 1) for k in range(12)], "t": [0, 2**31, 3] * 4})
+    few, expected = _stats_by_both_ways(panel, ["2026-01-11", "2026-01-12"], "daily", 8, season=3)
+    assert rows(few) == rows(expected)
