@@ -38,9 +38,10 @@ def join_actuals(forecasts: DataFrame, actual: DataFrame) -> DataFrame:
     """Forecast rows with their actual value ``y``; forecasts without one drop out.
 
     Actuals without a forecast are not in the result. :func:`evaluate` finds them
-    by count, which avoids a copy of the actuals per model.
+    by count, which avoids a copy of the actuals per model. Actuals grow with the series and shrink much on disk, so
+    their size there must not make every task hold all of them.
     """
-    return forecasts.join(actual, ["cutoff", "unique_id", "ds"])
+    return forecasts.join(actual.hint("merge"), ["cutoff", "unique_id", "ds"])
 
 
 def train_scales(

@@ -177,3 +177,11 @@ def test_forecast_off_the_grid(panel, forecasts):
     moved = forecasts.withColumn("ds", F.when(F.col("unique_id") == "z:stars", F.expr("ds + INTERVAL 1 HOUR")).otherwise(F.col("ds")))
     _, status = ev.evaluate(moved, panel, CUTOFFS, "daily", 14)
     assert set(status_of(status).values()) == {"null_values"}
+
+
+def test_actuals_are_not_sent_to_every_task(spark):
+    """Actuals are as many as the series, however small their files are."""
+    forecasts = spark.range(1).selectExpr("TIMESTAMP'2026-01-01' AS cutoff", "string(id) AS unique_id", "TIMESTAMP'2026-01-02' AS ds", "1.0 AS yhat")
+    joined = ev.join_actuals(forecasts, forecasts.withColumnRenamed("yhat", "y"))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.first().y == 1
