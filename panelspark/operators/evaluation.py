@@ -135,15 +135,17 @@ def _with_actuals(
 
     The actuals of a cutoff and series are packed into one row with its scales, so
     the join needs cutoff and series only and a following aggregation per series
-    reuses its partitioning.
+    reuses its partitioning. The packed rows of a partition are few, so they are hashed:
+    the forecasts, many wide rows for each, then need no sort. They shrink much on disk, so
+    their size there must not make every task hold all of them either.
     """
     step = cal.period_index(F.col("ds"), f) - cal.period_index(F.col("cutoff"), f)
     keys = ["cutoff", "unique_id"]
     values = [F.max(F.when(step == i, F.col("y"))).alias(f"_y{i}") for i in range(1, h + 1)]
-    side = actual.groupBy(*keys).agg(*values).join(scales, keys, "left")
+    side = actual.groupBy(*keys).agg(*values).join(scales.hint("shuffle_hash"), keys, "left")
     packed = F.array(*[F.col(f"_y{i}") for i in range(1, h + 1)])
     value = F.when(cal.on_grid(F.col("ds"), f) & (F.col("_k") > 0), F.get(packed, F.col("_k").cast("int") - 1))
-    joined = forecasts.withColumn("_k", step).join(side, keys, "left")
+    joined = forecasts.withColumn("_k", step).join(side.hint("shuffle_hash"), keys, "left")
     return joined.select(*forecasts.columns, "_k", value.alias("y"), "mase_scale", "crps_scale")
 
 

@@ -653,7 +653,9 @@ def guard_status(s: Sample) -> DataFrame:
     key = lambda model, cutoff: (F.col("model") == model) & (cal.hour_key(F.col("cutoff")) == f"{cutoff}-00")
     first, second = DAILY_CUTOFFS
     next_day = F.col("ds") == F.col("cutoff") + day
-    lost = F.col("unique_id") == rows.select(F.min("unique_id")).scalar()
+    # A series has forecasts at the cutoffs it has a row at.
+    forecast = windows.history(s.panel("daily"), GUARD_CUTOFFS, "daily", 1)
+    lost = F.col("unique_id") == forecast.select(F.min("unique_id")).scalar()
     rows = rows.where(~(key("historic_average", second) & lost))
     changes = {"ds": F.when(key("zero_model", first) & next_day, F.col("cutoff") - day).otherwise(F.col("ds"))}
     for level in scoring.quantile_levels(rows.columns):

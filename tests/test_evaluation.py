@@ -185,3 +185,13 @@ def test_actuals_are_not_sent_to_every_task(spark):
     joined = ev.join_actuals(forecasts, forecasts.withColumnRenamed("yhat", "y"))
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.first().y == 1
+
+
+def test_forecasts_are_not_sorted(spark, panel, forecasts, tmp_path):
+    """Forecasts are wide and many; a partition's actuals and scales are few, and as many as the series, however small their files are."""
+    panel.write.parquet(str(tmp_path / "panel"))
+    stored = spark.read.parquet(str(tmp_path / "panel"))
+    scores = ev.series_scores(forecasts, stored, CUTOFFS, "daily", 14)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
+    assert scores.where("mase IS NOT NULL").count() == forecasts.select("model", "cutoff", "unique_id").distinct().count()
