@@ -61,10 +61,11 @@ def raw_long(
     """One row per series and metric, with the series' sparsity level.
 
     Null scores are left out, as SQL ``UNPIVOT`` does. A series without a known
-    level is ``unknown``.
+    level is ``unknown``. Levels are hashed, one row per series, so the metrics,
+    rows for each model and cutoff, need no sort.
     """
     wide = metrics.where(F.col("frequency").isin(*frequencies))
-    wide = wide.join(sparsity_levels(sparsity), "unique_id", "left").select(
+    wide = wide.join(sparsity_levels(sparsity).hint("shuffle_hash"), "unique_id", "left").select(
         F.lit(dataset).alias("dataset"),
         F.coalesce("unique_id", _fallback_id()).alias("unique_id"),
         "subdataset",
@@ -166,9 +167,9 @@ def stratum_scores(
 ) -> DataFrame:
     """Scaled score of every stratum and model. Those of one frequency and cutoff depend on its own metrics only.
 
-    The long scores are staged, as medians and denominators read them.
+    The long scores are staged without their series, as medians and denominators read them.
     """
-    long = settle(raw_long(metrics, sparsity, frequencies, dataset), "long-scores")
+    long = settle(raw_long(metrics, sparsity, frequencies, dataset).select(*GROUP, "value"), "long-scores")
     return scaled_scores(stratum_medians(long), zero_denominators(long, zero_model, floor))
 
 

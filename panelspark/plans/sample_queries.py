@@ -1,7 +1,7 @@
 """Registered queries over the sample tables.
 
 Every query covers its whole tables. Steps the stored pipeline keeps as tables
-(hourly activity, panels, forecasts, metrics) are staged here as well, so a query
+(hourly activity, panels, scores) are staged here as well, so a query
 reads the events once.
 """
 
@@ -123,20 +123,21 @@ class Sample:
         return evaluation.evaluate(rows, self.panel(freq), cutoffs, freq, window)
 
     def metrics(self) -> DataFrame:
-        """Daily, weekly and monthly metrics; the frequencies are independent jobs."""
+        """Daily, weekly and monthly metrics; the frequencies are independent jobs.
+
+        They are the staged scores of the keys that passed, so they are not written once more.
+        """
         runs = [
             ("daily", DAILY_CUTOFFS, DAILY_WINDOW),
             ("weekly", WEEKLY_CUTOFFS, WEEKLY_WINDOW),
             ("monthly", MONTHLY_CUTOFFS, MONTHLY_WINDOW),
         ]
-
-        def make() -> DataFrame:
+        if "metrics" not in self._stages:
             self.activity()
             with ThreadPoolExecutor(len(runs)) as pool:
                 parts = list(pool.map(lambda run: self.evaluated(*run)[0], runs))
-            return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-        return self._stage("metrics", make)
+            self._stages["metrics"] = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return self._stages["metrics"]
 
     def sparsity(self) -> DataFrame:
         return sparsity.series_sparsity(self.panel("daily"))

@@ -98,3 +98,17 @@ def test_plan_has_no_cross_join(board, spark):
 def test_ambiguous_levels(spark):
     df = spark.createDataFrame([("a", "low"), ("a", "high"), ("b", "low"), ("b", "low")], "unique_id STRING, sparsity_level STRING")
     assert rows(lb.ambiguous_sparsity(df)) == [("a", 2)]
+
+
+def test_metrics_are_not_sorted_for_their_levels(spark, monkeypatch):
+    """Levels are one row per series, metrics many; the staged scores hold no series, which are as many as the rows."""
+    metrics = metric_rows(spark, [(f"{i}:stars", m, "2026-01-04-00", "daily", i + 1.0, 1.0) for i in range(4) for m in ALIAS])
+    sparsity = spark.createDataFrame([(f"{i}:stars", "low") for i in range(3)], "unique_id STRING, sparsity_level STRING")
+    long = lb.raw_long(metrics, sparsity)
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert long.where("sparsity_level = 'low'").count() == 12 and long.where("sparsity_level = 'unknown'").count() == 4
+    staged = {}
+    monkeypatch.setattr(lb, "settle", lambda df, name: staged.setdefault(name, df))
+    assert lb.stratum_scores(metrics, sparsity).count() == 8
+    assert staged["long-scores"].columns == [*lb.GROUP, "value"]
